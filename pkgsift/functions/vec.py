@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0).cast("double")
+def ZERO() -> Column:
+    return F.lit(0.0).cast("double")
 
 
 def as_double_vec(col: Column) -> Column:
@@ -18,17 +19,17 @@ def as_double_vec(col: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), ZERO, lambda acc, v: acc + v)
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), ZERO(), lambda acc, v: acc + v)
 
 
 def norm(a: Column) -> Column:
-    return F.sqrt(F.aggregate(a, ZERO, lambda acc, x: acc + x * x))
+    return F.sqrt(F.aggregate(a, ZERO(), lambda acc, x: acc + x * x))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0.0 when either norm is 0."""
     denom = norm(a) * norm(b)
-    return F.when(denom != 0, dot(a, b) / denom).otherwise(ZERO)
+    return F.when(denom != 0, dot(a, b) / denom).otherwise(ZERO())
 
 
 def cosine_with_literal(a: Column, b: list[float]) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
+from ..operators import graph as G
 from ..sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,5 +113,274 @@ def e11(spark, sf_dir):
                     "content_preview")
 
 
-def flagship(spark, sf_dir):
-    return e11(spark, sf_dir)
+# ------------------------------------------------------------------ D
+def _edges(spark, sf_dir):
+    return G.edges(classes(spark, sf_dir))
+
+
+@register("D1")
+def d1(spark, sf_dir):
+    return G.class_index(classes(spark, sf_dir))
+
+
+@register("D2")
+def d2(spark, sf_dir):
+    return G.import_edges(classes(spark, sf_dir))
+
+
+@register("D3")
+def d3(spark, sf_dir):
+    return G.extends_edges(classes(spark, sf_dir))
+
+
+@register("D4")
+def d4(spark, sf_dir):
+    return G.implements_edges(classes(spark, sf_dir))
+
+
+@register("D5")
+def d5(spark, sf_dir):
+    return _edges(spark, sf_dir)
+
+
+@register("D6")
+def d6(spark, sf_dir):
+    e = _edges(spark, sf_dir)
+    fwd = G.adjacency(e).select("project_id", "class_name", F.lit("dependencies").alias("direction"),
+                                _j("neighbours").alias("neighbours"),
+                                F.size("neighbours").alias("n_neighbours"))
+    rev = G.adjacency(e, reverse=True).select(
+        "project_id", "class_name", F.lit("dependents").alias("direction"),
+        _j("neighbours").alias("neighbours"), F.size("neighbours").alias("n_neighbours"))
+    return fwd.unionByName(rev)
+
+
+@register("D7")
+def d7(spark, sf_dir):
+    return G.package_dependencies(classes(spark, sf_dir))
+
+
+@register("D8")
+def d8(spark, sf_dir):
+    return G.total_dependencies(_edges(spark, sf_dir))
+
+
+@register("D9")
+def d9(spark, sf_dir):
+    c = classes(spark, sf_dir)
+    return G.package_cohesion(c, G.edges(c))
+
+
+@register("D10")
+def d10(spark, sf_dir):
+    c = classes(spark, sf_dir)
+    return G.efferent_coupling(c, G.edges(c))
+
+
+@register("D11")
+def d11(spark, sf_dir):
+    c = classes(spark, sf_dir)
+    return G.afferent_coupling(c, G.edges(c))
+
+
+D13_COLUMNS = ["project_id", "total_dependencies", "dependent_classes", "depended_classes",
+               "packages", "min_cohesion", "max_cohesion", "efferent_total", "afferent_total",
+               "package_dependencies"]
+
+
+@register("D13")
+def d13(spark, sf_dir):
+    c = classes(spark, sf_dir)
+    return G.dependency_summary(c).select(*D13_COLUMNS)
+
+
+# ------------------------------------------------------------------ shared pipeline inputs
+from ..functions import constants as C  # noqa: E402
+from ..operators import placement as PL  # noqa: E402
+from ..operators import rules as RU  # noqa: E402
+from ..operators import vectors as V  # noqa: E402
+from ..session import cut_lineage, read_table  # noqa: E402
+from . import recommend as RC  # noqa: E402
+
+
+def classes_table(spark, sf_dir):
+    """The class table written once to the shared checkpoint folder."""
+    return cut_lineage(classes(spark, sf_dir))
+
+
+def vector_inputs(spark, sf_dir, cls):
+    emb = read_table(spark, sf_dir, "embeddings")
+    return corpus.class_vectors(cls, emb), corpus.type_vectors(emb)
+
+
+def analysis(spark, sf_dir, **kw):
+    cls = classes_table(spark, sf_dir)
+    cv, tv = vector_inputs(spark, sf_dir, cls)
+    return RC.analyze(cls, cv, tv, materialize=False, **kw)
+
+
+# ------------------------------------------------------------------ R
+def _per_type(fn, prefix):
+    def q(spark, sf_dir):
+        c = classes(spark, sf_dir)
+        return c.select(*ROW_KEY, "class_name",
+                        *[fn(r).alias(prefix + t) for t, r in C.PLACEMENT_RULES])
+    return q
+
+
+register("R2")(_per_type(lambda r: RU.pattern_part(F.lower(F.col("class_name")), r), "pattern_"))
+register("R3")(_per_type(lambda r: RU.keyword_part(F.lower(F.col("class_name")), r), "keyword_"))
+register("R4")(_per_type(lambda r: RU.method_part(F.col("methods"), r), "method_"))
+register("R5")(_per_type(lambda r: RU.annotation_part(F.col("annotations"), r), "annotation_"))
+
+
+@register("R1")
+def r1(spark, sf_dir):
+    """Rules table with how many class rows each type scores and wins."""
+    sc = RU.with_rule_scores(classes(spark, sf_dir), keep_type_scores=True)
+    stack = F.explode(F.array(*[F.struct(F.lit(t).alias("package_type"), F.col("score_" + t).alias("s"))
+                                for t in C.TYPE_NAMES]))
+    long = sc.select(F.col("rule_type"), stack.alias("x")).select("rule_type", "x.package_type", "x.s")
+    usage = long.groupBy("package_type").agg(
+        F.count_if(F.col("s") > 0).alias("rows_scored"),
+        F.count_if(F.col("rule_type") == F.col("package_type")).alias("rows_best"))
+    rt = RU.rules_table(spark).select(
+        "package_type", "type_ord", *[_j(k).alias(k) for k in ("keywords", "patterns", "methods", "annotations")])
+    return rt.join(usage, "package_type", "left").fillna(0, ["rows_scored", "rows_best"])
+
+
+@register("R6")
+def r6(spark, sf_dir):
+    sc = RU.with_rule_scores(classes(spark, sf_dir), keep_type_scores=True)
+    return sc.select(*ROW_KEY, "class_name", *["score_" + t for t in C.TYPE_NAMES],
+                     "rule_score", "rule_type")
+
+
+@register("R7")
+def r7(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    cv, tv = vector_inputs(spark, sf_dir, cls)
+    names = cls.select("project_id", "class_name").distinct()
+    emb = PL.embedding_scores(cv, V.type_vectors_literal(tv))
+    return names.join(emb, ["project_id", "class_name"], "left").select(
+        "project_id", "class_name", F.coalesce("emb_score", F.lit(0.0)).alias("embedding_score"))
+
+
+@register("R8")
+def r8(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    names = cls.select("project_id", "class_name").distinct()
+    return names.join(PL.dependency_scores(G.edges(cls)), ["project_id", "class_name"], "left").select(
+        "project_id", "class_name", F.coalesce("dep_score", F.lit(0.0)).alias("dependency_score"))
+
+
+@register("R9")
+def r9(spark, sf_dir):
+    a = analysis(spark, sf_dir)
+    return a.scored.select(*ROW_KEY, "class_name", "rule_score", "embedding_score",
+                           "dependency_score", "total_score")
+
+
+@register("R10")
+def r10(spark, sf_dir):
+    return classes(spark, sf_dir).select(*ROW_KEY, "package",
+                                         RU.package_type(F.col("package")).alias("current_type"))
+
+
+@register("R11")
+def r11(spark, sf_dir):
+    return PL.misplaced_names(analysis(spark, sf_dir).scored)
+
+
+@register("R12")
+def r12(spark, sf_dir):
+    return analysis(spark, sf_dir).suggestions.select("project_id", "class_name", "confidence")
+
+
+@register("R13")
+def r13(spark, sf_dir):
+    return analysis(spark, sf_dir).suggestions.select("project_id", "class_name", "reasoning")
+
+
+@register("R14")
+def r14(spark, sf_dir):
+    return analysis(spark, sf_dir).suggestions.select("project_id", "class_name", "evidence")
+
+
+@register("R15")
+def r15(spark, sf_dir):
+    return analysis(spark, sf_dir).suggestions
+
+
+# ------------------------------------------------------------------ M (SQL-checked)
+@register("M1")
+def m1(spark, sf_dir):
+    return V.semantic_text(classes(spark, sf_dir))
+
+
+@register("M6")
+def m6(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    cv, tv = vector_inputs(spark, sf_dir, cls)
+    return V.nearest_type(cv, V.type_vectors_literal(tv))
+
+
+@register("M7")
+def m7(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    cv, _ = vector_inputs(spark, sf_dir, cls)
+    return V.pair_similarity(G.edges(cls), cv)
+
+
+# ------------------------------------------------------------------ O
+@register("O1")
+def o1(spark, sf_dir):
+    a = analysis(spark, sf_dir)
+    return PL.assemble_results(a.classes, a.suggestions)
+
+
+@register("O3")
+def o3(spark, sf_dir):
+    res = PL.apply_confidence_threshold(analysis(spark, sf_dir).results, 0.8)
+    return res.select(*ROW_KEY, "class_name", "is_misplaced", "confidence")
+
+
+@register("O4")
+def o4(spark, sf_dir):
+    return PL.limit_classes(classes(spark, sf_dir), 3).select(*ROW_KEY, "class_name")
+
+
+@register("O5")
+def o5(spark, sf_dir):
+    return analysis(spark, sf_dir, use_embeddings=False).results
+
+
+@register("O6")
+def o6(spark, sf_dir):
+    return PL.top_recommendations(analysis(spark, sf_dir).results)
+
+
+@register("O7")
+def o7(spark, sf_dir):
+    return PL.first_misplaced(analysis(spark, sf_dir).results)
+
+
+@register("O8")
+def o8(spark, sf_dir):
+    return RU.quick_classify(classes(spark, sf_dir))
+
+
+@register("O9")
+def o9(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    cv, tv = vector_inputs(spark, sf_dir, cls)
+    return RC.recommend(cls, cv, tv, materialize=False)
+
+
+@register("O10")
+def o10(spark, sf_dir):
+    return PL.summary_counts(PL.apply_confidence_threshold(analysis(spark, sf_dir).results, 0.8))
+
+
+def flagship(spark, sf_dir):  # noqa: F811
+    return o9(spark, sf_dir)

@@ -141,3 +141,152 @@ row_counts AS (
 
 def with_ctes(*ctes: str, body: str) -> str:
     return "WITH " + ",".join(ctes) + "\n" + body
+
+
+# ---------------------------------------------------------------- scores
+def _score_sql(rules: dict) -> str:
+    s = "0.0::DOUBLE"
+    for p in rules["patterns"]:
+        s = f"({s} + CASE WHEN ends_with(lower(class_name), {_q(C.pattern_suffix(p))}) THEN {_d(C.PATTERN_WEIGHT)} ELSE 0.0::DOUBLE END)"
+    for k in rules["keywords"]:
+        s = f"({s} + CASE WHEN contains(lower(class_name), {_q(k)}) THEN {_d(C.KEYWORD_WEIGHT)} ELSE 0.0::DOUBLE END)"
+    meth = " OR ".join(f"contains(lower(m), {_q(r)})" for r in rules["methods"])
+    s = (f"({s} + least(CAST(len(list_filter(methods, lambda m: {meth})) AS DOUBLE) * {_d(C.METHOD_WEIGHT)}, "
+         f"{_d(C.METHOD_CAP)}))")
+    s = (f"({s} + least(CAST(len(list_filter(annotations, lambda a: list_contains({_list(rules['annotations'])}, a))) "
+         f"AS DOUBLE) * {_d(C.ANNOTATION_WEIGHT)}, {_d(C.ANNOTATION_CAP)}))")
+    return f"least({s}, {_d(C.RULE_CAP)})"
+
+
+def _lists(kind: str) -> str:
+    return "[" + ", ".join(_list(r[kind]) for _, r in C.PLACEMENT_RULES) + "]"
+
+
+def _suffix_lists() -> str:
+    return "[" + ", ".join(_list([C.pattern_suffix(p) for p in r["patterns"]]) for _, r in C.PLACEMENT_RULES) + "]"
+
+
+def cosine_sql(a: str, b: str) -> str:
+    dot = f"list_reduce(list_transform(generate_series(1, len({a})), lambda i: {a}[i] * {b}[i]), lambda p, q: p + q)"
+    na = f"sqrt(list_reduce(list_transform({a}, lambda x: x * x), lambda p, q: p + q))"
+    nb = f"sqrt(list_reduce(list_transform({b}, lambda x: x * x), lambda p, q: p + q))"
+    return f"(CASE WHEN {na} * {nb} <> 0 THEN {dot} / ({na} * {nb}) ELSE 0.0::DOUBLE END)"
+
+
+_TYPES = C.TYPE_NAMES
+_SCORE_COLS = ", ".join(f"{_score_sql(r)} AS s_{t}" for t, r in C.PLACEMENT_RULES)
+_BEST = "greatest(" + ", ".join(f"s_{t}" for t in _TYPES) + ")"
+_BEST_TYPE = "CASE " + " ".join(f"WHEN s_{t} = {_BEST} THEN {_q(t)}" for t in _TYPES) + " END"
+_BEST_ORD = "CASE " + " ".join(f"WHEN s_{t} = {_BEST} THEN {i}" for i, t in enumerate(_TYPES)) + " END"
+_PKG_TYPE = ("CASE " + " ".join(f"WHEN contains(lower(package), {_q(t)}) THEN {_q(t)}" for t in _TYPES)
+             + f" ELSE {_q(C.UNKNOWN_TYPE)} END")
+
+RULE_SCORES = f"""
+type_scores AS (SELECT c.*, {_SCORE_COLS} FROM classes c),
+rule_rows AS (
+  SELECT *, {_BEST} AS rule_score, {_BEST_TYPE} AS rule_type, {_BEST_ORD} AS rule_ord,
+         {_PKG_TYPE} AS current_type
+  FROM type_scores
+)"""
+
+VECTORS = f"""
+last_k AS (
+  SELECT project_id, class_name, k FROM (
+    SELECT project_id, class_name, k,
+           row_number() OVER (PARTITION BY project_id, class_name ORDER BY relative_path DESC, class_pos DESC) AS rn
+    FROM classes) WHERE rn = 1
+),
+class_vec AS (
+  SELECT l.project_id, l.class_name, CAST(e.embedding AS DOUBLE[]) AS vec
+  FROM last_k l JOIN embeddings e ON e.vec_id = l.k % {VECTOR_IDS}
+),
+type_vec AS (
+  SELECT CAST(vec_id AS INTEGER) AS type_ord, {_list(_TYPES)}[vec_id + 1] AS package_type,
+         CAST(embedding AS DOUBLE[]) AS vec
+  FROM embeddings WHERE vec_id < {len(_TYPES)}
+),
+type_cos AS (
+  SELECT cv.project_id, cv.class_name, tv.type_ord, tv.package_type, {cosine_sql('cv.vec', 'tv.vec')} AS cos
+  FROM class_vec cv CROSS JOIN type_vec tv
+),
+emb AS (
+  SELECT project_id, class_name, max(cos) AS emb_score,
+         arg_min(package_type, (-cos, type_ord)) AS emb_type
+  FROM type_cos GROUP BY ALL
+)"""
+
+
+def scored_cte(with_emb: bool = True, with_dep: bool = True) -> str:
+    emb = "coalesce(e.emb_score, 0.0::DOUBLE)" if with_emb else "0.0::DOUBLE"
+    dep = "CASE WHEN d.class_name IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END" if with_dep else "0.0::DOUBLE"
+    joins = ""
+    if with_emb:
+        joins += " LEFT JOIN emb e ON e.project_id = r.project_id AND e.class_name = r.class_name"
+    if with_dep:
+        joins += " LEFT JOIN dep d ON d.project_id = r.project_id AND d.class_name = r.class_name"
+    return f"""
+dep AS (SELECT DISTINCT project_id, src AS class_name FROM edges),
+scored AS (
+  SELECT r.*, {emb} AS embedding_score, {dep} AS dependency_score,
+         r.rule_score * {_d(C.RULE_MIX)} + {emb} * {_d(C.EMBEDDING_MIX)} + {dep} * {_d(C.DEPENDENCY_MIX)} AS total_score
+  FROM rule_rows r{joins}
+)"""
+
+
+_RM = _lists("methods")
+_RA = _lists("annotations")
+_RS = _suffix_lists()
+_MATCH = "len(list_filter({rm}[rule_ord + 1], lambda r: contains(lower(m), r))) > 0"
+REASON = f"""coalesce(nullif(concat_ws('; ',
+    CASE WHEN contains(lower(class_name), rule_type)
+         THEN 'Class name ''' || class_name || ''' suggests ' || rule_type || ' functionality' END,
+    CASE WHEN len(list_filter(annotations, lambda a: list_contains({_RA}[rule_ord + 1], lower(a)))) > 0
+         THEN 'Contains ' || rule_type || '-specific annotations: '
+              || array_to_string(list_filter(annotations, lambda a: list_contains({_RA}[rule_ord + 1], lower(a))), ', ') END,
+    CASE WHEN len(list_filter(methods[1:{C.REASON_METHODS_SCANNED}], lambda m: {_MATCH.format(rm=_RM)})) > 0
+         THEN 'Contains ' || rule_type || '-typical methods: '
+              || array_to_string(list_filter(methods[1:{C.REASON_METHODS_SCANNED}], lambda m: {_MATCH.format(rm=_RM)})[1:{C.METHODS_SHOWN}], ', ') END
+  ), ''), 'Semantic analysis suggests better fit in ' || rule_type || ' package')"""
+EVIDENCE = f"""coalesce(nullif(concat_ws('; ',
+    CASE WHEN len(list_filter({_RS}[rule_ord + 1], lambda p: ends_with(lower(class_name), p))) > 0
+         THEN 'Name matches ' || rule_type || ' pattern' END,
+    CASE WHEN len(list_filter(annotations, lambda a: list_contains({_RA}[rule_ord + 1], a))) > 0
+         THEN 'Annotations: ' || array_to_string(list_filter(annotations, lambda a: list_contains({_RA}[rule_ord + 1], a)), ', ') END,
+    CASE WHEN len(list_filter(methods[1:{C.EVIDENCE_METHODS_SCANNED}], lambda m: {_MATCH.format(rm=_RM)})) > 0
+         THEN 'Methods: '
+              || array_to_string(list_filter(methods[1:{C.EVIDENCE_METHODS_SCANNED}], lambda m: {_MATCH.format(rm=_RM)})[1:{C.METHODS_SHOWN}], ', ') END
+  ), ''), {_q(C.EVIDENCE_FALLBACK)})"""
+
+RESULTS = f"""
+flagged AS (
+  SELECT DISTINCT project_id, class_name FROM scored
+  WHERE total_score > {_d(C.MISPLACED_THRESHOLD)} AND current_type <> rule_type
+),
+last_scored AS (
+  SELECT * FROM (
+    SELECT s.*, row_number() OVER (PARTITION BY project_id, class_name
+                                   ORDER BY relative_path DESC, class_pos DESC) AS rn_last
+    FROM scored s) WHERE rn_last = 1
+),
+sugg AS (
+  SELECT l.project_id, l.class_name, l.rule_type AS suggested_package,
+         least(l.rule_score, {_d(C.CONFIDENCE_CAP)}) AS confidence,
+         {REASON} AS reasoning, {EVIDENCE} AS evidence,
+         {_q(C.METHOD_USED_SUGGESTION)} AS method_used
+  FROM last_scored l
+  WHERE EXISTS (SELECT 1 FROM flagged f WHERE f.project_id = l.project_id AND f.class_name = l.class_name)
+),
+results AS (
+  SELECT c.project_id, c.relative_path, c.class_pos, c.class_name AS class_id, c.class_name,
+         c.package AS current_package, s.class_name IS NOT NULL AS is_misplaced,
+         CASE WHEN s.class_name IS NOT NULL THEN s.confidence ELSE {_d(C.DEFAULT_CONFIDENCE)} END AS confidence,
+         CASE WHEN s.class_name IS NOT NULL THEN s.reasoning ELSE {_q(C.DEFAULT_REASONING)} END AS reasoning,
+         CASE WHEN s.class_name IS NOT NULL THEN s.suggested_package ELSE c.package END AS suggested_package,
+         CASE WHEN s.class_name IS NOT NULL THEN s.evidence ELSE {_q(C.DEFAULT_EVIDENCE)} END AS evidence,
+         CASE WHEN s.class_name IS NOT NULL THEN s.method_used ELSE {_q(C.METHOD_USED_DEFAULT)} END AS method_used
+  FROM classes c LEFT JOIN sugg s ON s.project_id = c.project_id AND s.class_name = c.class_name
+)"""
+
+
+def pipeline(with_emb: bool = True, with_dep: bool = True) -> list[str]:
+    return [GRAPH, RULE_SCORES, VECTORS, scored_cte(with_emb, with_dep), RESULTS]

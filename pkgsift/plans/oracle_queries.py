@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import BASE, with_ctes
+from .oracle import BASE, GRAPH, with_ctes
 
 SQL: dict[str, str] = {}
 
@@ -35,3 +35,208 @@ sql("E10", f"SELECT {FK}, content_preview FROM files")
 sql("E11", f"SELECT {RK}, class_name, package, file_path, {_j('imports')} AS imports, "
            f"{_j('methods')} AS methods, {_j('fields')} AS fields, {_j('annotations')} AS annotations, "
            f"extends, {_j('implements')} AS implements, class_type, content_preview FROM classes")
+
+
+# ------------------------------------------------------------------ D
+def gsql(name: str, body: str, *extra: str) -> None:
+    sql(name, body, GRAPH, *extra)
+
+
+gsql("D1", "SELECT project_id, class_name, package FROM class_index")
+gsql("D2", "SELECT project_id, src, dst FROM imp_edges")
+gsql("D3", "SELECT project_id, src, dst FROM ext_edges")
+gsql("D4", "SELECT project_id, src, dst FROM impl_edges")
+gsql("D5", "SELECT project_id, src, dst FROM edges")
+gsql("D6", """
+SELECT project_id, src AS class_name, 'dependencies' AS direction,
+       string_agg(dst, '|' ORDER BY dst) AS neighbours, CAST(count(*) AS INTEGER) AS n_neighbours
+FROM edges GROUP BY project_id, src
+UNION ALL
+SELECT project_id, dst AS class_name, 'dependents' AS direction,
+       string_agg(src, '|' ORDER BY src) AS neighbours, CAST(count(*) AS INTEGER) AS n_neighbours
+FROM edges GROUP BY project_id, dst""")
+gsql("D7", """
+SELECT DISTINCT i.project_id, i.package, x.package AS dep_package
+FROM imp_raw i JOIN class_index x ON x.project_id = i.project_id AND x.class_name = i.dst
+WHERE x.package <> i.package""")
+gsql("D8", "SELECT project_id, count(*) AS total_dependencies FROM edges GROUP BY project_id")
+
+COHESION = """
+pkg_rows AS (SELECT project_id, package, count(*) AS class_rows FROM classes GROUP BY ALL),
+dep_uses AS (
+  SELECT c.project_id, c.package, e.dst,
+         EXISTS (SELECT 1 FROM classes m WHERE m.project_id = c.project_id
+                 AND m.package = c.package AND m.class_name = e.dst) AS internal
+  FROM classes c JOIN edges e ON e.project_id = c.project_id AND e.src = c.class_name
+),
+dep_counts AS (
+  SELECT project_id, package, count(*) FILTER (WHERE internal) AS internal_deps, count(*) AS total_deps
+  FROM dep_uses GROUP BY ALL
+),
+cohesion AS (
+  SELECT r.project_id, r.package, CAST(r.class_rows AS BIGINT) AS class_rows,
+         CAST(coalesce(d.internal_deps, 0) AS BIGINT) AS internal_deps,
+         CAST(coalesce(d.total_deps, 0) - coalesce(d.internal_deps, 0) AS BIGINT) AS external_deps,
+         CASE WHEN r.class_rows <= 1 THEN 1.0::DOUBLE
+              WHEN coalesce(d.total_deps, 0) = 0 THEN 1.0::DOUBLE
+              ELSE CAST(d.internal_deps AS DOUBLE) / CAST(d.total_deps AS DOUBLE) END AS cohesion
+  FROM pkg_rows r LEFT JOIN dep_counts d USING (project_id, package)
+),
+efferent AS (
+  SELECT c.project_id, c.package, count(*) AS efferent
+  FROM classes c JOIN edges e ON e.project_id = c.project_id AND e.src = c.class_name
+  JOIN class_index x ON x.project_id = e.project_id AND x.class_name = e.dst
+  WHERE x.package <> c.package GROUP BY ALL
+),
+afferent AS (
+  SELECT c.project_id, c.package, count(*) AS afferent
+  FROM classes c JOIN edges e ON e.project_id = c.project_id AND e.dst = c.class_name
+  JOIN class_index x ON x.project_id = e.project_id AND x.class_name = e.src
+  WHERE x.package <> c.package GROUP BY ALL
+),
+pkg_deps AS (
+  SELECT DISTINCT i.project_id, i.package, x.package AS dep_package
+  FROM imp_raw i JOIN class_index x ON x.project_id = i.project_id AND x.class_name = i.dst
+  WHERE x.package <> i.package
+),
+dep_summary AS (
+  SELECT p.project_id,
+    CAST(coalesce((SELECT count(*) FROM edges e WHERE e.project_id = p.project_id), 0) AS BIGINT) AS total_dependencies,
+    CAST(coalesce((SELECT count(DISTINCT src) FROM edges e WHERE e.project_id = p.project_id), 0) AS BIGINT) AS dependent_classes,
+    CAST(coalesce((SELECT count(DISTINCT dst) FROM edges e WHERE e.project_id = p.project_id), 0) AS BIGINT) AS depended_classes,
+    (SELECT count(*) FROM cohesion h WHERE h.project_id = p.project_id) AS packages,
+    (SELECT min(cohesion) FROM cohesion h WHERE h.project_id = p.project_id) AS min_cohesion,
+    (SELECT max(cohesion) FROM cohesion h WHERE h.project_id = p.project_id) AS max_cohesion,
+    CAST(coalesce((SELECT sum(efferent) FROM efferent f WHERE f.project_id = p.project_id), 0) AS BIGINT) AS efferent_total,
+    CAST(coalesce((SELECT sum(afferent) FROM afferent f WHERE f.project_id = p.project_id), 0) AS BIGINT) AS afferent_total,
+    CAST(coalesce((SELECT count(*) FROM pkg_deps d WHERE d.project_id = p.project_id), 0) AS BIGINT) AS package_dependencies
+  FROM (SELECT DISTINCT project_id FROM classes) p
+)"""
+
+gsql("D9", "SELECT * FROM cohesion", COHESION)
+gsql("D10", "SELECT project_id, package, CAST(efferent AS BIGINT) AS efferent FROM efferent", COHESION)
+gsql("D11", "SELECT project_id, package, CAST(afferent AS BIGINT) AS afferent FROM afferent", COHESION)
+gsql("D13", "SELECT * FROM dep_summary", COHESION)
+
+
+# ------------------------------------------------------------------ R, M, O
+from ..functions import constants as C  # noqa: E402
+from .oracle import (RULE_SCORES, VECTORS, _d, _list, _q, _score_sql, cosine_sql,  # noqa: E402
+                     pipeline)
+
+
+def psql(name: str, body: str, with_emb: bool = True, with_dep: bool = True, *extra: str) -> None:
+    sql(name, body, *pipeline(with_emb, with_dep), *extra)
+
+
+def _part_sql(rules: dict, kind: str) -> str:
+    if kind == "pattern":
+        s = "0.0::DOUBLE"
+        for p in rules["patterns"]:
+            s = f"({s} + CASE WHEN ends_with(lower(class_name), {_q(C.pattern_suffix(p))}) THEN {_d(C.PATTERN_WEIGHT)} ELSE 0.0::DOUBLE END)"
+        return s
+    if kind == "keyword":
+        s = "0.0::DOUBLE"
+        for k in rules["keywords"]:
+            s = f"({s} + CASE WHEN contains(lower(class_name), {_q(k)}) THEN {_d(C.KEYWORD_WEIGHT)} ELSE 0.0::DOUBLE END)"
+        return s
+    if kind == "method":
+        meth = " OR ".join(f"contains(lower(m), {_q(r)})" for r in rules["methods"])
+        return (f"least(CAST(len(list_filter(methods, lambda m: {meth})) AS DOUBLE) * {_d(C.METHOD_WEIGHT)}, "
+                f"{_d(C.METHOD_CAP)})")
+    return (f"least(CAST(len(list_filter(annotations, lambda a: list_contains({_list(rules['annotations'])}, a))) "
+            f"AS DOUBLE) * {_d(C.ANNOTATION_WEIGHT)}, {_d(C.ANNOTATION_CAP)})")
+
+
+for _rid, _kind in (("R2", "pattern"), ("R3", "keyword"), ("R4", "method"), ("R5", "annotation")):
+    _cols = ", ".join(f"{_part_sql(r, _kind)} AS {_kind}_{t}" for t, r in C.PLACEMENT_RULES)
+    sql(_rid, f"SELECT {RK}, class_name, {_cols} FROM classes")
+
+_TYPE_ROWS = " UNION ALL ".join(
+    f"SELECT {_q(t)} AS package_type, CAST({i} AS INTEGER) AS type_ord, "
+    f"{_q('|'.join(r['keywords']))} AS keywords, {_q('|'.join(r['patterns']))} AS patterns, "
+    f"{_q('|'.join(r['methods']))} AS methods, {_q('|'.join(r['annotations']))} AS annotations"
+    for i, (t, r) in enumerate(C.PLACEMENT_RULES))
+_LONG = " UNION ALL ".join(f"SELECT rule_type, {_q(t)} AS package_type, s_{t} AS s FROM rule_rows"
+                           for t in C.TYPE_NAMES)
+sql("R1", f"""
+SELECT t.*, coalesce(u.rows_scored, 0) AS rows_scored, coalesce(u.rows_best, 0) AS rows_best
+FROM ({_TYPE_ROWS}) t LEFT JOIN (
+  SELECT package_type, count(*) FILTER (WHERE s > 0) AS rows_scored,
+         count(*) FILTER (WHERE rule_type = package_type) AS rows_best
+  FROM ({_LONG}) GROUP BY package_type) u USING (package_type)""", RULE_SCORES)
+_SC = ", ".join(f"s_{t} AS score_{t}" for t in C.TYPE_NAMES)
+sql("R6", f"SELECT {RK}, class_name, {_SC}, rule_score, rule_type FROM rule_rows", RULE_SCORES)
+sql("R7", """
+SELECT n.project_id, n.class_name, coalesce(e.emb_score, 0.0::DOUBLE) AS embedding_score
+FROM (SELECT DISTINCT project_id, class_name FROM classes) n
+LEFT JOIN emb e ON e.project_id = n.project_id AND e.class_name = n.class_name""", VECTORS)
+gsql("R8", """
+SELECT n.project_id, n.class_name,
+       CASE WHEN EXISTS (SELECT 1 FROM edges e WHERE e.project_id = n.project_id AND e.src = n.class_name)
+            THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS dependency_score
+FROM names n""")
+sql("R10", f"SELECT {RK}, package, current_type FROM rule_rows", RULE_SCORES)
+psql("R9", f"SELECT {RK}, class_name, rule_score, embedding_score, dependency_score, total_score FROM scored")
+psql("R11", "SELECT project_id, class_name FROM flagged")
+psql("R12", "SELECT project_id, class_name, confidence FROM sugg")
+psql("R13", "SELECT project_id, class_name, reasoning FROM sugg")
+psql("R14", "SELECT project_id, class_name, evidence FROM sugg")
+psql("R15", "SELECT * FROM sugg")
+
+_SEM = f"""concat_ws(' ',
+  'Class name: ' || class_name,
+  CASE WHEN len(methods) > 0 THEN 'Methods: ' || array_to_string(methods[1:{C.SEMANTIC_METHODS}], ' ') END,
+  CASE WHEN len(fields) > 0 THEN 'Fields: ' || array_to_string(fields[1:{C.SEMANTIC_FIELDS}], ' ') END,
+  CASE WHEN len(annotations) > 0 THEN 'Annotations: ' || array_to_string(annotations, ' ') END,
+  'Type: ' || class_type,
+  CASE WHEN content_preview <> '' THEN 'Content: ' || content_preview END)"""
+sql("M1", f"SELECT {RK}, class_name, {_SEM} AS semantic_text FROM classes")
+sql("M6", "SELECT project_id, class_name, emb_type, emb_score FROM emb", VECTORS)
+sql("M7", f"""
+SELECT e.project_id, e.src, e.dst, {cosine_sql('a.vec', 'b.vec')} AS cosine
+FROM edges e JOIN class_vec a ON a.project_id = e.project_id AND a.class_name = e.src
+JOIN class_vec b ON b.project_id = e.project_id AND b.class_name = e.dst""", GRAPH, VECTORS)
+
+RESULT_COLS = ("project_id, relative_path, class_pos, class_id, class_name, current_package, is_misplaced, "
+               "confidence, reasoning, suggested_package, evidence, method_used")
+psql("O1", f"SELECT {RESULT_COLS} FROM results")
+psql("O9", f"SELECT {RESULT_COLS} FROM results")
+psql("O5", f"SELECT {RESULT_COLS} FROM results", False, True)
+THRESH = "(is_misplaced AND NOT (confidence < 0.8::DOUBLE))"
+psql("O3", f"SELECT {RK}, class_name, {THRESH} AS is_misplaced, confidence FROM results")
+sql("O4", f"""
+SELECT {RK}, class_name FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY relative_path, class_pos) AS rn FROM classes)
+WHERE rn <= 3""")
+psql("O6", f"""
+SELECT project_id, CAST(rank AS INTEGER) AS rank, class_name, current_package, suggested_package, confidence,
+       substring(reasoning, 1, {C.TOP_REASON_CHARS}) AS reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id
+                               ORDER BY confidence DESC, class_name, relative_path, class_pos) AS rank
+  FROM results WHERE is_misplaced) WHERE rank <= {C.TOP_RECOMMENDATIONS}""")
+psql("O7", f"""
+SELECT project_id, CAST(rank AS INTEGER) AS rank, class_name, current_package, suggested_package, confidence,
+       substring(reasoning, 1, {C.FIRST_MISPLACED_REASON_CHARS}) AS reason FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY relative_path, class_pos) AS rank
+  FROM results WHERE is_misplaced) WHERE rank <= {C.TOP_RECOMMENDATIONS}""")
+_c1, _c2, _c3, _c4 = C.DEMO_CONFIDENCES
+sql("O8", f"""
+SELECT {RK}, class_name, package,
+  CASE WHEN (contains(class_name, 'Controller') AND list_contains(annotations, 'RestController'))
+         OR contains(class_name, 'Generator') OR len(list_filter(methods, lambda m: contains(m, 'export'))) > 0
+       THEN contains(package, 'model') ELSE false END AS is_misplaced,
+  CASE WHEN contains(class_name, 'Controller') AND list_contains(annotations, 'RestController') THEN {_q(C.DEMO_CONTROLLER_PACKAGE)}
+       WHEN contains(class_name, 'Generator') OR len(list_filter(methods, lambda m: contains(m, 'export'))) > 0 THEN {_q(C.DEMO_SERVICE_PACKAGE)}
+       ELSE package END AS suggested_package,
+  CASE WHEN contains(class_name, 'Controller') AND list_contains(annotations, 'RestController') THEN {_d(_c1)}
+       WHEN contains(class_name, 'Generator') OR len(list_filter(methods, lambda m: contains(m, 'export'))) > 0 THEN {_d(_c2)}
+       WHEN list_contains(annotations, 'Entity') THEN {_d(_c3)} ELSE {_d(_c4)} END AS confidence,
+  CASE WHEN contains(class_name, 'Controller') AND list_contains(annotations, 'RestController') THEN {_q(C.DEMO_CONTROLLER_REASON)}
+       WHEN contains(class_name, 'Generator') OR len(list_filter(methods, lambda m: contains(m, 'export'))) > 0 THEN {_q(C.DEMO_SERVICE_REASON)}
+       WHEN list_contains(annotations, 'Entity') THEN {_q(C.DEMO_ENTITY_REASON)} ELSE {_q(C.DEMO_DEFAULT_REASON)} END AS reasoning
+FROM classes""")
+psql("O10", f"""
+SELECT project_id, count(*) AS total_classes, count(*) FILTER (WHERE {THRESH}) AS misplaced_classes,
+       CAST(count(*) FILTER (WHERE {THRESH}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS misplacement_rate
+FROM results GROUP BY project_id""")
