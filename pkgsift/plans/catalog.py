@@ -384,3 +384,35 @@ def o10(spark, sf_dir):
 
 def flagship(spark, sf_dir):  # noqa: F811
     return o9(spark, sf_dir)
+
+
+# ------------------------------------------------------------------ P
+from ..operators import metrics as P  # noqa: E402
+
+FIXED_RUN_TIME = 1.25
+FIXED_RUN_STAMP = "2026-01-01T00:00:00"
+
+
+def results_table(spark, sf_dir, fixed_time: bool = False):
+    res = analysis(spark, sf_dir).results
+    return PL.with_run_metadata(res, FIXED_RUN_TIME, FIXED_RUN_STAMP) if fixed_time else res
+
+
+register("P1")(lambda spark, sf_dir: P.overview(results_table(spark, sf_dir)))
+register("P2")(lambda spark, sf_dir: P.confidence_stats(results_table(spark, sf_dir)))
+register("P3")(lambda spark, sf_dir: P.package_distribution(results_table(spark, sf_dir)))
+register("P4")(lambda spark, sf_dir: P.suggested_distribution(results_table(spark, sf_dir)))
+register("P5")(lambda spark, sf_dir: P.package_misplacement_rates(results_table(spark, sf_dir)).drop("first_seen"))
+register("P6")(lambda spark, sf_dir: P.most_problematic_package(results_table(spark, sf_dir)))
+register("P7")(lambda spark, sf_dir: P.confidence_buckets(results_table(spark, sf_dir)))
+register("P8")(lambda spark, sf_dir: P.reasoning_quality(results_table(spark, sf_dir)))
+register("P9")(lambda spark, sf_dir: P.time_stats(results_table(spark, sf_dir, fixed_time=True)))
+register("P10")(lambda spark, sf_dir: P.methods_used(results_table(spark, sf_dir)))
+register("P11")(lambda spark, sf_dir: P.top_packages(results_table(spark, sf_dir)))
+
+
+@register("P12")
+def p12(spark, sf_dir):
+    m = P.full_metrics(results_table(spark, sf_dir, fixed_time=True))
+    maps = ["package_distribution", "suggested_package_distribution", "analysis_methods_used"]
+    return m.select(*[c for c in m.columns if c not in maps], *[P.map_text(c).alias(c) for c in maps])

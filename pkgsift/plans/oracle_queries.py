@@ -240,3 +240,88 @@ psql("O10", f"""
 SELECT project_id, count(*) AS total_classes, count(*) FILTER (WHERE {THRESH}) AS misplaced_classes,
        CAST(count(*) FILTER (WHERE {THRESH}) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS misplacement_rate
 FROM results GROUP BY project_id""")
+
+
+# ------------------------------------------------------------------ P
+_R9 = 9
+_T = "CAST(count(*) AS DOUBLE)"
+_M = "count(*) FILTER (WHERE is_misplaced)"
+P1_SQL = f"""
+SELECT project_id, count(*) AS total_classes_analyzed, {_M} AS misplaced_classes_found,
+       count(*) - {_M} AS correctly_placed_classes,
+       CASE WHEN count(*) > 0 THEN CAST({_M} AS DOUBLE) / {_T} ELSE 0.0::DOUBLE END AS misplacement_rate,
+       CASE WHEN count(*) > 0 THEN CAST(count(*) - {_M} AS DOUBLE) / {_T} ELSE 0.0::DOUBLE END AS accuracy_rate
+FROM results GROUP BY project_id"""
+P2_SQL = f"""
+SELECT project_id, round(avg(confidence), {_R9}) AS average_confidence, min(confidence) AS min_confidence,
+       max(confidence) AS max_confidence, round(stddev_samp(confidence), {_R9}) AS confidence_std
+FROM results WHERE is_misplaced GROUP BY project_id"""
+P5_SQL = """
+SELECT project_id, current_package AS package, count(*) AS total_classes,
+       count(*) FILTER (WHERE is_misplaced) AS misplaced_classes,
+       CAST(count(*) FILTER (WHERE is_misplaced) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS misplacement_rate,
+       min(relative_path || chr(0) || lpad(CAST(class_pos AS VARCHAR), 10, '0')) AS first_seen
+FROM results GROUP BY ALL"""
+P6_SQL = f"""
+SELECT project_id, package AS most_problematic_package, misplacement_rate FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY misplacement_rate DESC, first_seen) AS rn
+  FROM ({P5_SQL})) WHERE rn = 1"""
+P7_SQL = f"""
+SELECT project_id,
+  count(*) FILTER (WHERE is_misplaced AND confidence >= {C.HIGH_CONFIDENCE!r}::DOUBLE) AS high_confidence_suggestions,
+  count(*) FILTER (WHERE is_misplaced AND confidence >= {C.MEDIUM_CONFIDENCE!r}::DOUBLE
+                   AND confidence < {C.HIGH_CONFIDENCE!r}::DOUBLE) AS medium_confidence_suggestions,
+  count(*) FILTER (WHERE is_misplaced AND confidence < {C.MEDIUM_CONFIDENCE!r}::DOUBLE) AS low_confidence_suggestions
+FROM results GROUP BY project_id"""
+_KWS = " OR ".join(f"contains(lower(reasoning), {_q(k)})" for k in C.REASONING_KEYWORDS)
+_WORDS = "len(list_filter(regexp_split_to_array(reasoning, '\\s+'), lambda w: w <> ''))"
+P8_SQL = f"""
+SELECT project_id, round(coalesce(avg(CASE WHEN is_misplaced THEN
+         least(least(CAST({_WORDS} AS DOUBLE) / {C.REASONING_WORDS_FULL!r}::DOUBLE, 1.0::DOUBLE)
+               + CASE WHEN {_KWS} THEN {C.REASONING_BONUS!r}::DOUBLE ELSE 0.0::DOUBLE END, 1.0::DOUBLE) END),
+         1.0::DOUBLE), {_R9}) AS reasoning_quality_score
+FROM results GROUP BY project_id"""
+TIMED = "results_t AS (SELECT *, 1.25::DOUBLE AS analysis_time FROM results)"
+P9_SQL = f"""
+SELECT project_id, round(avg(analysis_time), {_R9}) AS average_analysis_time,
+       arg_min(analysis_time, relative_path || chr(0) || lpad(CAST(class_pos AS VARCHAR), 10, '0')) AS total_analysis_time,
+       round(avg(analysis_time) / CAST(count(*) AS DOUBLE), {_R9}) AS analysis_time_per_class
+FROM results_t GROUP BY project_id"""
+
+
+def _map_sql(key: str, src: str, where: str = "") -> str:
+    return (f"SELECT project_id, string_agg({key} || '=' || CAST(n AS VARCHAR), ',' ORDER BY {key}) AS m "
+            f"FROM (SELECT project_id, {key}, count(*) AS n FROM {src} {where} GROUP BY ALL) GROUP BY project_id")
+
+
+psql("P1", P1_SQL)
+psql("P2", P2_SQL)
+psql("P3", "SELECT project_id, current_package AS package, count(*) AS classes FROM results GROUP BY ALL")
+psql("P4", "SELECT project_id, suggested_package, count(*) AS classes FROM results WHERE is_misplaced GROUP BY ALL")
+psql("P5", f"SELECT * EXCLUDE (first_seen) FROM ({P5_SQL})")
+psql("P6", P6_SQL)
+psql("P7", P7_SQL)
+psql("P8", P8_SQL)
+psql("P9", P9_SQL, True, True, TIMED)
+psql("P10", "SELECT project_id, method_used, count(*) AS rows FROM results GROUP BY ALL")
+psql("P11", f"""
+SELECT project_id, CAST(rank AS INTEGER) AS rank, package, classes FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY classes DESC, first_seen) AS rank FROM (
+    SELECT project_id, current_package AS package, count(*) AS classes,
+           min(relative_path || chr(0) || lpad(CAST(class_pos AS VARCHAR), 10, '0')) AS first_seen
+    FROM results GROUP BY ALL)) WHERE rank <= {C.TOP_PACKAGES}""")
+psql("P12", f"""
+SELECT o.*, c.average_confidence, c.min_confidence, c.max_confidence, c.confidence_std,
+       pd.m AS package_distribution, coalesce(sd.m, '') AS suggested_package_distribution,
+       mp.most_problematic_package, b.high_confidence_suggestions, b.medium_confidence_suggestions,
+       b.low_confidence_suggestions, q.reasoning_quality_score, t.average_analysis_time,
+       t.total_analysis_time, t.analysis_time_per_class, mu.m AS analysis_methods_used
+FROM ({P1_SQL}) o
+LEFT JOIN ({P2_SQL}) c USING (project_id)
+LEFT JOIN ({_map_sql('current_package', 'results')}) pd USING (project_id)
+LEFT JOIN ({_map_sql('suggested_package', 'results', 'WHERE is_misplaced')}) sd USING (project_id)
+LEFT JOIN ({P6_SQL}) mp USING (project_id)
+LEFT JOIN ({P7_SQL}) b USING (project_id)
+LEFT JOIN ({P8_SQL}) q USING (project_id)
+LEFT JOIN ({P9_SQL}) t USING (project_id)
+LEFT JOIN ({_map_sql('method_used', 'results')}) mu USING (project_id)""", True, True, TIMED)
