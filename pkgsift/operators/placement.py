@@ -50,10 +50,14 @@ def scored_rows(classes: DataFrame, edge_df: DataFrame | None, emb: DataFrame |
         RU.package_type(F.col("package")).alias("current_type"))
 
 
-def flagged_rows(scored: DataFrame) -> DataFrame:
+def flag_expr() -> Column:
     """R11 (row level): total above the threshold and a different suggested type."""
-    return scored.where((F.col("total_score") > D(C.MISPLACED_THRESHOLD))
-                        & (F.col("current_type") != F.col("rule_type")))
+    return ((F.col("total_score") > D(C.MISPLACED_THRESHOLD))
+            & (F.col("current_type") != F.col("rule_type")))
+
+
+def flagged_rows(scored: DataFrame) -> DataFrame:
+    return scored.where(flag_expr())
 
 
 def misplaced_names(scored: DataFrame) -> DataFrame:
@@ -61,13 +65,21 @@ def misplaced_names(scored: DataFrame) -> DataFrame:
     return flagged_rows(scored).select(PID, "class_name").distinct()
 
 
+LAST_COLUMNS = ["package", "relative_path", "class_pos", "methods", "annotations", "rule_score",
+                "rule_type", "rule_ord"]
+
+
+def name_summary(scored: DataFrame) -> DataFrame:
+    """Per name, in one partial aggregation: flagged by any row, and the last row."""
+    agg = (scored.groupBy(PID, "class_name")
+           .agg(F.max(flag_expr()).alias("flagged"),
+                F.max_by(F.struct(*LAST_COLUMNS), order_key()).alias("r")))
+    return agg.select(PID, "class_name", "flagged", *[F.col("r")[c].alias(c) for c in LAST_COLUMNS])
+
+
 def last_rows(scored: DataFrame) -> DataFrame:
     """The last row (order key) of every name, as flat columns."""
-    cols = ["package", "relative_path", "class_pos", "methods", "annotations", "rule_score",
-            "rule_type", "rule_ord"]
-    agg = (scored.groupBy(PID, "class_name")
-           .agg(F.max_by(F.struct(*cols), order_key()).alias("r")))
-    return agg.select(PID, "class_name", *[F.col("r")[c].alias(c) for c in cols])
+    return name_summary(scored).drop("flagged")
 
 
 def _matching_methods(methods: Column, ord_col: Column, scanned: int) -> Column:
@@ -108,8 +120,10 @@ def evidence(name: Column, methods: Column, annotations: Column, s: Column, o: C
 
 def suggestions(scored: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One suggestion per misplaced name, from the last row of that name."""
-    names = misplaced_names(scored) if names is None else names
-    last = last_rows(scored).join(names, [PID, "class_name"], "left_semi")
+    if names is None:
+        last = name_summary(scored).where(F.col("flagged"))
+    else:
+        last = last_rows(scored).join(names, [PID, "class_name"], "left_semi")
     s, o = F.col("rule_type"), F.col("rule_ord")
     return last.select(
         PID, "class_name",

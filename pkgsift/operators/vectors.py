@@ -117,14 +117,30 @@ def _py_norm(v: list[float]) -> float:
     return math.sqrt(acc)
 
 
+def _unrolled_sum(terms: list[Column]) -> Column:
+    acc = ZERO()
+    for t in terms:
+        acc = acc + t
+    return acc
+
+
 def type_cosines(vec: Column, types: list[tuple[str, int, list[float]]]) -> list[Column]:
-    """Cosine of ``vec`` with each type vector (one column per type, in type order)."""
-    n = norm(vec)
+    """Cosine of ``vec`` with each type vector (one column per type, in type order).
+
+    The type vectors are fixed parameters, so each dot product is unrolled
+    into a plain left-to-right sum of products: compiled by whole-stage
+    codegen, no per-element lambda calls, same summation order as a fold.
+    A vector of another length gets cosine 0.
+    """
+    dim = len(types[0][2])
+    items = [vec.getItem(i) for i in range(dim)]
+    n = F.sqrt(_unrolled_sum([x * x for x in items]))
+    ok = F.size(vec) == F.lit(dim)
     out = []
     for _, _, tv in types:
-        lit_vec = F.array(*[F.lit(x) for x in tv]).cast("array<double>")
+        d = _unrolled_sum([x * F.lit(float(w)) for x, w in zip(items, tv)])
         denom = n * F.lit(_py_norm(tv))
-        out.append(F.when(denom != 0, dot(vec, lit_vec) / denom).otherwise(ZERO()))
+        out.append(F.when(ok & (denom != 0), d / denom).otherwise(ZERO()))
     return out
 
 

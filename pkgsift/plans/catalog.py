@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extract as X
+from ..operators import cycles as CY
 from ..operators import graph as G
+from ..session import materialize
 from ..sources import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,8 +192,21 @@ D13_COLUMNS = ["project_id", "total_dependencies", "dependent_classes", "depende
 
 @register("D13")
 def d13(spark, sf_dir):
-    c = classes(spark, sf_dir)
-    return G.dependency_summary(c).select(*D13_COLUMNS)
+    c = classes_table(spark, sf_dir)
+    e = materialize(G.edges(c), "edges")
+    return G.dependency_summary(c, e, CY.cyclic_classes(e)).select(*D13_COLUMNS, "has_cycle", "cyclic_classes")
+
+
+@register("D12")
+def d12(spark, sf_dir):
+    e = materialize(G.edges(classes(spark, sf_dir)), "edges")
+    return CY.cyclic_classes(e)
+
+
+@register("D12_cycles")
+def d12_cycles(spark, sf_dir):
+    e = materialize(G.edges(classes(spark, sf_dir)), "edges")
+    return CY.simple_cycles(e)
 
 
 # ------------------------------------------------------------------ shared pipeline inputs
@@ -199,13 +214,13 @@ from ..functions import constants as C  # noqa: E402
 from ..operators import placement as PL  # noqa: E402
 from ..operators import rules as RU  # noqa: E402
 from ..operators import vectors as V  # noqa: E402
-from ..session import cut_lineage, read_table  # noqa: E402
+from ..session import materialize, read_table  # noqa: E402
 from . import recommend as RC  # noqa: E402
 
 
 def classes_table(spark, sf_dir):
     """The class table written once to the shared checkpoint folder."""
-    return cut_lineage(classes(spark, sf_dir))
+    return materialize(classes(spark, sf_dir), "classes")
 
 
 def vector_inputs(spark, sf_dir, cls):

@@ -140,7 +140,7 @@ row_counts AS (
 
 
 def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",".join(ctes) + "\n" + body
+    return "WITH RECURSIVE " + ",".join(ctes) + "\n" + body
 
 
 # ---------------------------------------------------------------- scores
@@ -290,3 +290,30 @@ results AS (
 
 def pipeline(with_emb: bool = True, with_dep: bool = True) -> list[str]:
     return [GRAPH, RULE_SCORES, VECTORS, scored_cte(with_emb, with_dep), RESULTS]
+
+
+# ---------------------------------------------------------------- cycles
+REACH = """
+reach AS (
+  SELECT project_id, src AS a, dst AS b FROM edges
+  UNION
+  SELECT r.project_id, r.a, e.dst FROM reach r JOIN edges e ON e.project_id = r.project_id AND e.src = r.b
+),
+cyclic AS (SELECT DISTINCT project_id, a AS class_name FROM reach WHERE a = b),
+cyc_edges AS (
+  SELECT e.project_id, e.src, e.dst FROM edges e
+  WHERE EXISTS (SELECT 1 FROM reach r WHERE r.project_id = e.project_id AND r.a = e.dst AND r.b = e.src)
+),
+paths AS (
+  SELECT project_id, src AS start, dst AS last, [src, dst] AS path FROM cyc_edges WHERE dst > src
+  UNION ALL
+  SELECT p.project_id, p.start, e.dst, list_append(p.path, e.dst)
+  FROM paths p JOIN cyc_edges e ON e.project_id = p.project_id AND e.src = p.last
+  WHERE e.dst > p.start AND NOT list_contains(p.path, e.dst) AND len(p.path) < 5
+),
+cycles AS (
+  SELECT project_id, src || '->' || dst AS cycle, 1 AS length FROM edges WHERE src = dst
+  UNION ALL
+  SELECT p.project_id, array_to_string(list_append(p.path, p.start), '->') AS cycle, len(p.path) AS length
+  FROM paths p JOIN cyc_edges e ON e.project_id = p.project_id AND e.src = p.last AND e.dst = p.start
+)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import BASE, GRAPH, with_ctes
+from .oracle import BASE, GRAPH, REACH, with_ctes
 
 SQL: dict[str, str] = {}
 
@@ -116,7 +116,12 @@ dep_summary AS (
 gsql("D9", "SELECT * FROM cohesion", COHESION)
 gsql("D10", "SELECT project_id, package, CAST(efferent AS BIGINT) AS efferent FROM efferent", COHESION)
 gsql("D11", "SELECT project_id, package, CAST(afferent AS BIGINT) AS afferent FROM afferent", COHESION)
-gsql("D13", "SELECT * FROM dep_summary", COHESION)
+gsql("D13", """
+SELECT d.*, coalesce(c.n, 0) > 0 AS has_cycle, CAST(coalesce(c.n, 0) AS BIGINT) AS cyclic_classes
+FROM dep_summary d LEFT JOIN (SELECT project_id, count(*) AS n FROM cyclic GROUP BY ALL) c USING (project_id)""",
+     COHESION, REACH)
+gsql("D12", "SELECT project_id, class_name FROM cyclic", REACH)
+gsql("D12_cycles", "SELECT project_id, cycle, CAST(length AS INTEGER) AS length FROM cycles", REACH)
 
 
 # ------------------------------------------------------------------ R, M, O

@@ -16,7 +16,7 @@ from ..functions import constants as C
 from ..operators import graph as G
 from ..operators import placement as PL
 from ..operators.vectors import type_vectors_literal
-from ..session import cut_lineage
+from ..session import materialize
 
 
 @dataclass
@@ -35,7 +35,7 @@ def analyze(classes: DataFrame, class_vec: DataFrame | None = None, type_vec: Da
     if max_classes is not None:
         classes = PL.limit_classes(classes, max_classes)
     if materialize:
-        classes = cut_lineage(classes)
+        classes = materialize(classes, "classes")
     edge_df = G.edges(classes) if use_dependencies else None
     emb = None
     if use_embeddings and class_vec is not None and type_vec is not None:
@@ -56,5 +56,5 @@ def recommend(classes: DataFrame, class_vec: DataFrame | None = None, type_vec:
 def recommend_with_metadata(classes: DataFrame, class_vec=None, type_vec=None, **kw) -> DataFrame:
     """O2: materialise the results, then stamp the measured run time and a timestamp."""
     start = time.time()
-    res = cut_lineage(recommend(classes, class_vec, type_vec, **kw))
+    res = materialize(recommend(classes, class_vec, type_vec, **kw), "results")
     return PL.with_run_metadata(res, time.time() - start)
