@@ -431,3 +431,93 @@ def p12(spark, sf_dir):
     m = P.full_metrics(results_table(spark, sf_dir, fixed_time=True))
     maps = ["package_distribution", "suggested_package_distribution", "analysis_methods_used"]
     return m.select(*[c for c in m.columns if c not in maps], *[P.map_text(c).alias(c) for c in maps])
+
+
+# ------------------------------------------------------------------ S, K (real files)
+from ..session import scratch_path  # noqa: E402
+from ..sources import files as FS  # noqa: E402
+from ..sources import sinks as SK  # noqa: E402
+
+_TREES: dict[tuple[str, str], str] = {}
+
+
+def layout_prefix(rel):
+    """Folder placed before a generated file: build output, VCS or none (by order key)."""
+    k = corpus.file_key(rel)
+    return (F.when(k % 9 == 0, F.lit("target/")).when(k % 9 == 1, F.lit("mod/build/"))
+            .when(k % 9 == 2, F.lit(".git/")).otherwise(F.lit("")))
+
+
+def source_tree(spark, sf_dir):
+    """The generated corpus written as a real file tree (once per session and scale)."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _TREES:
+        root = scratch_path(spark, "java-tree")
+        FS.write_source_tree(_files(spark, sf_dir), root, layout_prefix(F.col("relative_path")))
+        _TREES[key] = root
+    return _TREES[key]
+
+
+@register("S1")
+def s1(spark, sf_dir):
+    root = source_tree(spark, sf_dir)
+    lst = FS.with_project(FS.scan_sources(spark, root).select("path", "length"), root)
+    return lst.select("project_id", FS.relative_path(F.col("path"), F.col("root")).alias("relative_path"),
+                      "length")
+
+
+@register("S2")
+def s2(spark, sf_dir):
+    return FS.paths_below_pruned(corpus.listing(spark, sf_dir))
+
+
+@register("S3")
+def s3(spark, sf_dir):
+    return FS.java_files_from_tree(spark, source_tree(spark, sf_dir)).select(
+        "project_id", "relative_path", "content")
+
+
+@register("S4")
+def s4(spark, sf_dir):
+    lst = corpus.listing(spark, sf_dir)
+    return lst.select("project_id", "path", FS.relative_path(F.col("path"), F.col("root")).alias("relative_path"))
+
+
+@register("S5")
+def s5(spark, sf_dir):
+    """Files whose bytes are not valid UTF-8 (decoded with the bad bytes dropped)."""
+    root = source_tree(spark, sf_dir)
+    lst = FS.with_project(FS.scan_sources(spark, root), root)
+    return lst.where(~F.is_valid_utf8(F.col("content").cast("string"))).select(
+        "project_id", FS.relative_path(F.col("path"), F.col("root")).alias("relative_path"),
+        FS.decode_text(F.col("content")).alias("content"))
+
+
+@register("S6")
+def s6(spark, sf_dir):
+    return corpus.listing(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("java_files"))
+
+
+@register("K1")
+def k1(spark, sf_dir):
+    res = RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir))
+    path = SK.write_results_csv(res, scratch_path(spark, "results-csv"))
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+
+
+@register("K2")
+def k2(spark, sf_dir):
+    m = P.full_metrics(RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir)))
+    path = SK.write_metrics_json(m, scratch_path(spark, "metrics-json"))
+    return spark.read.json(path)
+
+
+@register("O2")
+def o2(spark, sf_dir):
+    return RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir))
+
+
+def _recommend_inputs(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    cv, tv = vector_inputs(spark, sf_dir, cls)
+    return cls, cv, tv

@@ -330,3 +330,19 @@ LEFT JOIN ({P7_SQL}) b USING (project_id)
 LEFT JOIN ({P8_SQL}) q USING (project_id)
 LEFT JOIN ({P9_SQL}) t USING (project_id)
 LEFT JOIN ({_map_sql('method_used', 'results')}) mu USING (project_id)""", True, True, TIMED)
+
+
+# ------------------------------------------------------------------ S
+_MID = "CASE k % 9 WHEN 0 THEN 'target/' WHEN 1 THEN 'mod/build/' WHEN 2 THEN '.git/' ELSE '' END"
+_ROOT = "'/corpus/' || CAST(project_id AS VARCHAR)"
+sql("S1", f"""
+SELECT project_id, {_MID} || relative_path AS relative_path, CAST(strlen(content) AS BIGINT) AS length
+FROM java_files WHERE k % 9 <> 2""")
+sql("S2", f"""
+SELECT project_id, {_ROOT} || '/' || relative_path AS path, relative_path
+FROM java_files WHERE k % 9 > 2""")
+sql("S3", "SELECT project_id, relative_path, content FROM java_files WHERE k % 9 > 2")
+sql("S4", f"""
+SELECT project_id, {_ROOT} || '/' || {_MID} || relative_path AS path, {_MID} || relative_path AS relative_path
+FROM java_files""")
+sql("S6", "SELECT project_id, count(*) AS java_files FROM java_files GROUP BY project_id")

@@ -56,5 +56,6 @@ def recommend(classes: DataFrame, class_vec: DataFrame | None = None, type_vec:
 def recommend_with_metadata(classes: DataFrame, class_vec=None, type_vec=None, **kw) -> DataFrame:
     """O2: materialise the results, then stamp the measured run time and a timestamp."""
     start = time.time()
+    kw.setdefault("materialize", False)
     res = materialize(recommend(classes, class_vec, type_vec, **kw), "results")
     return PL.with_run_metadata(res, time.time() - start)
