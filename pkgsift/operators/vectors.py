@@ -18,13 +18,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.vec import ZERO, cosine, dot, norm
 
 PID = "project_id"
+UNROLL_MAX_DIM = 64  # longer literal vectors use a fold (keeps generated code small)
 
 
 # ------------------------------------------------------------------ M1
@@ -54,7 +55,7 @@ def type_description_texts(spark) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M2 / M3 encoders
-def hashing_encoder(df: DataFrame, text_col: str = "text", num_features: int = 256,
+def hashing_encoder(df: DataFrame, text_col: str = "text", num_features: int = 64,
                     out_col: str = "vec") -> DataFrame:
     """Deterministic default encoder: tokens -> HashingTF -> L2-normalised array<double>."""
     from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
@@ -133,6 +134,9 @@ def type_cosines(vec: Column, types: list[tuple[str, int, list[float]]]) -> list
     A vector of another length gets cosine 0.
     """
     dim = len(types[0][2])
+    if dim > UNROLL_MAX_DIM:
+        return [cosine(vec, F.array(*[F.lit(float(x)) for x in tv]).cast("array<double>"))
+                for _, _, tv in types]
     items = [vec.getItem(i) for i in range(dim)]
     n = F.sqrt(_unrolled_sum([x * x for x in items]))
     ok = F.size(vec) == F.lit(dim)
@@ -162,30 +166,113 @@ def pair_similarity(pairs: DataFrame, class_vec: DataFrame, a: str = "src", b: s
 
 
 # ------------------------------------------------------------------ M4
-def similar_pairs(class_vec: DataFrame, threshold: float = 0.8, bucket_length: float = 0.5,
-                  num_hash_tables: int = 4, seed: int = 42) -> DataFrame:
-    """M4: pairs (a < b) of one project with cosine >= threshold.
-
-    Candidates come from random-projection LSH on unit vectors (Euclidean
-    distance d and cosine c relate by d^2 = 2 - 2c), so the work grows with
-    the number of near pairs, not with the square of a project's size.
-    Exact cosine is recomputed for every candidate.
+def _projections(dim: int, num_tables: int, seed: int) -> list[list[float]]:
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    r = rng.standard_normal((num_tables, dim))
+    r = r / np.linalg.norm(r, axis=1, keepdims=True)
+    return [[float(x) for x in row] for row in r]
+
+
+def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, bucket_length: float = 0.5,
+                  num_tables: int = 4, seed: int = C.KMEANS_SEED) -> DataFrame:
+    """M4: pairs (a < b) inside one project whose vectors have cosine >= threshold.
+
+    Random-projection LSH on unit vectors: each table hashes a vector to
+    floor(u . r / bucket_length). Candidate pairs share (project, table,
+    bucket), so candidates never cross projects and their number follows the
+    number of near pairs, not the square of a project's size. The exact
+    cosine of every candidate decides. Approximate: a near pair split by
+    every table is missed (more tables, fewer misses).
+    """
+    dim = len(class_vec.select("vec").first()["vec"] or [])
+    if dim == 0:
+        return class_vec.sparkSession.createDataFrame([], f"{PID} bigint, a string, b string, cosine double")
+    proj = _projections(dim, num_tables, seed)
+    items = [F.col("vec").getItem(i) for i in range(dim)]
+    n = norm(F.col("vec"))
+    hashes = F.array(*[F.floor(_unrolled_sum([x * F.lit(w) for x, w in zip(items, r)])
+                               / F.when(n != 0, n).otherwise(F.lit(1.0)) / F.lit(bucket_length))
+                       for r in proj])
+    keyed = class_vec.select(PID, "class_name", "vec", F.posexplode(hashes).alias("tbl", "bucket"))
+    a = keyed.select(PID, "tbl", "bucket", F.col("class_name").alias("a"), F.col("vec").alias("va"))
+    b = keyed.select(PID, "tbl", "bucket", F.col("class_name").alias("b"), F.col("vec").alias("vb"))
+    cand = (a.join(b, [PID, "tbl", "bucket"]).where(F.col("a") < F.col("b"))
+            .select(PID, "a", "b", "va", "vb").dropDuplicates([PID, "a", "b"]))
+    return (cand.select(PID, "a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
+            .where(F.col("cosine") >= F.lit(threshold)))
+
+
+# ------------------------------------------------------------------ M5
+def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: int = 20,
+           seed: int = C.KMEANS_SEED) -> tuple[DataFrame, DataFrame]:
+    """M5: k-means per project, k = min(max(2, n // 3), 10); projects with n < 2 get none.
+
+    Lloyd's algorithm for all projects and all restarts at once, keyed by
+    (project_id, restart): assignment = join with the <= 10 centres of the
+    key + ``min_by`` distance; update = per-dimension ``avg`` (partial
+    aggregation). Start centres are the k points with the least seeded hash.
+    The restart with the least cost (sum of squared distances) wins.
+    Returns (assignments(project_id, class_name, cluster_id),
+             centres(project_id, cluster_id, center)).
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    unit = class_vec.select(
-        PID, "class_name", "vec",
-        array_to_vector(F.when(norm(F.col("vec")) != 0,
-                               F.transform("vec", lambda x: x / norm(F.col("vec"))))
-                        .otherwise(F.col("vec"))).alias("uv"))
-    lsh = BucketedRandomProjectionLSH(inputCol="uv", outputCol="h", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=seed)
-    model = lsh.fit(unit)
-    max_dist = math.sqrt(max(0.0, 2.0 - 2.0 * threshold)) + 1e-9
-    pairs = model.approxSimilarityJoin(unit, unit, max_dist, distCol="dist")
-    a, b = pairs["datasetA"], pairs["datasetB"]
-    cand = pairs.where((a[PID] == b[PID]) & (a["class_name"] < b["class_name"])).select(
-        a[PID].alias(PID), a["class_name"].alias("a"), b["class_name"].alias("b"),
-        cosine(a["vec"], b["vec"]).alias("cosine"))
-    return cand.where(F.col("cosine") >= F.lit(threshold))
+    from ..session import materialize
+
+    sizes = class_vec.groupBy(PID).agg(F.count(F.lit(1)).alias("n"))
+    k_col = F.least(F.greatest(F.lit(C.KMEANS_MIN_K), F.floor(F.col("n") / 3).cast("int")), F.lit(C.KMEANS_MAX_K))
+    ks = sizes.where(F.col("n") >= 2).select(PID, k_col.alias("k"))
+    pts = (class_vec.join(ks, PID)
+           .select(PID, "class_name", "vec", "k", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run")))
+    pts = materialize(pts, "km-points")
+    rank = F.row_number().over(Window.partitionBy(PID, "run").orderBy(
+        F.xxhash64("class_name", F.col("run") + F.lit(seed)), "class_name"))
+    centers = (pts.withColumn("_r", rank).where(F.col("_r") <= F.col("k"))
+               .select(PID, "run", (F.col("_r") - 1).cast("int").alias("cid"), F.col("vec").alias("cvec")))
+    centers = materialize(centers, "km-centers")
+
+    def assign(centers_df):
+        j = pts.join(centers_df, [PID, "run"])
+        d2 = F.aggregate(F.zip_with("vec", "cvec", lambda x, y: (x - y) * (x - y)), ZERO(), lambda a, v: a + v)
+        return (j.select(PID, "run", "class_name", "vec", "cid", d2.alias("d2"))
+                .groupBy(PID, "run", "class_name")
+                .agg(F.min_by(F.struct("cid", "d2"), F.struct("d2", "cid")).alias("best"),
+                     F.first("vec").alias("vec"))
+                .select(PID, "run", "class_name", "vec", F.col("best.cid").alias("cid"),
+                        F.col("best.d2").alias("d2")))
+
+    prev = None
+    for _ in range(max_iter):
+        asg = materialize(assign(centers), "km-assign")
+        if prev is not None:
+            moved = (asg.alias("x").join(prev.alias("y"), [PID, "run", "class_name"])
+                     .where(F.col("x.cid") != F.col("y.cid")).count())
+            if moved == 0:
+                break
+        prev = asg
+        upd = (asg.select(PID, "run", "cid", F.posexplode("vec").alias("dim", "x"))
+               .groupBy(PID, "run", "cid", "dim").agg(F.avg("x").alias("x"))
+               .groupBy(PID, "run", "cid")
+               .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("cvec")))
+        # clusters that lost all points keep their centre
+        centers = materialize(
+            centers.join(upd.withColumnRenamed("cvec", "nvec"), [PID, "run", "cid"], "left")
+            .select(PID, "run", "cid", F.coalesce("nvec", "cvec").alias("cvec")), "km-centers")
+    final = materialize(assign(centers), "km-assign")
+    cost = final.groupBy(PID, "run").agg(F.sum("d2").alias("cost"))
+    best = cost.groupBy(PID).agg(F.min_by("run", F.struct("cost", "run")).alias("run"))
+    assignments = final.join(best, [PID, "run"]).select(PID, "class_name", F.col("cid").alias("cluster_id"))
+    centres = centers.join(best, [PID, "run"]).select(PID, F.col("cid").alias("cluster_id"),
+                                                       F.col("cvec").alias("center"))
+    return assignments, centres
+
+
+# ------------------------------------------------------------------ M8
+def compute_embeddings(classes: DataFrame, encoder=None, threshold: float = 0.9) -> dict[str, DataFrame]:
+    """M8: the embedding bundle: class vectors, type vectors, similar pairs, clusters."""
+    cv = encode_classes(classes, encoder)
+    tv = encode_types(classes.sparkSession, encoder)
+    assignments, centres = kmeans(cv)
+    return {"class_embeddings": cv, "package_type_embeddings": tv,
+            "similar_pairs": similar_pairs(cv, threshold), "clusters": assignments,
+            "cluster_centers": centres}

@@ -521,3 +521,58 @@ def _recommend_inputs(spark, sf_dir):
     cls = classes_table(spark, sf_dir)
     cv, tv = vector_inputs(spark, sf_dir, cls)
     return cls, cv, tv
+
+
+# ------------------------------------------------------------------ M (rows-only)
+@register("M2")
+def m2(spark, sf_dir):
+    return V.encode_classes(classes(spark, sf_dir))
+
+
+@register("M3")
+def m3(spark, sf_dir):
+    """Type vectors from the default encoder, with each type's best-matching class count."""
+    cls = classes_table(spark, sf_dir)
+    tv = V.encode_types(spark)
+    best = V.nearest_type(V.encode_classes(cls), V.type_vectors_literal(tv))
+    counts = best.groupBy(F.col("emb_type").alias("package_type")).agg(F.count(F.lit(1)).alias("classes"))
+    return tv.select("package_type", "type_ord", "vec").join(counts, "package_type", "left")
+
+
+@register("M4")
+def m4(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    cv, _ = vector_inputs(spark, sf_dir, cls)
+    return V.similar_pairs(cv, threshold=0.9)
+
+
+@register("M5")
+def m5(spark, sf_dir):
+    cls = classes_table(spark, sf_dir)
+    cv, _ = vector_inputs(spark, sf_dir, cls)
+    assignments, _ = V.kmeans(cv)
+    return assignments
+
+
+@register("M8")
+def m8(spark, sf_dir):
+    """Per project: vectors, clusters and near pairs of the default-encoder bundle."""
+    b = V.compute_embeddings(classes_table(spark, sf_dir))
+    nv = b["class_embeddings"].groupBy("project_id").agg(F.count(F.lit(1)).alias("vectors"))
+    nc = b["clusters"].groupBy("project_id").agg(F.count_distinct("cluster_id").alias("clusters"))
+    npairs = b["similar_pairs"].groupBy("project_id").agg(F.count(F.lit(1)).alias("similar_pairs"))
+    return nv.join(nc, "project_id", "left").join(npairs, "project_id", "left").fillna(0)
+
+
+# ------------------------------------------------------------------ streaming ingest
+from ..streaming import ingest as ST  # noqa: E402
+
+
+@register("E11_stream")
+def e11_stream(spark, sf_dir):
+    """E3 rows of the generated file tree, extracted by the streaming ingest (pruned files excluded)."""
+    root = source_tree(spark, sf_dir)
+    table = scratch_path(spark, "stream-classes")
+    q = ST.start_class_ingest(spark, root, table, scratch_path(spark, "stream-ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(table).select(*ROW_KEY, "class_name", "package")

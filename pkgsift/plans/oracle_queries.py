@@ -346,3 +346,4 @@ sql("S4", f"""
 SELECT project_id, {_ROOT} || '/' || {_MID} || relative_path AS path, {_MID} || relative_path AS relative_path
 FROM java_files""")
 sql("S6", "SELECT project_id, count(*) AS java_files FROM java_files GROUP BY project_id")
+sql("E11_stream", f"SELECT {RK}, class_name, package FROM classes WHERE k % 9 > 2")
