@@ -49,17 +49,24 @@ def peel(edges: DataFrame) -> DataFrame:
     return cur
 
 
-def _propagate_min(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+HOPS = 1  # label hops per materialised round (more hops per round measured slower locally)
+
+
+def _propagate_min(nodes: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """color(v) = least name among nodes that reach v (v included)."""
     color = materialize(nodes.select(PID, "node", F.col("node").alias("color")), "cyc-color")
+    src_key = edges.select(PID, "src", "dst")
     for _ in range(MAX_ROUNDS):
-        incoming = (edges.join(color.select(PID, F.col("node").alias("src"), F.col("color").alias("c")),
-                               [PID, "src"])
-                    .groupBy(PID, F.col("dst").alias("node")).agg(F.min("c").alias("c")))
-        nxt = (color.join(incoming, [PID, "node"], "left")
-               .select(PID, "node", F.least("color", F.coalesce("c", "color")).alias("color"),
-                       (F.coalesce(F.col("c"), F.col("color")) < F.col("color")).alias("changed")))
-        nxt = materialize(nxt, "cyc-color")
+        cur = color.select(PID, "node", "color", F.lit(False).alias("changed"))
+        for _ in range(hops):
+            incoming = (src_key.join(cur.select(PID, F.col("node").alias("src"), F.col("color").alias("c")),
+                                     [PID, "src"])
+                        .groupBy(PID, F.col("dst").alias("node")).agg(F.min("c").alias("c")))
+            cur = (cur.join(incoming, [PID, "node"], "left")
+                   .select(PID, "node", F.least("color", F.coalesce("c", "color")).alias("color"),
+                           (F.col("changed") | (F.coalesce(F.col("c"), F.col("color")) < F.col("color")))
+                           .alias("changed")))
+        nxt = materialize(cur, "cyc-color")
         changed = nxt.where("changed").count()
         color = nxt.drop("changed")
         if changed == 0:
@@ -67,7 +74,7 @@ def _propagate_min(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return color
 
 
-def _backward_members(color: DataFrame, edges: DataFrame) -> DataFrame:
+def _backward_members(color: DataFrame, edges: DataFrame, hops: int = HOPS) -> DataFrame:
     """Nodes that reach the root of their colour inside the colour."""
     member = materialize(color.where(F.col("node") == F.col("color")).select(PID, "node", "color"),
                          "cyc-member")
@@ -78,9 +85,13 @@ def _backward_members(color: DataFrame, edges: DataFrame) -> DataFrame:
           .select(PID, "src", "dst", F.col("cs").alias("color")))
     ce = materialize(ce, "cyc-ce")
     for _ in range(MAX_ROUNDS):
-        new = (ce.join(member.select(PID, F.col("node").alias("dst"), "color"), [PID, "dst", "color"], "left_semi")
-               .select(PID, F.col("src").alias("node"), "color"))
-        nxt = materialize(member.unionByName(new).distinct(), "cyc-member")
+        cur = member
+        for _ in range(hops):
+            new = (ce.join(cur.select(PID, F.col("node").alias("dst"), "color"), [PID, "dst", "color"],
+                           "left_semi")
+                   .select(PID, F.col("src").alias("node"), "color"))
+            cur = cur.unionByName(new).distinct()
+        nxt = materialize(cur, "cyc-member")
         m = nxt.count()
         member = nxt
         if m == n:

@@ -134,19 +134,56 @@ def _count_map(df: DataFrame, key: str, val: str, name: str) -> DataFrame:
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(key), F.col(val))))).alias(name))
 
 
+def project_scalars(results: DataFrame) -> DataFrame:
+    """P1, P2, P7, P8 (and P9 when timed) in one grouped aggregation."""
+    mis, c = _mis(), F.col("confidence")
+    mc = F.when(mis, c)
+    aggs = [F.count(F.lit(1)).alias("total_classes_analyzed"),
+            F.count_if(mis).alias("misplaced_classes_found"),
+            F.round(F.avg(mc), ROUND).alias("average_confidence"),
+            F.min(mc).alias("min_confidence"), F.max(mc).alias("max_confidence"),
+            F.round(F.stddev_samp(mc), ROUND).alias("confidence_std"),
+            F.count_if(mis & (c >= _d(C.HIGH_CONFIDENCE))).alias("high_confidence_suggestions"),
+            F.count_if(mis & (c >= _d(C.MEDIUM_CONFIDENCE)) & (c < _d(C.HIGH_CONFIDENCE)))
+            .alias("medium_confidence_suggestions"),
+            F.count_if(mis & (c < _d(C.MEDIUM_CONFIDENCE))).alias("low_confidence_suggestions"),
+            F.avg(F.when(mis, reasoning_score(F.col("reasoning")))).alias("_q")]
+    timed = "analysis_time" in results.columns
+    if timed:
+        aggs += [F.avg("analysis_time").alias("_avg_t"),
+                 F.min_by("analysis_time", F.struct("relative_path", "class_pos")).alias("total_analysis_time")]
+    g = results.groupBy(PID).agg(*aggs)
+    tot, mis_n = F.col("total_classes_analyzed"), F.col("misplaced_classes_found")
+    cols = [PID, "total_classes_analyzed", "misplaced_classes_found",
+            (tot - mis_n).alias("correctly_placed_classes"),
+            _rate(mis_n, tot).alias("misplacement_rate"), _rate(tot - mis_n, tot).alias("accuracy_rate"),
+            "average_confidence", "min_confidence", "max_confidence", "confidence_std",
+            "high_confidence_suggestions", "medium_confidence_suggestions", "low_confidence_suggestions",
+            F.round(F.coalesce(F.col("_q"), _d(1.0)), ROUND).alias("reasoning_quality_score")]
+    if timed:
+        cols += [F.round("_avg_t", ROUND).alias("average_analysis_time"), "total_analysis_time",
+                 F.round(F.col("_avg_t") / tot.cast("double"), ROUND).alias("analysis_time_per_class")]
+    return g.select(*cols)
+
+
 def full_metrics(results: DataFrame) -> DataFrame:
-    """One row per project with every metric; distributions as maps."""
-    out = overview(results)
-    for part in (confidence_stats(results),
-                 _count_map(package_distribution(results), "package", "classes", "package_distribution"),
+    """One row per project with every metric; distributions as maps.
+
+    Four grouped aggregations in total: per project (scalars), per package
+    (distribution + rates -> most problematic), per suggested package, per
+    method. Materialise ``results`` first when it is an expensive plan.
+    """
+    rates = package_misplacement_rates(results)
+    w = Window.partitionBy(PID).orderBy(F.col("misplacement_rate").desc(), F.col("first_seen"))
+    worst = (rates.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+             .select(PID, F.col("package").alias("most_problematic_package")))
+    out = project_scalars(results)
+    for part in (_count_map(rates, "package", "total_classes", "package_distribution"),
                  _count_map(suggested_distribution(results), "suggested_package", "classes",
                             "suggested_package_distribution"),
-                 most_problematic_package(results).drop("misplacement_rate"),
-                 confidence_buckets(results), reasoning_quality(results),
-                 time_stats(results) if "analysis_time" in results.columns else None,
+                 worst,
                  _count_map(methods_used(results), "method_used", "rows", "analysis_methods_used")):
-        if part is not None:
-            out = out.join(part, PID, "left")
+        out = out.join(part, PID, "left")
     return out.withColumn("suggested_package_distribution",
                           F.coalesce("suggested_package_distribution",
                                      F.create_map().cast("map<string,bigint>")))

@@ -428,7 +428,7 @@ register("P11")(lambda spark, sf_dir: P.top_packages(results_table(spark, sf_dir
 
 @register("P12")
 def p12(spark, sf_dir):
-    m = P.full_metrics(results_table(spark, sf_dir, fixed_time=True))
+    m = P.full_metrics(materialize(results_table(spark, sf_dir, fixed_time=True), "results"))
     maps = ["package_distribution", "suggested_package_distribution", "analysis_methods_used"]
     return m.select(*[c for c in m.columns if c not in maps], *[P.map_text(c).alias(c) for c in maps])
 
@@ -507,7 +507,7 @@ def k1(spark, sf_dir):
 
 @register("K2")
 def k2(spark, sf_dir):
-    m = P.full_metrics(RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir)))
+    m = P.full_metrics(RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir)))  # results materialised
     path = SK.write_metrics_json(m, scratch_path(spark, "metrics-json"))
     return spark.read.json(path)
 

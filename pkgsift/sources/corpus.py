@@ -137,8 +137,7 @@ def class_vectors(classes: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 def type_vectors(embeddings: DataFrame) -> DataFrame:
     """type_vec(package_type, type_ord, vec): vector ids 0..6 in rule type order."""
-    types = embeddings.sparkSession.createDataFrame(
-        [(t, i) for i, t in enumerate(TYPE_NAMES)], "package_type string, type_ord int")
-    emb = embeddings.where(F.col("vec_id") < len(TYPE_NAMES)).select(
-        F.col("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return types.join(emb, types["type_ord"] == emb["vec_id"]).select("package_type", "type_ord", "vec")
+    return embeddings.where(F.col("vec_id") < len(TYPE_NAMES)).select(
+        pick(TYPE_NAMES, F.col("vec_id")).alias("package_type"),
+        F.col("vec_id").cast("int").alias("type_ord"),
+        F.col("embedding").cast("array<double>").alias("vec"))
