@@ -71,10 +71,16 @@ def implements_edges(classes: DataFrame) -> DataFrame:
 
 
 def edges(classes: DataFrame) -> DataFrame:
-    """Distinct (project_id, src, dst) over imports, extends and implements."""
-    cands = (_import_candidates(classes)
-             .unionByName(_extends_candidates(classes))
-             .unionByName(_implements_candidates(classes)))
+    """Distinct (project_id, src, dst) over imports, extends and implements.
+
+    All three candidate kinds come out of one explode over one pass of the
+    class table.
+    """
+    targets = F.array_distinct(F.concat(
+        F.transform("imports", last_segment),
+        F.when(F.col("extends") != "", F.array("extends")).otherwise(F.array().cast("array<string>")),
+        F.col("implements")))
+    cands = classes.select(PID, F.col("class_name").alias("src"), F.explode(targets).alias("dst"))
     return _resolve(cands, classes)
 
 

@@ -117,7 +117,7 @@ def e11(spark, sf_dir):
 
 # ------------------------------------------------------------------ D
 def _edges(spark, sf_dir):
-    return G.edges(classes(spark, sf_dir))
+    return G.edges(classes_table(spark, sf_dir))
 
 
 @register("D1")
@@ -127,17 +127,17 @@ def d1(spark, sf_dir):
 
 @register("D2")
 def d2(spark, sf_dir):
-    return G.import_edges(classes(spark, sf_dir))
+    return G.import_edges(classes_table(spark, sf_dir))
 
 
 @register("D3")
 def d3(spark, sf_dir):
-    return G.extends_edges(classes(spark, sf_dir))
+    return G.extends_edges(classes_table(spark, sf_dir))
 
 
 @register("D4")
 def d4(spark, sf_dir):
-    return G.implements_edges(classes(spark, sf_dir))
+    return G.implements_edges(classes_table(spark, sf_dir))
 
 
 @register("D5")
@@ -147,7 +147,7 @@ def d5(spark, sf_dir):
 
 @register("D6")
 def d6(spark, sf_dir):
-    e = _edges(spark, sf_dir)
+    e = materialize(_edges(spark, sf_dir), "edges")
     fwd = G.adjacency(e).select("project_id", "class_name", F.lit("dependencies").alias("direction"),
                                 _j("neighbours").alias("neighbours"),
                                 F.size("neighbours").alias("n_neighbours"))
@@ -159,7 +159,7 @@ def d6(spark, sf_dir):
 
 @register("D7")
 def d7(spark, sf_dir):
-    return G.package_dependencies(classes(spark, sf_dir))
+    return G.package_dependencies(classes_table(spark, sf_dir))
 
 
 @register("D8")
@@ -169,19 +169,19 @@ def d8(spark, sf_dir):
 
 @register("D9")
 def d9(spark, sf_dir):
-    c = classes(spark, sf_dir)
+    c = classes_table(spark, sf_dir)
     return G.package_cohesion(c, G.edges(c))
 
 
 @register("D10")
 def d10(spark, sf_dir):
-    c = classes(spark, sf_dir)
+    c = classes_table(spark, sf_dir)
     return G.efferent_coupling(c, G.edges(c))
 
 
 @register("D11")
 def d11(spark, sf_dir):
-    c = classes(spark, sf_dir)
+    c = classes_table(spark, sf_dir)
     return G.afferent_coupling(c, G.edges(c))
 
 
@@ -199,13 +199,13 @@ def d13(spark, sf_dir):
 
 @register("D12")
 def d12(spark, sf_dir):
-    e = materialize(G.edges(classes(spark, sf_dir)), "edges")
+    e = materialize(G.edges(classes_table(spark, sf_dir)), "edges")
     return CY.cyclic_classes(e)
 
 
 @register("D12_cycles")
 def d12_cycles(spark, sf_dir):
-    e = materialize(G.edges(classes(spark, sf_dir)), "edges")
+    e = materialize(G.edges(classes_table(spark, sf_dir)), "edges")
     return CY.simple_cycles(e)
 
 
@@ -252,7 +252,7 @@ register("R5")(_per_type(lambda r: RU.annotation_part(F.col("annotations"), r),
 @register("R1")
 def r1(spark, sf_dir):
     """Rules table with how many class rows each type scores and wins."""
-    sc = RU.with_rule_scores(classes(spark, sf_dir), keep_type_scores=True)
+    sc = RU.with_rule_scores(classes_table(spark, sf_dir), keep_type_scores=True)
     stack = F.explode(F.array(*[F.struct(F.lit(t).alias("package_type"), F.col("score_" + t).alias("s"))
                                 for t in C.TYPE_NAMES]))
     long = sc.select(F.col("rule_type"), stack.alias("x")).select("rule_type", "x.package_type", "x.s")
