@@ -85,11 +85,17 @@ def edges(classes: DataFrame) -> DataFrame:
 
 
 def adjacency(edge_df: DataFrame, reverse: bool = False) -> DataFrame:
-    """Class -> sorted distinct dependencies (or dependents when reverse)."""
+    """Class -> its dependencies (or dependents when reverse), in long form.
+
+    One row per (class, neighbour) plus the class's degree. The reverse
+    adjacency is a projection of the edge table, not a copy, and no
+    neighbour list is ever collected into one row (a hub class can have a
+    third of all classes as dependents).
+    """
     key, val = ("dst", "src") if reverse else ("src", "dst")
-    return (edge_df.groupBy(PID, key)
-            .agg(F.array_sort(F.collect_set(val)).alias("neighbours"))
-            .withColumnRenamed(key, "class_name"))
+    deg = edge_df.groupBy(PID, key).agg(F.count(F.lit(1)).alias("degree"))
+    return (edge_df.select(PID, key, val).join(deg, [PID, key])
+            .select(PID, F.col(key).alias("class_name"), F.col(val).alias("neighbour"), "degree"))
 
 
 def package_dependencies(classes: DataFrame, index: DataFrame | None = None) -> DataFrame:

@@ -148,12 +148,8 @@ def d5(spark, sf_dir):
 @register("D6")
 def d6(spark, sf_dir):
     e = materialize(_edges(spark, sf_dir), "edges")
-    fwd = G.adjacency(e).select("project_id", "class_name", F.lit("dependencies").alias("direction"),
-                                _j("neighbours").alias("neighbours"),
-                                F.size("neighbours").alias("n_neighbours"))
-    rev = G.adjacency(e, reverse=True).select(
-        "project_id", "class_name", F.lit("dependents").alias("direction"),
-        _j("neighbours").alias("neighbours"), F.size("neighbours").alias("n_neighbours"))
+    fwd = G.adjacency(e).withColumn("direction", F.lit("dependencies"))
+    rev = G.adjacency(e, reverse=True).withColumn("direction", F.lit("dependents"))
     return fwd.unionByName(rev)
 
 

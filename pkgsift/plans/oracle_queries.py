@@ -48,13 +48,13 @@ gsql("D3", "SELECT project_id, src, dst FROM ext_edges")
 gsql("D4", "SELECT project_id, src, dst FROM impl_edges")
 gsql("D5", "SELECT project_id, src, dst FROM edges")
 gsql("D6", """
-SELECT project_id, src AS class_name, 'dependencies' AS direction,
-       string_agg(dst, '|' ORDER BY dst) AS neighbours, CAST(count(*) AS INTEGER) AS n_neighbours
-FROM edges GROUP BY project_id, src
+SELECT project_id, src AS class_name, dst AS neighbour,
+       count(*) OVER (PARTITION BY project_id, src) AS degree, 'dependencies' AS direction
+FROM edges
 UNION ALL
-SELECT project_id, dst AS class_name, 'dependents' AS direction,
-       string_agg(src, '|' ORDER BY src) AS neighbours, CAST(count(*) AS INTEGER) AS n_neighbours
-FROM edges GROUP BY project_id, dst""")
+SELECT project_id, dst AS class_name, src AS neighbour,
+       count(*) OVER (PARTITION BY project_id, dst) AS degree, 'dependents' AS direction
+FROM edges""")
 gsql("D7", """
 SELECT DISTINCT i.project_id, i.package, x.package AS dep_package
 FROM imp_raw i JOIN class_index x ON x.project_id = i.project_id AND x.class_name = i.dst
