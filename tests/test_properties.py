@@ -13,8 +13,9 @@ from pkgsift.operators import metrics as P
 from pkgsift.operators.extract import file_features
 from pkgsift.plans import catalog as K
 
-TOKENS = ["public", "private", "protected", "static", "final", "void", "int", "Foo", "bar", "List<T>",
-          "a,", "b", "[]", "(", ")", "(int x)", ";", "=", "{", "}", "class", "X"]
+TOKENS = ["public", "private", "protected", "static", "final", "abstract", "void", "int", "Foo", "bar",
+          "List<T>", "a,", "b", "[]", "(", ")", "(int x)", ";", "=", "{", "}", "class", "interface", "enum",
+          "X", "publicclass", "static final", "@Id", "import a.B;", "package p.q;"]
 BLANKS = [" ", "  ", "\n", "\t", "    ", " \n      ", " " * 12]
 
 
@@ -28,14 +29,15 @@ def _text(rng):
 
 def test_whitespace_cap_keeps_python_matches(spark):
     rng = random.Random(7)
-    texts = [_text(rng) for _ in range(400)]
+    texts = [_text(rng) for _ in range(2000)]
     df = java_files_df(spark, [(1, f"F{i}.java", t) for i, t in enumerate(texts)])
-    got = {r.relative_path: (r.methods, r.fields) for r in file_features(df).collect()}
+    got = {r.relative_path: (r.methods, r.fields, r.class_names) for r in file_features(df).collect()}
     kw = set(C.JAVA_KEYWORDS)
     for i, t in enumerate(texts):
         m = re.findall(C.METHOD_RX, t, flags=re.ASCII)
         f = [x for x in re.findall(C.FIELD_RX, t, flags=re.ASCII) if x not in kw]
-        assert got[f"F{i}.java"] == (m, f), t
+        c = re.findall(C.CLASS_RX, t, flags=re.ASCII)
+        assert got[f"F{i}.java"] == (m, f, c), t
 
 
 def test_graph_and_metric_invariants(spark):
