@@ -31,8 +31,13 @@ def embedding_scores(class_vec: DataFrame, types) -> DataFrame:
 
 
 def scored_rows(classes: DataFrame, edge_df: DataFrame | None, emb: DataFrame | None) -> DataFrame:
-    """R2-R10 per class row: rule, embedding and dependency scores, total, types."""
-    rows = RU.with_rule_scores(classes)
+    """R2-R10 per class row: rule, embedding and dependency scores, total, types.
+
+    Rule scores are computed in the scan projection; only narrow columns go
+    on to the joins.
+    """
+    rows = RU.with_rule_scores(classes).select(
+        PID, "relative_path", "class_pos", "class_name", "package", "rule_score", "rule_type", "rule_ord")
     if edge_df is not None:
         rows = rows.join(dependency_scores(edge_df), [PID, "class_name"], "left")
         dep = F.coalesce(F.col("dep_score"), D(0.0))
@@ -65,12 +70,15 @@ def misplaced_names(scored: DataFrame) -> DataFrame:
     return flagged_rows(scored).select(PID, "class_name").distinct()
 
 
-LAST_COLUMNS = ["package", "relative_path", "class_pos", "methods", "annotations", "rule_score",
-                "rule_type", "rule_ord"]
+LAST_COLUMNS = ["package", "relative_path", "class_pos", "rule_score", "rule_type", "rule_ord"]
 
 
 def name_summary(scored: DataFrame) -> DataFrame:
-    """Per name, in one partial aggregation: flagged by any row, and the last row."""
+    """Per name, in one partial aggregation: flagged by any row, and the last row.
+
+    Only narrow score columns take part; the method / annotation arrays are
+    fetched afterwards for flagged names only.
+    """
     agg = (scored.groupBy(PID, "class_name")
            .agg(F.max(flag_expr()).alias("flagged"),
                 F.max_by(F.struct(*LAST_COLUMNS), order_key()).alias("r")))
@@ -82,6 +90,12 @@ def last_rows(scored: DataFrame) -> DataFrame:
     return name_summary(scored).drop("flagged")
 
 
+def _with_arrays(last: DataFrame, classes: DataFrame) -> DataFrame:
+    """Attach methods / annotations of the chosen rows (join on the row key)."""
+    arrays = classes.select(PID, "relative_path", "class_pos", "methods", "annotations")
+    return last.join(arrays, [PID, "relative_path", "class_pos"])
+
+
 def _matching_methods(methods: Column, ord_col: Column, scanned: int) -> Column:
     rm = RU.rule_list("methods", ord_col)
     return F.filter(F.slice(methods, 1, scanned),
@@ -118,12 +132,13 @@ def evidence(name: Column, methods: Column, annotations: Column, s: Column, o: C
     return F.when(joined != "", joined).otherwise(F.lit(C.EVIDENCE_FALLBACK))
 
 
-def suggestions(scored: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def suggestions(scored: DataFrame, classes: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One suggestion per misplaced name, from the last row of that name."""
     if names is None:
-        last = name_summary(scored).where(F.col("flagged"))
+        last = name_summary(scored).where(F.col("flagged")).drop("flagged")
     else:
         last = last_rows(scored).join(names, [PID, "class_name"], "left_semi")
+    last = _with_arrays(last, classes)
     s, o = F.col("rule_type"), F.col("rule_ord")
     return last.select(
         PID, "class_name",

@@ -41,7 +41,7 @@ def analyze(classes: DataFrame, class_vec: DataFrame | None = None, type_vec: Da
     if use_embeddings and class_vec is not None and type_vec is not None:
         emb = PL.embedding_scores(class_vec, type_vectors_literal(type_vec))
     scored = PL.scored_rows(classes, edge_df, emb)
-    sugg = PL.suggestions(scored)
+    sugg = PL.suggestions(scored, classes)
     results = PL.assemble_results(classes, sugg)
     return Analysis(classes, edge_df, scored, sugg, results)
 
