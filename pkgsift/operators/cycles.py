@@ -111,7 +111,15 @@ def components(edges: DataFrame) -> DataFrame:
             break
         sub = rest.join(nodes.select(PID, F.col("node").alias("src")), [PID, "src"], "left_semi") \
                   .join(nodes.select(PID, F.col("node").alias("dst")), [PID, "dst"], "left_semi")
-        sub = materialize(sub, "cyc-sub")
+        if found:
+            # nodes left over after a pass often lost their cycle partners: peel again
+            sub = peel(sub)
+            nodes = sub.select(PID, F.col("src").alias("node")).distinct()
+            nodes = materialize(nodes, "cyc-nodes")
+            if nodes.count() == 0:
+                break
+        else:
+            sub = materialize(sub, "cyc-sub")
         color = _propagate_min(nodes, sub)
         members = _backward_members(color, sub)
         found.append(members)
