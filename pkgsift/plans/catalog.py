@@ -117,7 +117,7 @@ def e11(spark, sf_dir):
 
 # ------------------------------------------------------------------ D
 def _edges(spark, sf_dir):
-    return G.edges(classes_table(spark, sf_dir))
+    return G.edges(classes_table(spark, sf_dir, GRAPH_COLUMNS))
 
 
 @register("D1")
@@ -127,17 +127,17 @@ def d1(spark, sf_dir):
 
 @register("D2")
 def d2(spark, sf_dir):
-    return G.import_edges(classes_table(spark, sf_dir))
+    return G.import_edges(classes_table(spark, sf_dir, GRAPH_COLUMNS))
 
 
 @register("D3")
 def d3(spark, sf_dir):
-    return G.extends_edges(classes_table(spark, sf_dir))
+    return G.extends_edges(classes_table(spark, sf_dir, GRAPH_COLUMNS))
 
 
 @register("D4")
 def d4(spark, sf_dir):
-    return G.implements_edges(classes_table(spark, sf_dir))
+    return G.implements_edges(classes_table(spark, sf_dir, GRAPH_COLUMNS))
 
 
 @register("D5")
@@ -155,7 +155,7 @@ def d6(spark, sf_dir):
 
 @register("D7")
 def d7(spark, sf_dir):
-    return G.package_dependencies(classes_table(spark, sf_dir))
+    return G.package_dependencies(classes_table(spark, sf_dir, GRAPH_COLUMNS))
 
 
 @register("D8")
@@ -165,19 +165,19 @@ def d8(spark, sf_dir):
 
 @register("D9")
 def d9(spark, sf_dir):
-    c = classes_table(spark, sf_dir)
+    c = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     return G.package_cohesion(c, G.edges(c))
 
 
 @register("D10")
 def d10(spark, sf_dir):
-    c = classes_table(spark, sf_dir)
+    c = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     return G.efferent_coupling(c, G.edges(c))
 
 
 @register("D11")
 def d11(spark, sf_dir):
-    c = classes_table(spark, sf_dir)
+    c = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     return G.afferent_coupling(c, G.edges(c))
 
 
@@ -188,20 +188,20 @@ D13_COLUMNS = ["project_id", "total_dependencies", "dependent_classes", "depende
 
 @register("D13")
 def d13(spark, sf_dir):
-    c = classes_table(spark, sf_dir)
+    c = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     e = materialize(G.edges(c), "edges")
     return G.dependency_summary(c, e, CY.cyclic_classes(e)).select(*D13_COLUMNS, "has_cycle", "cyclic_classes")
 
 
 @register("D12")
 def d12(spark, sf_dir):
-    e = materialize(G.edges(classes_table(spark, sf_dir)), "edges")
+    e = materialize(G.edges(classes_table(spark, sf_dir, GRAPH_COLUMNS)), "edges")
     return CY.cyclic_classes(e)
 
 
 @register("D12_cycles")
 def d12_cycles(spark, sf_dir):
-    e = materialize(G.edges(classes_table(spark, sf_dir)), "edges")
+    e = materialize(G.edges(classes_table(spark, sf_dir, GRAPH_COLUMNS)), "edges")
     return CY.simple_cycles(e)
 
 
@@ -214,9 +214,17 @@ from ..session import materialize, read_table  # noqa: E402
 from . import recommend as RC  # noqa: E402
 
 
-def classes_table(spark, sf_dir):
-    """The class table written once to the shared checkpoint folder."""
-    return materialize(classes(spark, sf_dir), "classes")
+# Columns each family of queries reads; writing only these lets Catalyst drop
+# the unused extraction work (e.g. the field regex, the 500-character preview).
+GRAPH_COLUMNS = ["project_id", "class_pos", "class_name", "package", "relative_path", "imports",
+                 "extends", "implements"]
+ANALYSIS_COLUMNS = GRAPH_COLUMNS + ["methods", "annotations"]
+
+
+def classes_table(spark, sf_dir, columns=None):
+    """The class table (or the given columns of it) written once to the shared checkpoint folder."""
+    cls = classes(spark, sf_dir)
+    return materialize(cls.select(*columns) if columns else cls, "classes")
 
 
 def vector_inputs(spark, sf_dir, cls):
@@ -225,7 +233,7 @@ def vector_inputs(spark, sf_dir, cls):
 
 
 def analysis(spark, sf_dir, **kw):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, ANALYSIS_COLUMNS)
     cv, tv = vector_inputs(spark, sf_dir, cls)
     return RC.analyze(cls, cv, tv, materialize=False, **kw)
 
@@ -248,7 +256,7 @@ register("R5")(_per_type(lambda r: RU.annotation_part(F.col("annotations"), r),
 @register("R1")
 def r1(spark, sf_dir):
     """Rules table with how many class rows each type scores and wins."""
-    sc = RU.with_rule_scores(classes_table(spark, sf_dir), keep_type_scores=True)
+    sc = RU.with_rule_scores(classes_table(spark, sf_dir, ANALYSIS_COLUMNS), keep_type_scores=True)
     stack = F.explode(F.array(*[F.struct(F.lit(t).alias("package_type"), F.col("score_" + t).alias("s"))
                                 for t in C.TYPE_NAMES]))
     long = sc.select(F.col("rule_type"), stack.alias("x")).select("rule_type", "x.package_type", "x.s")
@@ -269,7 +277,7 @@ def r6(spark, sf_dir):
 
 @register("R7")
 def r7(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     cv, tv = vector_inputs(spark, sf_dir, cls)
     names = cls.select("project_id", "class_name").distinct()
     emb = PL.embedding_scores(cv, V.type_vectors_literal(tv))
@@ -279,7 +287,7 @@ def r7(spark, sf_dir):
 
 @register("R8")
 def r8(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     names = cls.select("project_id", "class_name").distinct()
     return names.join(PL.dependency_scores(G.edges(cls)), ["project_id", "class_name"], "left").select(
         "project_id", "class_name", F.coalesce("dep_score", F.lit(0.0)).alias("dependency_score"))
@@ -331,14 +339,14 @@ def m1(spark, sf_dir):
 
 @register("M6")
 def m6(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     cv, tv = vector_inputs(spark, sf_dir, cls)
     return V.nearest_type(cv, V.type_vectors_literal(tv))
 
 
 @register("M7")
 def m7(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     cv, _ = vector_inputs(spark, sf_dir, cls)
     return V.pair_similarity(G.edges(cls), cv)
 
@@ -383,7 +391,7 @@ def o8(spark, sf_dir):
 
 @register("O9")
 def o9(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, ANALYSIS_COLUMNS)
     cv, tv = vector_inputs(spark, sf_dir, cls)
     return RC.recommend(cls, cv, tv, materialize=False)
 
@@ -514,7 +522,7 @@ def o2(spark, sf_dir):
 
 
 def _recommend_inputs(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, ANALYSIS_COLUMNS)
     cv, tv = vector_inputs(spark, sf_dir, cls)
     return cls, cv, tv
 
@@ -537,14 +545,14 @@ def m3(spark, sf_dir):
 
 @register("M4")
 def m4(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     cv, _ = vector_inputs(spark, sf_dir, cls)
     return V.similar_pairs(cv, threshold=0.9)
 
 
 @register("M5")
 def m5(spark, sf_dir):
-    cls = classes_table(spark, sf_dir)
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
     cv, _ = vector_inputs(spark, sf_dir, cls)
     assignments, _ = V.kmeans(cv)
     return assignments
