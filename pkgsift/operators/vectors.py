@@ -17,7 +17,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,20 +71,22 @@ def hashing_encoder(df: DataFrame, text_col: str = "text", num_features: int = 6
     return out.withColumn(out_col, vector_to_array("_nv")).drop("_tokens", "_tf", "_nv")
 
 
-def udf_encoder(batch_encode, dim: int):
-    """Wrap ``batch_encode(list[str]) -> list[list[float]]`` as an Arrow pandas_udf.
+def udf_encoder(make_encoder, dim: int):
+    """An Arrow ``pandas_udf`` (iterator form) around a batch text encoder.
 
-    Use ``make_encoder`` style factories to load a model once per task: the
-    iterator form calls the factory once and then encodes batch by batch.
+    ``make_encoder()`` returns ``encode(list[str]) -> list[list[float]]``; it is
+    called once per task (load the model there), then every Arrow batch of
+    texts is encoded in one call. Vectors are cut or zero-padded to ``dim``.
     """
-    import pandas as pd
+    def fit(v) -> list[float]:
+        v = [float(x) for x in list(v)[:dim]]
+        return v + [0.0] * (dim - len(v))
 
     @F.pandas_udf("array<double>")
-    def encode(batches):
-        enc = batch_encode() if callable(batch_encode) and getattr(batch_encode, "is_factory", False) else batch_encode
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        enc = make_encoder()
         for texts in batches:
-            vecs = enc(list(texts))
-            yield pd.Series([list(map(float, v))[:dim] for v in vecs])
+            yield pd.Series([fit(v) for v in enc(texts.tolist())])
 
     return encode
 

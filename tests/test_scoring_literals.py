@@ -133,3 +133,16 @@ def test_confidence_threshold_only_above_default(spark):
     res = spark.createDataFrame([(True, 0.7), (True, 0.9), (False, 0.95)], "is_misplaced boolean, confidence double")
     assert PL.apply_confidence_threshold(res, 0.6).where("is_misplaced").count() == 2
     assert PL.apply_confidence_threshold(res, 0.8).where("is_misplaced").count() == 1
+
+
+def test_pluggable_batch_encoder(spark):
+    from pkgsift.operators.vectors import encode_classes, udf_encoder
+
+    def make():
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    recs = [_rec("UserDao", rel="src/a.java"), _rec("UserDao", rel="src/b.java"), _rec("Plain")]
+    cv = encode_classes(_rows(spark, recs), udf_encoder(make, 3))
+    out = {r.class_name: r.vec for r in cv.collect()}
+    assert set(out) == {"UserDao", "Plain"}
+    assert all(len(v) == 3 and v[1] == 1.0 and v[2] == 0.0 for v in out.values())
