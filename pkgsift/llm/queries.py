@@ -4,18 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ship_package
 from .common import read_table
+from .op3_warczst import op3_warczst
+from .op5_tokenfile import op5_tokenfile
+from .op6_bpe import op6_bpe
 from .op7_rules import SQL as OP7_SQL, op7_rules
 from .op8_poisson import SQL as OP8_SQL, op8_poisson
 
 
-def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op7_rules(read_table(spark, sf_dir, "documents"))
+OPERATORS = {
+    "op3_warczst": ("pages", op3_warczst), "op5_tokenfile": ("documents", op5_tokenfile), "op6_bpe": ("documents", op6_bpe),
+    "op7_rules": ("documents", op7_rules), "op8_poisson": ("documents", op8_poisson),
+}
 
 
-def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_poisson(read_table(spark, sf_dir, "documents"))
+def _query(table: str, operator):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return operator(read_table(spark, sf_dir, table))
+    return run
 
 
-REGISTRY = {"op7_rules": q7, "op8_poisson": q8}
+REGISTRY = {name: _query(*x) for name, x in OPERATORS.items()}
 SQL = {"op7_rules": OP7_SQL, "op8_poisson": OP8_SQL}
