@@ -174,3 +174,34 @@ def uniform53(*parts):
     """A number in [0, 1) from the md5 of the parts: the same in any SQL engine."""
     text = F.concat_ws(":", *[p if not isinstance(p, str) else F.lit(p) for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each key (the first n_keys columns) of a stream that is sorted by key."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(n_keys)]
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        new[0] = last is not None and tuple(k[0] for k in keys) != last
+        last = tuple(k[-1] for k in keys)
+        cuts = np.flatnonzero(new).tolist()
+        begin = 0
+        for cut in cuts:
+            if cut > begin:
+                held.append(batch.slice(begin, cut - begin))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, begin = [], cut
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def list_column(values: np.ndarray, offs: np.ndarray) -> pa.Array:
+    """values[offs[i]:offs[i + 1]] as the list of row i."""
+    return pa.ListArray.from_arrays(pa.array(np.asarray(offs), pa.int32()), pa.array(values))

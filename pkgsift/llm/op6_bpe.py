@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import U64, slices, span_hashes, unclash
+from .common import U64, list_column, slices, span_hashes, unclash
 
 #: Entries of a worker's piece table; it is emptied when its ids reach POOL_IDS.
 TABLE_BITS = 21
@@ -280,10 +280,6 @@ def read_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary.from_ranks(Path(path).read_bytes(), pattern)
 
 
-def list_column(values: np.ndarray, offs: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(values))
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, offsets: bool = False) -> DataFrame:
     """doc_id, ids array<int>; with ``offsets`` also byte_start, byte_end, char_start, char_end of each id."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # a few MB, of the vocabulary's fixed size
