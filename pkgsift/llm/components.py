@@ -24,7 +24,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     else:
         least = links.groupBy("a").agg(F.min("b").alias("m"))
         out = links.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-    return out.where("a != b").distinct()
+    return out.where("a != b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     links = materialize(links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
     while True:
-        links = materialize(_star(_star(links, True), False), "links")
+        links = materialize(_star(_star(links, True), False).distinct(), "links")
         # converged when a round changes nothing: the links are then stars, node to least node
         now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == mark or not now[0]:

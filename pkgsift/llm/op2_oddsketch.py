@@ -5,9 +5,10 @@
    population count of the XOR of two odd sketches tells how many samples differ; at high
    similarity that is a precise estimate of the Jaccard coefficient.
 2. Texts with equal sets are one class; its least doc_id stands for it from here on.
+   A second bitmap flips a bit per shingle of the whole set. Its XOR count never exceeds the
+   symmetric difference of the sets, so a pair it rules out can't be linked: no loss there.
 3. In each band bucket every member is paired with the bucket's least member only, so the
-   pairs are linear in the bucket. The odd sketches drop pairs far below the threshold; the
-   rest are confirmed on the full sets.
+   pairs are linear in the bucket. The bitmaps drop pairs below the threshold; the rest are confirmed on the full sets.
 4. Buckets whose members now lie in several components are looked at again: members outside
    the least member's component are compared by odd sketch with all members of other components,
    in blocks, and the most similar untested partners are confirmed. The number of partners grows
@@ -35,10 +36,14 @@ from .components import components
 
 #: Words of a shingle; bands and rows of the MinHash; bits of the odd sketch.
 SHINGLE, BANDS, ROWS, SKETCH_BITS = 5, 40, 4, 512
+#: Bits of the bitmap of the whole set.
+PARITY_BITS = 2048
 #: Differing sketch bits up to which a pair is confirmed: 160 samples at 0.75 give 69 +- 9.
 MOST_BITS = 140
 #: Members per block in step 4, and pivots' copies: members that are confirmed against one pivot in one task.
 BLOCK, STAR = 512, 2000
+#: Partners per member and component that the first round of step 4 confirms.
+FIRST_PARTNERS = 64
 
 
 def multipliers() -> np.ndarray:
@@ -88,13 +93,18 @@ def band_keys(samples: np.ndarray) -> np.ndarray:
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Parity bitmap of each row, as SKETCH_BITS / 64 numbers."""
     n = samples.shape[1]
-    bit = mix64(samples + (np.arange(len(samples), dtype=U64) * U64(GRAM_MULT))[:, None]) % U64(SKETCH_BITS)
-    flips = np.bincount((np.arange(n, dtype=np.int64)[None, :] * SKETCH_BITS + bit.astype(np.int64)).ravel(), minlength=n * SKETCH_BITS)
-    return np.packbits((flips & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+    bit = mix64(samples + (np.arange(len(samples), dtype=U64) * U64(GRAM_MULT))[:, None])
+    return parity(bit.ravel(), np.tile(np.arange(n), len(samples)), n, SKETCH_BITS)
+
+
+def parity(hashes: np.ndarray, row: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Bitmap of each row: a bit is set if an odd number of the row's hashes fall on it."""
+    flips = np.bincount(row * bits + (hashes % U64(bits)).astype(np.int64), minlength=n * bits)
+    return np.packbits((flips & 1).astype(np.uint8).reshape(n, bits), axis=1).view(np.int64)
 
 
 def sketch_pass(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_a, set_b (fingerprint of the set), bands array<long>, odd array<long>."""
+    """doc_id, n_shingles, set_a, set_b (fingerprint of the set), bands array<long>, odd array<long>, whole array<long>."""
     mult = multipliers()
 
     def run(batches):
@@ -110,18 +120,22 @@ def sketch_pass(docs: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(full * BANDS)])
                 odd = np.zeros((len(n), SKETCH_BITS // 64), np.int64)
                 odd[full] = odd_sketches(samples)
+                whole = parity(hashes, np.repeat(np.arange(len(n)), n), len(n), PARITY_BITS)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(n), pa.array(prints[0]), pa.array(prints[1]), list_column(bands, at),
-                     list_column(odd.ravel(), np.arange(len(n) + 1) * odd.shape[1])], names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "odd"])
+                     *[list_column(x.ravel(), np.arange(len(n) + 1) * x.shape[1]) for x in (odd, whole)]],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "odd", "whole"])
 
     rows = unclash(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, odd array<long>, whole array<long>")
 
 
-def near(odd_a: str, odd_b: str, n_a: str, n_b: str):
-    """Column: the odd sketches and sizes of two sets leave the threshold possible."""
-    differ = F.aggregate(F.zip_with(odd_a, odd_b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return (differ <= MOST_BITS) & (100 * F.least(F.col(n_a), F.col(n_b)) >= 75 * F.greatest(F.col(n_a), F.col(n_b)))
+def near(x: str, y: str):
+    """Column: the bitmaps and sizes of two sets (structs n, odd, whole) leave the threshold possible."""
+    differ = lambda f: F.aggregate(F.zip_with(f"{x}.{f}", f"{y}.{f}", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda t, c: t + c)
+    n_x, n_y = F.col(f"{x}.n"), F.col(f"{y}.n")
+    # at 3/4 the symmetric difference is a seventh of both sizes together
+    return (100 * F.least(n_x, n_y) >= 75 * F.greatest(n_x, n_y)) & (differ("odd") <= MOST_BITS) & (7 * differ("whole") <= n_x + n_y)
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -161,10 +175,10 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def unresolved(members: DataFrame, where: DataFrame, tested: DataFrame, most: int) -> DataFrame:
+def unresolved(members: DataFrame, sketches: DataFrame, where: DataFrame, tested: DataFrame, most: int) -> DataFrame:
     """Untested pairs (a, b) across components that the odd sketches leave possible.
 
-    members: key, doc_id, pivot, n_shingles, odd. Per bucket, member outside the pivot's component
+    members: key, doc_id, pivot, n; sketches: doc_id, s (struct). Per bucket, member outside the pivot's component
     and other component, at most ``most`` partners, the nearest sketches first.
     """
     comp = where.select(F.col("node").alias("doc_id"), "component")
@@ -172,11 +186,11 @@ def unresolved(members: DataFrame, where: DataFrame, tested: DataFrame, most: in
     top = comp.select(F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component"))
     m = m.join(top, "pivot", "left").withColumn("outside", F.col("component") != F.coalesce("pivot_component", "pivot"))
     size = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside")).where("n_outside > 0 and n > 2")
-    m = m.join(size.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_all"), F.ceil(F.col("n_outside") / BLOCK).cast("int").alias("n_out")), "key")
+    m = m.join(size.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_all"), F.ceil(F.col("n_outside") / BLOCK).cast("int").alias("n_out")), "key").join(sketches, "doc_id")
     known = tested.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("p")) \
         .select("p.*").groupBy("doc_id").agg(F.collect_set("other").alias("done"))
     deal = lambda n: F.pmod(F.xxhash64("doc_id", "key"), F.col(n)).cast("int")
-    cols = ["doc_id", "component", "n_shingles", "odd"]
+    cols = ["doc_id", "component", "s.n", "s.odd", "s.whole"]
     asks = (m.where("outside").join(known, "doc_id", "left")
             .select("key", deal("n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("asks"), *cols, "done"))
     all_ = m.select("key", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), deal("n_all").alias("j"), F.lit(False).alias("asks"), *cols,
@@ -185,19 +199,21 @@ def unresolved(members: DataFrame, where: DataFrame, tested: DataFrame, most: in
     def run(batches):
         for t in runs(batches, 3):
             asks = t.column("asks").to_numpy(zero_copy_only=False)
-            ids, comps, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
-            odd = t.column("odd").combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), -1)
+            ids, comps, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "n"))
+            odd, whole = (t.column(c).combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), -1) for c in ("odd", "whole"))
             other = np.flatnonzero(~asks)
             out = []
             for r, done in zip(np.flatnonzero(asks).tolist(), t.column("done").filter(pa.array(asks)).to_pylist()):
-                bits = np.bitwise_count(odd[other] ^ odd[r]).sum(axis=1)
-                ok = (bits <= MOST_BITS) & (comps[other] != comps[r]) & (100 * np.minimum(n[other], n[r]) >= 75 * np.maximum(n[other], n[r]))
+                hit = other[(comps[other] != comps[r]) & (100 * np.minimum(n[other], n[r]) >= 75 * np.maximum(n[other], n[r]))]
+                hit = hit[np.bitwise_count(odd[hit] ^ odd[r]).sum(axis=1) <= MOST_BITS]
+                bits = np.bitwise_count(whole[hit] ^ whole[r]).sum(axis=1)
+                ok = 7 * bits.astype(np.int64) <= n[hit] + n[r]
                 if done:
-                    ok &= ~np.isin(ids[other], np.array(done))
-                hit = other[ok]
+                    ok &= ~np.isin(ids[hit], np.array(done))
+                hit, bits = hit[ok], bits[ok]
                 if not len(hit):
                     continue
-                order = np.lexsort((ids[hit], bits[ok], comps[hit]))
+                order = np.lexsort((ids[hit], bits, comps[hit]))
                 c = comps[hit][order]
                 rank = np.arange(len(c)) - np.searchsorted(c, c)
                 out += [(min(x, int(ids[r])), max(x, int(ids[r]))) for x in ids[hit][order][rank < most].tolist()]
@@ -222,26 +238,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     exploded = reps.select("doc_id", F.explode("bands").alias("key"))
     buckets = exploded.groupBy("key").agg(F.min("doc_id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     keyed = materialize(exploded.join(buckets, "key").select("key", "doc_id", "pivot", "n"), "buckets")
-    sizes = real.select("doc_id", "n_shingles", "odd").dropDuplicates(["doc_id"])
-    left = sizes.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("odd").alias("odd_a"))
-    right = sizes.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("odd").alias("odd_b"))
+    sketches = real.select("doc_id", F.struct(F.col("n_shingles").alias("n"), "odd", "whole").alias("s")).dropDuplicates(["doc_id"])
     pairs = keyed.where("doc_id != pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = materialize(pairs.join(left, "a").join(right, "b").where(near("odd_a", "odd_b", "n_a", "n_b")).select("a", "b"), "pairs")
+    pairs = (pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a")
+             .join(sketches.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b").where(near("x", "y")))
+    pairs = materialize(pairs.select("a", "b"), "pairs")
     involved = keyed.select("doc_id").distinct()
     texts = materialize(unclash(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long"))
                         .join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
     tested = materialize(confirm(pairs, texts), "tested")
     where = components(tested.where("linked"))
-    wide = materialize(keyed.where("n > 2").join(sizes, "doc_id"), "members")
-    most = 1
+    wide = keyed.where("n > 2")
+    most = FIRST_PARTNERS
     while True:
-        more = materialize(unresolved(wide, where, tested, most), "pairs")
+        more = materialize(unresolved(wide, sketches, where, tested, most), "pairs")
         if more.isEmpty():
             break
         fresh = materialize(confirm(more, texts), "tested")
         tested = tested.union(fresh)
-        if not fresh.where("linked").isEmpty():
-            where = components(tested.where("linked"))
+        linked = fresh.where("linked").select("a", "b")
+        if not linked.isEmpty():
+            where = components(linked.union(where.select("node", "component")))
         most *= 4
     where = where.select(F.col("node").alias("rep"), "component")
     return of_class.join(where, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

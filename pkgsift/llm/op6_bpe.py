@@ -342,8 +342,8 @@ def decode_text(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return decode_bytes(rows, vocabulary).select("doc_id", F.make_valid_utf8(F.col("bytes").cast("string")).alias("text"))
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encodes and decodes in one pass, ids never leave the task."""
+def digests(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids): encodes and decodes in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +355,11 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 flat, raw = memoryview(ids.astype("<u4").tobytes()), memoryview(back.tobytes())
                 sha = lambda x, o, w: [hashlib.sha256(x[a * w:b * w]).hexdigest() for a, b in zip(o[:-1].tolist(), o[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.diff(at)), pa.array(sha(flat, at, 4)), pa.array(sha(raw, cut, 1))],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    [piece.column(0), pa.array(np.diff(at)), pa.array(sha(flat, at, 4)), pa.array(sha(raw, cut, 1)), *[list_column(ids, at)] * with_ids],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
     rows = unclash(docs, ["doc_id", "text"])
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op6_bpe(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ same draw. Copies are then dealt by a hash of (seed, doc_id, replica): a global
 Defined results: a null source is a source of its own; rows with a null or repeated
 doc_id draw by their id alone (equal ids draw equal counts). Null texts count 0 bytes. A source whose texts are all
 empty, or whose weight is 0, has rate 0. Sources without a given weight get none; without
-any weights all sources get equal shares. An empty table gives an empty result.
+any weights a source's share is its size to the power ``temperature`` (0: equal shares, 1: as they are). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import uniform53
 
 
-def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0) -> DataFrame:
+def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0, temperature: float = 0.0) -> DataFrame:
     """(mix_source, rate, cdf): mean copies per document and the inverse's table, one row per source.
 
     The only statistic is the byte count per source: a partial aggregation, so that a hot
@@ -30,7 +30,7 @@ def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0
         F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).alias("n_bytes"))
     per = per.where(F.col("n_bytes") > 0)
     if weights is None:
-        per = per.withColumn("weight", F.lit(1.0))
+        per = per.withColumn("weight", F.pow(F.col("n_bytes").cast("double"), F.lit(float(temperature))))
     else:
         table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0] or [(None, 0.0)], "given string, weight double")
         per = per.join(table, F.col("mix_source").eqNullSafe(F.col("given"))).drop("given")
@@ -61,10 +61,10 @@ def copies(seed: int, cdf: Column) -> Column:
 
 
 def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, seed: int = 20,
-        shuffle: bool = True) -> DataFrame:
+        shuffle: bool = True, temperature: float = 0.0) -> DataFrame:
     """Documents repeated to the target weights: input columns and ``replica`` (from 0), globally shuffled."""
     columns = [c for c in docs.columns if c not in ("replica", "mix_source", "cdf", "mix_copies", "mix_key")]
-    rates = source_rates(docs, weights, size).select("mix_source", "cdf")
+    rates = source_rates(docs, weights, size, temperature).select("mix_source", "cdf")
     # one row per source: Spark broadcasts it where its measured size allows, else splits the hot source (AQE)
     drawn = (docs.select(*[f"`{c}`" for c in columns]).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
              .withColumn("mix_copies", copies(seed, F.col("cdf"))).where(F.col("mix_copies") > 0))

@@ -9,20 +9,26 @@ from .common import read_table
 from .op1_ordinal import op1_ordinal
 from .op2_oddsketch import op2_oddsketch
 from .op3_warczst import op3_warczst
+from .op4_bwt import op4_bwt
 from .op5_tokenfile import op5_tokenfile
 from .op6_bpe import op6_bpe
-from .op10_maxscore import SQL as OP10_SQL, op10_maxscore
 from .op7_rules import SQL as OP7_SQL, op7_rules
 from .op8_poisson import SQL as OP8_SQL, op8_poisson
-
+from .op9_automaton import SQL as OP9_SQL, op9_automaton
+from .op10_maxscore import SQL as OP10_SQL, op10_maxscore
 
 #: Query to (its tables, its operator).
 OPERATORS = {
     "op1_ordinal": ("documents labels", op1_ordinal),
     "op2_oddsketch": ("documents", op2_oddsketch),
-    "op3_warczst": ("pages", op3_warczst), "op5_tokenfile": ("documents", op5_tokenfile), "op6_bpe": ("documents", op6_bpe),
+    "op3_warczst": ("pages", op3_warczst),
+    "op4_bwt": ("documents", op4_bwt),
+    "op5_tokenfile": ("documents", op5_tokenfile),
+    "op6_bpe": ("documents", op6_bpe),
+    "op7_rules": ("documents", op7_rules),
+    "op8_poisson": ("documents", op8_poisson),
+    "op9_automaton": ("documents", op9_automaton),
     "op10_maxscore": ("embeddings", op10_maxscore),
-    "op7_rules": ("documents", op7_rules), "op8_poisson": ("documents", op8_poisson),
 }
 
 
@@ -34,4 +40,4 @@ def _query(tables: str, operator):
 
 
 REGISTRY = {name: _query(*x) for name, x in OPERATORS.items()}
-SQL = {"op10_maxscore": OP10_SQL, "op7_rules": OP7_SQL, "op8_poisson": OP8_SQL}
+SQL = {"op7_rules": OP7_SQL, "op8_poisson": OP8_SQL, "op9_automaton": OP9_SQL, "op10_maxscore": OP10_SQL}
