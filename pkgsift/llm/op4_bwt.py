@@ -31,7 +31,7 @@ from .common import U64, anchors, as_utf8, list_column, mix64, runs, slices, unc
 from .common import _BYTE_VALUES, _powers
 
 #: Bytes of a window, bytes of an anchor, occurrences of anchors per shard.
-LENGTH, GRAM, PER_SHARD = 200, 32, 5000
+LENGTH, GRAM, PER_SHARD = 200, 64, 5000
 #: Bytes of a text that are hashed at once; longer texts go in overlapping parts.
 PART = 1 << 19
 EMPTY = hashlib.sha256(b"").hexdigest()
