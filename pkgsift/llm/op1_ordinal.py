@@ -194,6 +194,8 @@ def fit(docs: DataFrame, graded: DataFrame, max_rows: int = MAX_ROWS, grades: in
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), pa.array([m.thresholds.tolist()])], names=["w", "t"])
 
     one = rows.mapInArrow(hashed, "grade long, buckets array<int>").repartition(1).mapInArrow(train, "w binary, t array<double>").first()
+    if one is None:  # Spark finds the sample empty
+        return Model(np.zeros(1 << BITS, np.float32), np.full(grades - 1, -1e3))
     return Model(np.frombuffer(bytes(one["w"]), np.float32), np.array(one["t"]))
 
 

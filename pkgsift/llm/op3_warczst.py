@@ -143,7 +143,9 @@ def dictionary_of(pages: DataFrame) -> bytes:
                     total += len(samples[-1])
         yield pa.RecordBatch.from_arrays([pa.array([Z.train_dictionary(samples, DICTIONARY_BYTES)], pa.binary())], names=["data"])
 
-    return bytes(Z.bounded_sample(pages, "page_id", SAMPLE_PAGES).select("html").repartition(1).mapInArrow(train, "data binary").first()["data"])
+    sample = Z.bounded_sample(pages, "page_id", SAMPLE_PAGES).select("html").repartition(1)
+    one = sample.mapInArrow(train, "data binary").first()  # no row if Spark finds the table empty
+    return bytes(one["data"]) if one else b""
 
 
 def write(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> str:

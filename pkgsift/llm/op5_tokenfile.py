@@ -73,7 +73,8 @@ def shared_dictionary(docs: DataFrame, vocabulary, end_id: int | None, width: st
         yield pa.RecordBatch.from_arrays([pa.array([Z.train_dictionary(samples, DICTIONARY_BYTES)], pa.binary())], names=["data"])
 
     sample = Z.bounded_sample(docs, "doc_id", SAMPLE_DOCS).repartition(1)
-    return bytes(sample.mapInArrow(train, "data binary").first()["data"])
+    one = sample.mapInArrow(train, "data binary").first()  # no row if Spark finds the table empty
+    return bytes(one["data"]) if one else b""
 
 
 def write(docs: DataFrame, path: str, vocabulary: Vocabulary, end_id: int | None = 2) -> str:

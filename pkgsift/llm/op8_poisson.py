@@ -32,13 +32,13 @@ def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0
     if weights is None:
         per = per.withColumn("weight", F.pow(F.col("n_bytes").cast("double"), F.lit(float(temperature))))
     else:
-        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0] or [(None, 0.0)], "given string, weight double")
-        per = per.join(table, F.col("mix_source").eqNullSafe(F.col("given"))).drop("given")
+        table = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items() if v > 0] or [("", 0.0)], "given string, weight double")
+        per = per.join(table, F.col("mix_source").eqNullSafe(F.col("given")), "left").drop("given").fillna(0.0, ["weight"])
     totals = per.agg(F.sum("n_bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
     rate = (F.lit(float(size)) * F.col("weight") / F.col("all_weight")) * F.col("all_bytes") / F.col("n_bytes")
     # the totals are one row: attached as a one-row lookup on a constant key
     per = per.withColumn("one", F.lit(1)).join(totals.withColumn("one", F.lit(1)), "one")
-    return per.select("mix_source", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    return per.where("weight > 0").select("mix_source", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
 
 
 def poisson_cdf(rate: Column) -> Column:
