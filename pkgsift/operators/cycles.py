@@ -23,20 +23,21 @@ lineage stays short and a lost executor only recomputes one round.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
 PID = "project_id"
-MAX_ROUNDS = 10_000
 
 
 def peel(edges: DataFrame) -> DataFrame:
     """Remove edges that cannot lie on a cycle, until nothing changes."""
     cur = materialize(edges.select(PID, "src", "dst").distinct(), "cyc-peel")
     n = cur.count()
-    for _ in range(MAX_ROUNDS):
+    for _ in itertools.count():
         has_in = cur.select(PID, F.col("dst").alias("src")).distinct()
         has_out = cur.select(PID, F.col("src").alias("dst")).distinct()
         nxt = cur.join(has_in, [PID, "src"], "left_semi").join(has_out, [PID, "dst"], "left_semi")
@@ -56,7 +57,7 @@ def _propagate_min(nodes: DataFrame, edges: DataFrame, hops: int = HOPS) -> Data
     """color(v) = least name among nodes that reach v (v included)."""
     color = materialize(nodes.select(PID, "node", F.col("node").alias("color")), "cyc-color")
     src_key = edges.select(PID, "src", "dst")
-    for _ in range(MAX_ROUNDS):
+    for _ in itertools.count():
         cur = color.select(PID, "node", "color", F.lit(False).alias("changed"))
         for _ in range(hops):
             incoming = (src_key.join(cur.select(PID, F.col("node").alias("src"), F.col("color").alias("c")),
@@ -84,7 +85,7 @@ def _backward_members(color: DataFrame, edges: DataFrame, hops: int = HOPS) -> D
           .where(F.col("cs") == F.col("cd"))
           .select(PID, "src", "dst", F.col("cs").alias("color")))
     ce = materialize(ce, "cyc-ce")
-    for _ in range(MAX_ROUNDS):
+    for _ in itertools.count():
         cur = member
         for _ in range(hops):
             new = (ce.join(cur.select(PID, F.col("node").alias("dst"), "color"), [PID, "dst", "color"],
@@ -105,7 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
     rest = peel(edges)
     nodes = rest.select(PID, F.col("src").alias("node")).distinct()
     found = []
-    for _ in range(MAX_ROUNDS):
+    for _ in itertools.count():
         nodes = materialize(nodes, "cyc-nodes")
         if nodes.count() == 0:
             break

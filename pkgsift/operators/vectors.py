@@ -76,11 +76,13 @@ def udf_encoder(make_encoder, dim: int):
 
     ``make_encoder()`` returns ``encode(list[str]) -> list[list[float]]``; it is
     called once per task (load the model there), then every Arrow batch of
-    texts is encoded in one call. Vectors are cut or zero-padded to ``dim``.
+    texts is encoded in one call. A vector of another length than ``dim`` is an error.
     """
     def fit(v) -> list[float]:
-        v = [float(x) for x in list(v)[:dim]]
-        return v + [0.0] * (dim - len(v))
+        v = [float(x) for x in v]
+        if len(v) != dim:
+            raise ValueError(f"the encoder gave {len(v)} numbers, not {dim}")
+        return v
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -209,7 +211,7 @@ def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, bucket_length: f
 
 
 # ------------------------------------------------------------------ M5
-def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: int = 20,
+def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: int = 300,
            seed: int = C.KMEANS_SEED) -> tuple[DataFrame, DataFrame]:
     """M5: k-means per project, k = min(max(2, n // 3), 10); projects with n < 2 get none.
 
@@ -262,6 +264,8 @@ def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: in
         centers = materialize(
             centers.join(upd.withColumnRenamed("cvec", "nvec"), [PID, "run", "cid"], "left")
             .select(PID, "run", "cid", F.coalesce("nvec", "cvec").alias("cvec")), "km-centers")
+    else:
+        raise RuntimeError(f"k-means has not converged after {max_iter} rounds; raise max_iter")
     final = materialize(assign(centers), "km-assign")
     cost = final.groupBy(PID, "run").agg(F.sum("d2").alias("cost"))
     best = cost.groupBy(PID).agg(F.min_by("run", F.struct("cost", "run")).alias("run"))

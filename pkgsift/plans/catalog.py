@@ -235,7 +235,7 @@ def vector_inputs(spark, sf_dir, cls):
 def analysis(spark, sf_dir, **kw):
     cls = classes_table(spark, sf_dir, ANALYSIS_COLUMNS)
     cv, tv = vector_inputs(spark, sf_dir, cls)
-    return RC.analyze(cls, cv, tv, materialize=False, **kw)
+    return RC.analyze(cls, cv, tv, store=False, **kw)
 
 
 # ------------------------------------------------------------------ R
@@ -393,7 +393,7 @@ def o8(spark, sf_dir):
 def o9(spark, sf_dir):
     cls = classes_table(spark, sf_dir, ANALYSIS_COLUMNS)
     cv, tv = vector_inputs(spark, sf_dir, cls)
-    return RC.recommend(cls, cv, tv, materialize=False)
+    return RC.recommend(cls, cv, tv, store=False)
 
 
 @register("O10")

@@ -9,7 +9,7 @@ are written as ``::DOUBLE`` so that float semantics match the Spark side.
 from __future__ import annotations
 
 from ..functions import constants as C
-from ..sources.corpus import ANNOTATIONS, PACKAGES, STEMS, SUFFIXES, VERBS, VECTOR_IDS
+from ..sources.corpus import ANNOTATIONS, PACKAGES, STEMS, SUFFIXES, VERBS
 
 
 def _q(s: str) -> str:
@@ -198,7 +198,7 @@ last_k AS (
 ),
 class_vec AS (
   SELECT l.project_id, l.class_name, CAST(e.embedding AS DOUBLE[]) AS vec
-  FROM last_k l JOIN embeddings e ON e.vec_id = l.k % {VECTOR_IDS}
+  FROM last_k l JOIN embeddings e ON e.vec_id = l.k % (SELECT count(*) FROM embeddings)
 ),
 type_vec AS (
   SELECT CAST(vec_id AS INTEGER) AS type_ord, {_list(_TYPES)}[vec_id + 1] AS package_type,

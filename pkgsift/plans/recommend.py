@@ -30,11 +30,11 @@ class Analysis:
 
 def analyze(classes: DataFrame, class_vec: DataFrame | None = None, type_vec: DataFrame | None = None,
             use_embeddings: bool = True, use_dependencies: bool = True,
-            max_classes: int | None = None, materialize: bool = True) -> Analysis:
-    """Run detection and suggestion; every intermediate stays a lazy DataFrame."""
+            max_classes: int | None = None, store: bool = True) -> Analysis:
+    """Run detection and suggestion; lazy but for the class table, which ``store`` writes once."""
     if max_classes is not None:
         classes = PL.limit_classes(classes, max_classes)
-    if materialize:
+    if store:
         classes = materialize(classes, "classes")
     edge_df = G.edges(classes) if use_dependencies else None
     emb = None
@@ -56,6 +56,6 @@ def recommend(classes: DataFrame, class_vec: DataFrame | None = None, type_vec:
 def recommend_with_metadata(classes: DataFrame, class_vec=None, type_vec=None, **kw) -> DataFrame:
     """O2: materialise the results, then stamp the measured run time and a timestamp."""
     start = time.time()
-    kw.setdefault("materialize", False)
+    kw.setdefault("store", False)
     res = materialize(recommend(classes, class_vec, type_vec, **kw), "results")
     return PL.with_run_metadata(res, time.time() - start)

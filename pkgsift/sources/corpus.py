@@ -28,7 +28,6 @@ ANNOTATIONS = ["Entity", "Service", "RestController", "Repository", "Component",
                "Override", "ResponseStatus", "Table"]
 
 NL = "\n"
-VECTOR_IDS = 500
 
 
 def _name(k):
@@ -125,13 +124,14 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_vectors(classes: DataFrame, embeddings: DataFrame) -> DataFrame:
     """class_vec(project_id, class_name, vec): the given vector of the last row of a name.
 
-    The vector id of a row is its file's order key modulo the vector count.
+    The vector id of a row is its file's order key modulo the number of vectors in the table.
     """
     last = (classes.groupBy("project_id", "class_name")
             .agg(F.max_by(file_key(F.col("relative_path")),
                           F.struct("relative_path", "class_pos")).alias("k")))
     emb = embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return (last.join(emb, (last["k"] % VECTOR_IDS) == emb["vec_id"], "inner")
+    count = max(1, embeddings.count())
+    return (last.join(emb, (last["k"] % count) == emb["vec_id"], "inner")
             .select("project_id", "class_name", "vec"))
 
 

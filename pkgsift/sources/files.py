@@ -38,14 +38,15 @@ def scan_sources(spark: SparkSession, root: str) -> DataFrame:
             .select("path", "length", "content"))
 
 
-def _root_uri(root: str) -> str:
-    root = root.rstrip("/")
-    return root if "://" in root or root.startswith("file:") else "file:" + os.path.abspath(root)
+def _root_uri(spark: SparkSession, root: str) -> str:
+    """The root as Spark spells the paths below it, whatever its own spelling or file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def with_project(listing: DataFrame, root: str) -> DataFrame:
     """Adds project_id (first folder below ``root``) and the project root path."""
-    base = _root_uri(root) + "/"
+    base = _root_uri(listing.sparkSession, root) + "/"
     rest = F.substring(F.col("path"), len(base) + 1, 1 << 30)
     pid = F.element_at(F.split(rest, "/", 2), 1)
     return listing.where(F.startswith(F.col("path"), F.lit(base))).select(
@@ -65,7 +66,8 @@ def keep_unpruned(rel: Column) -> Column:
 
 def decode_text(content: Column) -> Column:
     """S3: UTF-8 text; invalid bytes removed; '\\r\\n' and '\\r' become '\\n'."""
-    text = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
+    raw = content.cast("string")
+    text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
     return F.regexp_replace(text, "\r\n?", "\n")
 
 

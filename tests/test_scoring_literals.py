@@ -83,7 +83,7 @@ def test_duplicate_names_share_flag_and_suggestion(spark):
     cls = _rows(spark, recs)
     idx = G.class_index(cls).collect()
     assert [(r.class_name, r.package) for r in idx] == [("UtilHelper", "q.util")]
-    res = RC.analyze(cls, materialize=False).results.orderBy("relative_path").collect()
+    res = RC.analyze(cls, store=False).results.orderBy("relative_path").collect()
     assert len(res) == 2
     assert res[0].is_misplaced == res[1].is_misplaced
     assert res[0].suggested_package == res[1].suggested_package or not res[0].is_misplaced
@@ -116,7 +116,7 @@ def test_demo_records_quick_rule(spark):
 
 def test_empty_input_gives_empty_results_and_zero_rates(spark):
     cls = _rows(spark, [])
-    res = RC.analyze(cls, materialize=False).results
+    res = RC.analyze(cls, store=False).results
     assert res.count() == 0
     assert P.overview(res).count() == 0
 
