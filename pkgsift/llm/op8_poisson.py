@@ -17,7 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import uniform53
+from .common import materialize, uniform53
+
+#: Measured bytes of the table of rates up to which it is broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0, temperature: float = 0.0) -> DataFrame:
@@ -64,8 +67,11 @@ def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, seed: i
         shuffle: bool = True, temperature: float = 0.0) -> DataFrame:
     """Documents repeated to the target weights: input columns and ``replica`` (from 0), globally shuffled."""
     columns = [c for c in docs.columns if c not in ("replica", "mix_source", "cdf", "mix_copies", "mix_key")]
-    rates = source_rates(docs, weights, size, temperature).select("mix_source", "cdf")
-    # one row per source: Spark broadcasts it where its measured size allows, else splits the hot source (AQE)
+    rates = materialize(source_rates(docs, weights, size, temperature).select("mix_source", "cdf"), "rates")
+    held = rates.agg(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 8 * F.size("cdf")).alias("n")).first()["n"] or 0
+    # one row per source, of measured size: with a small table the texts needn't move for their rate;
+    # beyond that a sort-merge join, whose hot source Spark splits (AQE)
+    rates = F.broadcast(rates) if held <= BROADCAST_BYTES else rates.hint("merge")
     drawn = (docs.select(*[f"`{c}`" for c in columns]).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
              .withColumn("mix_copies", copies(seed, F.col("cdf"))).where(F.col("mix_copies") > 0))
     out = drawn.select(*[f"`{c}`" for c in columns], F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("replica"))
