@@ -32,6 +32,8 @@ from .common import _BYTE_VALUES, _powers
 
 #: Bytes of a window, bytes of an anchor, occurrences of anchors per shard.
 LENGTH, GRAM, PER_SHARD = 200, 64, 5000
+#: Places at which the windows of one class around a hot anchor start.
+WIDTH = 16
 #: Bytes of a text that are hashed at once; longer texts go in overlapping parts.
 PART = 1 << 19
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -91,28 +93,24 @@ def anchor_pass(length: int):
     return run
 
 
-def segment_pass(length: int):
-    """doc_id, text, hits -> shard, doc_id, start, body."""
+def segment_pass(length: int, shards: int):
+    """doc_id, text, hits -> rows of P.SEGMENTS: cut-outs or, without a body, settled spans."""
 
     def run(batches):
+        settled, gram = P.Settled(earlier_only=False, shards=shards), min(GRAM, length)
         for batch in batches:
             data, offs = as_utf8(batch.column(1))
             raw, out, size = data.tobytes(), [], 0
             docs = batch.column(0).to_pylist()
             for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-                for shard, a, b in P.intervals(*P.hits_of(batch, i), length - min(GRAM, length), length, hi - lo):
-                    out.append((shard, docs[i], a, raw[lo + a:lo + b]))
+                for shard, a, b in P.intervals(P.hits_of(batch, i), gram, length, min(WIDTH, length), hi - lo, shards, lambda c, d: raw[lo + c:lo + d]):
+                    out += settled.add(shard, docs[i], a, b - a, raw[lo + a:lo + b])
                     size += b - a
                 if size > 8 << 20:
-                    yield table(out)
+                    yield P.segment_table(out)
                     out, size = [], 0
             if out:
-                yield table(out)
-
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-
-    def table(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "doc_id", "start", "body"])
+                yield P.segment_table(out)
 
     return run
 
@@ -172,30 +170,53 @@ def repeated_windows(symbols: np.ndarray, length: int) -> np.ndarray:
     return order[open_[:n] | open_[1:]]
 
 
+def body_spans(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(body, start, end) of the repeated spans within distinct bodies."""
+    sizes = np.array([len(b) for b in bodies])
+    ends = np.cumsum(sizes + 1)
+    symbols = np.empty(ends[-1], np.int64)
+    inner = np.ones(ends[-1], bool)
+    inner[ends - 1] = False
+    symbols[inner] = np.frombuffer(b"".join(bodies), np.uint8)
+    symbols[ends - 1] = 256 + np.arange(len(bodies))
+    edge = np.zeros(len(symbols) + length + 1, np.int64)
+    at = repeated_windows(symbols, length)
+    edge[at] += 1
+    np.subtract.at(edge, at + length, 1)
+    found = np.array(P.runs_of(np.cumsum(edge)[:len(symbols)] > 0), np.int64).reshape(-1, 2)
+    body = np.searchsorted(ends, found[:, 0], "right")
+    begin = (ends - sizes - 1)[body]
+    return body, found[:, 0] - begin, found[:, 1] - begin
+
+
 def match_pass(length: int):
-    """Segments in shard order -> doc_id, start, end of the repeated spans."""
+    """Segments in shard order -> doc_id, start, end of the repeated spans.
+
+    Of equal bodies one enters the transform; all of them are repeated whole.
+    """
 
     def run(batches):
         for t in runs(batches, 1):
-            bodies = t.column("body").to_pylist()
-            sizes = np.array([len(b) for b in bodies])
-            ends = np.cumsum(sizes + 1)
-            symbols = np.empty(ends[-1], np.int64)
-            inner = np.ones(ends[-1], bool)
-            inner[ends - 1] = False
-            symbols[inner] = np.frombuffer(b"".join(bodies), np.uint8)
-            symbols[ends - 1] = 256 + np.arange(len(bodies))
-            del bodies
-            edge = np.zeros(len(symbols) + length + 1, np.int64)
-            at = repeated_windows(symbols, length)
-            edge[at] += 1
-            np.subtract.at(edge, at + length, 1)
-            found = P.runs_of(np.cumsum(edge)[:len(symbols)] > 0)
-            if found:
-                a, b = np.array(found).T
-                seg = np.searchsorted(ends, a, "right")
-                shift = t.column("start").to_numpy()[seg] - (ends - sizes - 1)[seg]
-                yield pa.RecordBatch.from_arrays([pa.array(t.column("doc_id").to_numpy()[seg]), pa.array(a + shift), pa.array(b + shift)], names=["doc_id", "start", "end"])
+            place: dict[bytes, int] = {}
+            doc, start, size = (t.column(c).to_numpy() for c in ("doc_id", "start", "size"))
+            row, whole = [], np.zeros(t.num_rows, bool)
+            for chunk, base in zip(t.column("body").chunks, np.cumsum([0] + [len(c) for c in t.column("body").chunks]).tolist()):
+                for i, body in enumerate(chunk.to_pylist(), base):
+                    if body is None:
+                        whole[i] = True
+                        continue
+                    k = place.setdefault(body, len(row))
+                    if k < len(row):
+                        whole[i] = whole[row[k]] = True
+                    else:
+                        row.append(i)
+            whole &= size >= length
+            found = [(doc[whole], start[whole].astype(np.int64), start[whole].astype(np.int64) + size[whole])]
+            if place:
+                body, a, b = body_spans(list(place), length)
+                seg = np.array(row)[body]
+                found.append((doc[seg], a + start[seg], b + start[seg]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], names=["doc_id", "start", "end"])
 
     return run
 
@@ -237,8 +258,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     docs = unclash(docs, ["doc_id", "text"])
     scanned = P.scan(docs, anchor_pass(length), "n_bytes long")
     copies = P.first_copies(scanned)
-    involved = P.cut_out(docs, P.routes(scanned, copies, PER_SHARD))
-    segments = involved.mapInArrow(segment_pass(length), "shard int, doc_id long, start int, body binary")
+    hits, shards = P.routes(scanned, copies, PER_SHARD)
+    involved = P.cut_out(docs, hits)
+    segments = involved.mapInArrow(segment_pass(length, shards), P.SEGMENTS)
     spans = P.dealt(segments).mapInArrow(match_pass(length), "doc_id long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return scanned, copies, involved.select("doc_id", "text").join(spans, "doc_id"), docs

@@ -6,7 +6,7 @@ and streams the passages through it: the matching statistic at a word is the len
 string ending there that the references, or an earlier part of the passage, hold too. Where it
 reaches the threshold the last ``length`` words are a repeated window; the union of
 those is removed. A passage then joins the references. The words themselves label the
-automaton, so nothing is decided by a hash.
+automaton; only whole equal passages of one map task are known by a digest (of 128 bits).
 
 Automata are dealt with the passages that can match them rather than sent to all tasks:
 all shards together grow with the corpus, and every document against every shard would
@@ -117,19 +117,19 @@ def anchor_pass(length: int):
     return run
 
 
-def segment_pass(length: int):
-    """doc_id, text, hits -> shard, doc_id, start, body (words joined by a space)."""
+def segment_pass(length: int, shards: int):
+    """doc_id, text, hits -> rows of P.SEGMENTS: cut-outs (words joined by a space) or, without a body, settled spans."""
 
     def run(batches):
+        settled, gram = P.Settled(earlier_only=True, shards=shards), min(GRAM, length)
         for batch in batches:
             out = []
             for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
                 words = text.encode().split()
-                for shard, a, b in P.intervals(*P.hits_of(batch, i), length - min(GRAM, length), length, len(words)):
-                    out.append((shard, doc, a, b" ".join(words[a:b])))
+                for shard, a, b in P.intervals(P.hits_of(batch, i), gram, length, 1, len(words), shards, lambda c, d: b" ".join(words[c:d])):
+                    out += settled.add(shard, doc, a, b - a, b" ".join(words[a:b]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int64(), pa.int32(), pa.binary()))],
-                                                 names=["shard", "doc_id", "start", "body"])
+                yield P.segment_table(out)
 
     return run
 
@@ -141,7 +141,10 @@ def match_pass(length: int):
         shard, automaton = None, None
         for batch in batches:
             out = []
-            for s, doc, start, body in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for s, doc, start, size, body in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if body is None:
+                    out.append((doc, start, start + size))
+                    continue
                 if s != shard:
                     shard, automaton = s, Automaton()
                 ends = automaton.matches(body.split(), length)
@@ -157,8 +160,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     docs = unclash(docs, ["doc_id", "text"])
     scanned = P.scan(docs, anchor_pass(length), "n_words long, full_sha256 string")
     copies = P.first_copies(scanned)
-    involved = P.cut_out(docs, P.routes(scanned, copies, PER_SHARD))
-    segments = involved.mapInArrow(segment_pass(length), "shard int, doc_id long, start int, body binary")
+    hits, shards = P.routes(scanned, copies, PER_SHARD)
+    involved = P.cut_out(docs, hits)
+    segments = involved.mapInArrow(segment_pass(length, shards), P.SEGMENTS)
     spans = P.dealt(segments).mapInArrow(match_pass(length), "doc_id long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return scanned, copies, involved.select("doc_id", "text").join(spans, "doc_id")

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from pkgsift.llm import passages
 from pkgsift.llm import op1_ordinal, op2_oddsketch, op3_warczst, op4_bwt, op5_tokenfile, op6_bpe, op7_rules, op8_poisson, op9_automaton, op10_maxscore
 from pkgsift.session import ship_package
 
@@ -102,7 +103,16 @@ def test_op2_second_look_finds_links_that_the_pivot_misses(spark):
     assert {r.doc_id: r.component_id for r in got} == comp
 
 
-def test_op4_matches_brute_force(docs, empty):
+@pytest.fixture(params=["shards", "hot"])
+def hot(request, monkeypatch):
+    """The normal way, and every repeated anchor taken for a hot one, dealt to many shards."""
+    if request.param == "hot":
+        monkeypatch.setattr(passages, "HOT", 1)
+        monkeypatch.setattr(op4_bwt, "PER_SHARD", 20)
+        monkeypatch.setattr(op9_automaton, "PER_SHARD", 20)
+
+
+def test_op4_matches_brute_force(docs, empty, hot):
     rows = {r.doc_id: (r.text or "").encode() for r in docs.collect() if r.doc_id is not None}
     count = Counter(b[i:i + 200] for b in rows.values() for i in range(len(b) - 199))
     got = by_id(r for r in op4_bwt.op4_bwt(docs).collect() if r.doc_id is not None)
@@ -117,7 +127,7 @@ def test_op4_matches_brute_force(docs, empty):
     assert sum(g[1] for g in got.values()) > 2000 and op4_bwt.op4_bwt(empty).count() == 0
 
 
-def test_op9_matches_brute_force(docs, empty):
+def test_op9_matches_brute_force(docs, empty, hot):
     rows = sorted({(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None})
     seen, want = set(), {}
     for d, t in rows:
