@@ -1,7 +1,7 @@
 """Dependency cycles (D12) as iterative DataFrame jobs, all projects at once.
 
 Contract: (a) ``has_cycle`` per project, (b) cyclic classes = classes that
-reach themselves, (c) all simple cycles up to a length cap, each rotated to
+reach themselves, (c) all simple cycles, up to a length if one is asked for, each rotated to
 start at its least name and closed with it.
 
 Method (every step is a join + aggregation keyed by project and name; the
@@ -126,7 +126,7 @@ def components(edges: DataFrame) -> DataFrame:
         found.append(members)
         nodes = nodes.join(members.select(PID, "node"), [PID, "node"], "left_anti")
     if not found:
-        return edges.sparkSession.createDataFrame([], f"{PID} bigint, node string, component string, size bigint")
+        return edges.select(PID, F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
     allm = found[0]
     for m in found[1:]:
         allm = allm.unionByName(m)
@@ -150,8 +150,10 @@ def has_cycle(classes: DataFrame, cyclic: DataFrame) -> DataFrame:
                     F.coalesce("cyclic_classes", F.lit(0)).cast("long").alias("cyclic_classes")))
 
 
-def simple_cycles(edges: DataFrame, max_length: int = 5) -> DataFrame:
-    """D12 (c): simple cycles of at most ``max_length`` edges.
+def simple_cycles(edges: DataFrame, max_length: int | None = None) -> DataFrame:
+    """D12 (c): simple cycles, all or those of at most ``max_length`` edges.
+
+    Their number can grow exponentially with a component's size: ask for a length on dense graphs.
 
     Paths start at a node s and only visit nodes of s's component whose name
     is greater than s, so every cycle is produced once, already rotated to
@@ -168,14 +170,14 @@ def simple_cycles(edges: DataFrame, max_length: int = 5) -> DataFrame:
     paths = ce.where(F.col("dst") > F.col("src")).select(
         PID, F.col("src").alias("start"), F.col("dst").alias("last"), F.array("src", "dst").alias("path"))
     out = [self_cycles]
-    for step in range(2, max_length + 1):
+    for step in itertools.count(2):
         paths = materialize(paths, "cyc-paths")
+        if step - 1 == max_length or paths.isEmpty():
+            break
         nxt = paths.join(ce.withColumnRenamed("src", "last"), [PID, "last"])
         closed = nxt.where(F.col("dst") == F.col("start")).select(
             PID, F.concat("path", F.array("dst")).alias("path"))
         out.append(closed)
-        if step == max_length:
-            break
         paths = nxt.where((F.col("dst") > F.col("start")) & ~F.array_contains("path", F.col("dst"))).select(
             PID, "start", F.col("dst").alias("last"), F.concat("path", F.array("dst")).alias("path"))
     res = out[0]

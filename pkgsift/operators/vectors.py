@@ -7,9 +7,9 @@
 * M6/M7 are cosine folds in double inside codegen. The seven package-type
   vectors are a fixed-size parameter table (checked to hold exactly seven
   rows) and are inlined as literals, so scoring a class needs no join.
-* M4 never enumerates all pairs of a project: exact similarities are
-  computed for candidate pairs from MLlib random-projection LSH buckets
-  (threshold join), or for given pairs (M7 over dependency edges).
+* M4 never enumerates all pairs of a project: equal vectors are one group, and exact
+  similarities are computed for pairs of groups that share a sign-hash bucket, with the
+  number of tables set by the wanted recall; or for given pairs (M7 over dependency edges).
 * M5 runs Lloyd's k-means for all projects and all restarts at once as
   DataFrame jobs keyed by (project_id, restart).
 """
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.vec import ZERO, cosine, dot, norm
+from ..functions.vec import ZERO, cosine, norm
+from ..session import materialize
 
 PID = "project_id"
 UNROLL_MAX_DIM = 64  # longer literal vectors use a fold (keeps generated code small)
@@ -95,10 +96,10 @@ def udf_encoder(make_encoder, dim: int):
 
 def encode_classes(classes: DataFrame, encoder=None) -> DataFrame:
     """M2: class_vec(project_id, class_name, vec) from the semantic text; last row wins."""
-    texts = semantic_text(classes).withColumnRenamed("semantic_text", "text")
+    texts = (semantic_text(classes).groupBy(PID, "class_name")
+             .agg(F.max_by("semantic_text", F.struct("relative_path", "class_pos")).alias("text")))
     vecs = hashing_encoder(texts) if encoder is None else texts.withColumn("vec", encoder(F.col("text")))
-    return (vecs.groupBy(PID, "class_name")
-            .agg(F.max_by("vec", F.struct("relative_path", "class_pos")).alias("vec")))
+    return vecs.select(PID, "class_name", "vec")
 
 
 def encode_types(spark, encoder=None) -> DataFrame:
@@ -143,7 +144,7 @@ def type_cosines(vec: Column, types: list[tuple[str, int, list[float]]]) -> list
     if dim > UNROLL_MAX_DIM:
         return [cosine(vec, F.array(*[F.lit(float(x)) for x in tv]).cast("array<double>"))
                 for _, _, tv in types]
-    items = [vec.getItem(i) for i in range(dim)]
+    items = [F.get(vec, i) for i in range(dim)]
     n = F.sqrt(_unrolled_sum([x * x for x in items]))
     ok = F.size(vec) == F.lit(dim)
     out = []
@@ -172,42 +173,57 @@ def pair_similarity(pairs: DataFrame, class_vec: DataFrame, a: str = "src", b: s
 
 
 # ------------------------------------------------------------------ M4
-def _projections(dim: int, num_tables: int, seed: int) -> list[list[float]]:
-    import numpy as np
-
-    rng = np.random.default_rng(seed)
-    r = rng.standard_normal((num_tables, dim))
-    r = r / np.linalg.norm(r, axis=1, keepdims=True)
-    return [[float(x) for x in row] for row in r]
+def sign_tables(threshold: float, recall: float, bits: int) -> int:
+    """Tables of ``bits`` sign bits, so that a pair at the threshold shares a bucket with probability ``recall``."""
+    same = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(1 - recall) / math.log(1 - same))
 
 
-def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, bucket_length: float = 0.5,
-                  num_tables: int = 4, seed: int = C.KMEANS_SEED) -> DataFrame:
-    """M4: pairs (a < b) inside one project whose vectors have cosine >= threshold.
+def sign_keys(vectors: DataFrame, tables: int, bits: int, seed: int) -> DataFrame:
+    """Adds ``keys``: per table, the side of ``bits`` seeded random planes on which the vector lies."""
+    import numpy as np
 
-    Random-projection LSH on unit vectors: each table hashes a vector to
-    floor(u . r / bucket_length). Candidate pairs share (project, table,
-    bucket), so candidates never cross projects and their number follows the
-    number of near pairs, not the square of a project's size. The exact
-    cosine of every candidate decides. Approximate: a near pair split by
-    every table is missed (more tables, fewer misses).
+    def run(batches):
+        planes = {}
+        for pdf in batches:
+            dims = pdf["vec"].map(len)
+            keys = pd.Series([None] * len(pdf), index=pdf.index, dtype=object)
+            for dim, rows in pdf["vec"].groupby(dims):
+                if dim not in planes:
+                    planes[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, tables * bits))
+                side = (np.stack(rows.to_list()) @ planes[dim] > 0).reshape(len(rows), tables, bits)
+                keys[rows.index] = pd.Series(list(side @ (1 << np.arange(bits))), index=rows.index)
+            yield pdf.assign(keys=keys)
+
+    names = ", ".join(f"{n} {t}" for n, t in vectors.dtypes)
+    return vectors.mapInPandas(run, f"{names}, keys array<long>")
+
+
+def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, recall: float = 0.999, bits: int = 12,
+                  seed: int = C.KMEANS_SEED) -> DataFrame:
+    """M4: (project_id, a, b, cosine, kind) of classes of one project with cosine >= threshold.
+
+    Classes with equal vectors are a group, named by its least class name a: each other member
+    b is a row of kind ``copy``. Rows of kind ``pair`` (a < b) are pairs of group names; their
+    members are as similar. So nothing is lost, and equal vectors don't give all their pairs.
+
+    Candidates share a bucket of sign bits in some table: a pair of groups at the threshold is found with
+    probability ``recall``, a closer one with more; the exact cosine decides. Candidates carry names
+    only; the vectors join what is left after duplicates are dropped. Vectors that are null, empty or zero have no pairs.
     """
-    dim = len(class_vec.select("vec").first()["vec"] or [])
-    if dim == 0:
-        return class_vec.sparkSession.createDataFrame([], f"{PID} bigint, a string, b string, cosine double")
-    proj = _projections(dim, num_tables, seed)
-    items = [F.col("vec").getItem(i) for i in range(dim)]
-    n = norm(F.col("vec"))
-    hashes = F.array(*[F.floor(_unrolled_sum([x * F.lit(w) for x, w in zip(items, r)])
-                               / F.when(n != 0, n).otherwise(F.lit(1.0)) / F.lit(bucket_length))
-                       for r in proj])
-    keyed = class_vec.select(PID, "class_name", "vec", F.posexplode(hashes).alias("tbl", "bucket"))
-    a = keyed.select(PID, "tbl", "bucket", F.col("class_name").alias("a"), F.col("vec").alias("va"))
-    b = keyed.select(PID, "tbl", "bucket", F.col("class_name").alias("b"), F.col("vec").alias("vb"))
-    cand = (a.join(b, [PID, "tbl", "bucket"]).where(F.col("a") < F.col("b"))
-            .select(PID, "a", "b", "va", "vb").dropDuplicates([PID, "a", "b"]))
-    return (cand.select(PID, "a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"))
-            .where(F.col("cosine") >= F.lit(threshold)))
+    usable = class_vec.where(F.size("vec") > 0).where(norm(F.col("vec")) > 0).select(PID, "class_name", "vec")
+    groups = materialize(usable.groupBy(PID, "vec").agg(F.min("class_name").alias("a")).select(PID, "a", "vec"), "vec-groups")
+    copies = (usable.join(groups, [PID, "vec"]).where(F.col("class_name") != F.col("a"))
+              .select(PID, "a", F.col("class_name").alias("b"), cosine(F.col("vec"), F.col("vec")).alias("cosine"), F.lit("copy").alias("kind")))
+    keyed = sign_keys(groups, sign_tables(threshold, recall, bits), bits, seed).select(
+        PID, "a", F.size("vec").alias("dim"), F.posexplode("keys").alias("tbl", "bucket"))
+    keyed = materialize(keyed, "vec-keys")
+    other = keyed.withColumnRenamed("a", "b")
+    cand = keyed.join(other, [PID, "dim", "tbl", "bucket"]).where(F.col("a") < F.col("b")).select(PID, "a", "b").distinct()
+    va, vb = groups.withColumnRenamed("vec", "va"), groups.select(PID, F.col("a").alias("b"), F.col("vec").alias("vb"))
+    pairs = (cand.join(va, [PID, "a"]).join(vb, [PID, "b"])
+             .select(PID, "a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"), F.lit("pair").alias("kind")))
+    return pairs.unionByName(copies).where(F.col("cosine") >= F.lit(threshold))
 
 
 # ------------------------------------------------------------------ M5
@@ -223,8 +239,6 @@ def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: in
     Returns (assignments(project_id, class_name, cluster_id),
              centres(project_id, cluster_id, center)).
     """
-    from ..session import materialize
-
     sizes = class_vec.groupBy(PID).agg(F.count(F.lit(1)).alias("n"))
     k_col = F.least(F.greatest(F.lit(C.KMEANS_MIN_K), F.floor(F.col("n") / 3).cast("int")), F.lit(C.KMEANS_MAX_K))
     ks = sizes.where(F.col("n") >= 2).select(PID, k_col.alias("k"))
@@ -233,7 +247,8 @@ def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: in
     pts = materialize(pts, "km-points")
     rank = F.row_number().over(Window.partitionBy(PID, "run").orderBy(
         F.xxhash64("class_name", F.col("run") + F.lit(seed)), "class_name"))
-    centers = (pts.withColumn("_r", rank).where(F.col("_r") <= F.col("k"))
+    # the literal bound lets Spark keep only so many rows per task before the shuffle
+    centers = (pts.withColumn("_r", rank).where(F.col("_r") <= F.lit(C.KMEANS_MAX_K)).where(F.col("_r") <= F.col("k"))
                .select(PID, "run", (F.col("_r") - 1).cast("int").alias("cid"), F.col("vec").alias("cvec")))
     centers = materialize(centers, "km-centers")
 
@@ -278,7 +293,7 @@ def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: in
 # ------------------------------------------------------------------ M8
 def compute_embeddings(classes: DataFrame, encoder=None, threshold: float = 0.9) -> dict[str, DataFrame]:
     """M8: the embedding bundle: class vectors, type vectors, similar pairs, clusters."""
-    cv = encode_classes(classes, encoder)
+    cv = materialize(encode_classes(classes, encoder), "class-vec")
     tv = encode_types(classes.sparkSession, encoder)
     assignments, centres = kmeans(cv)
     return {"class_embeddings": cv, "package_type_embeddings": tv,

@@ -202,7 +202,7 @@ def d12(spark, sf_dir):
 @register("D12_cycles")
 def d12_cycles(spark, sf_dir):
     e = materialize(G.edges(classes_table(spark, sf_dir, GRAPH_COLUMNS)), "edges")
-    return CY.simple_cycles(e)
+    return CY.simple_cycles(e, max_length=5)
 
 
 # ------------------------------------------------------------------ shared pipeline inputs
@@ -374,6 +374,11 @@ def o5(spark, sf_dir):
     return analysis(spark, sf_dir, use_embeddings=False).results
 
 
+@register("O5_no_dependencies")
+def o5_no_dependencies(spark, sf_dir):
+    return analysis(spark, sf_dir, use_dependencies=False).results
+
+
 @register("O6")
 def o6(spark, sf_dir):
     return PL.top_recommendations(analysis(spark, sf_dir).results)

@@ -11,7 +11,8 @@
 * S6: files per project without pruning.
 
 Projects are the first-level folders of the scanned root: one scan covers
-a whole corpus.
+a whole corpus. Their ids are numbers if all folder names are, else strings; with
+``project`` the root itself is one project of that name.
 """
 
 from __future__ import annotations
@@ -44,13 +45,21 @@ def _root_uri(spark: SparkSession, root: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
-def with_project(listing: DataFrame, root: str) -> DataFrame:
-    """Adds project_id (first folder below ``root``) and the project root path."""
+def with_project(listing: DataFrame, root: str, project: str | None = None, numeric: bool | None = None) -> DataFrame:
+    """Adds project_id (first folder below ``root``, or ``project``) and the project root path.
+
+    ``numeric`` says that all folder names are numbers (project_id bigint); None: look at the listing.
+    """
     base = _root_uri(listing.sparkSession, root) + "/"
     rest = F.substring(F.col("path"), len(base) + 1, 1 << 30)
+    below = listing.where(F.startswith(F.col("path"), F.lit(base)))
+    if project is not None:
+        return below.select("*", F.lit(project).alias(PID), F.lit(base.rstrip("/")).alias("root"))
     pid = F.element_at(F.split(rest, "/", 2), 1)
-    return listing.where(F.startswith(F.col("path"), F.lit(base))).select(
-        "*", pid.try_cast("bigint").alias(PID), F.concat(F.lit(base), pid).alias("root"))
+    number = pid.try_cast("bigint")
+    if numeric is None:
+        numeric = below.select("path").where(number.isNull()).isEmpty()
+    return below.select("*", (number if numeric else pid).alias(PID), F.concat(F.lit(base), pid).alias("root"))
 
 
 def relative_path(path: Column, root: Column) -> Column:
@@ -71,18 +80,18 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def java_files_from_tree(spark: SparkSession, root: str) -> DataFrame:
+def java_files_from_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
     """S1-S5 composed: java_files(project_id, file_path, relative_path, content)."""
-    listing = with_project(scan_sources(spark, root), root)
+    listing = with_project(scan_sources(spark, root), root, project)
     rel = relative_path(F.col("path"), F.col("root"))
     kept = listing.select("*", rel.alias("relative_path")).where(keep_unpruned(F.col("relative_path")))
     return kept.select(PID, F.col("path").alias("file_path"), "relative_path",
                        decode_text(F.col("content")).alias("content"))
 
 
-def source_file_counts(spark: SparkSession, root: str) -> DataFrame:
+def source_file_counts(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
     """``*.java`` files per project, before pruning (no content is read)."""
-    listing = with_project(scan_sources(spark, root).select("path"), root)
+    listing = with_project(scan_sources(spark, root).select("path"), root, project)
     return listing.groupBy(PID).agg(F.count(F.lit(1)).alias("java_files"))
 
 

@@ -21,14 +21,18 @@ from ..sources import files as FS
 BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-def class_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    """A streaming DataFrame of class rows for files appearing below ``root``."""
+def class_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None,
+                 numeric_projects: bool = True) -> DataFrame:
+    """A streaming DataFrame of class rows for files appearing below ``root``.
+
+    A stream fixes its schema before it sees a file: ``numeric_projects=False`` for folders with other names.
+    """
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
               .option("recursiveFileLookup", "true")
               .option("pathGlobFilter", "*" + C.SOURCE_SUFFIX))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    listing = FS.with_project(reader.load(root).select("path", "content"), root)
+    listing = FS.with_project(reader.load(root).select("path", "content"), root, numeric=numeric_projects)
     rel = FS.relative_path(F.col("path"), F.col("root"))
     java_files = (listing.select("*", rel.alias("relative_path"))
                   .where(FS.keep_unpruned(F.col("relative_path")))
@@ -38,9 +42,10 @@ def class_stream(spark: SparkSession, root: str, max_files_per_trigger: int | No
 
 
 def start_class_ingest(spark: SparkSession, root: str, table_path: str, checkpoint_location: str,
-                       available_now: bool = True, processing_time: str | None = None) -> StreamingQuery:
+                       available_now: bool = True, processing_time: str | None = None,
+                       numeric_projects: bool = True) -> StreamingQuery:
     """Append extracted class rows to a Parquet table at ``table_path``."""
-    w = (class_stream(spark, root).writeStream.format("parquet")
+    w = (class_stream(spark, root, numeric_projects=numeric_projects).writeStream.format("parquet")
          .option("path", table_path).option("checkpointLocation", checkpoint_location)
          .outputMode("append"))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=processing_time or "30 seconds")
