@@ -4,12 +4,14 @@ A source with share t of the target and share a of the corpus (in UTF-8 bytes) g
 mean repetition rate ``size * t / a`` (size: the wanted corpus size as a multiple of the
 present one). Each document draws its copy count by inverting that Poisson distribution
 at a uniform number hashed from (seed, doc_id), so a rerun or a lost executor repeats the
-same draw. Copies are then dealt by a hash of (seed, doc_id, replica): a global shuffle.
+same draw. A rate above 700 is split into ceil(rate / 500) equal parts, which draw by (seed,
+doc_id, part) and are added up: a sum of independent Poisson numbers is one. Copies are then dealt by a hash of (seed, doc_id, replica): a global shuffle.
 
 Defined results: a null source is a source of its own; rows with a null or repeated
 doc_id draw by their id alone (equal ids draw equal counts). Null texts count 0 bytes. A source whose texts are all
 empty, or whose weight is 0, has rate 0. Sources without a given weight get none; without
 any weights a source's share is its size to the power ``temperature`` (0: equal shares, 1: as they are). An empty table gives an empty result.
+The SQL has no such parts: it is the reference for rates up to 700 only.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from .common import materialize, uniform53
 
 #: Measured bytes of the table of rates up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
+#: exp(-rate) underflows above 700: such a rate is drawn as the sum of equal parts of at most PART copies in the mean.
+ONE_DRAW, PART = 700, 500
 
 
 def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0, temperature: float = 0.0) -> DataFrame:
@@ -41,44 +45,50 @@ def source_rates(docs: DataFrame, weights: dict | None = None, size: float = 1.0
     rate = (F.lit(float(size)) * F.col("weight") / F.col("all_weight")) * F.col("all_bytes") / F.col("n_bytes")
     # the totals are one row: attached as a one-row lookup on a constant key
     per = per.withColumn("one", F.lit(1)).join(totals.withColumn("one", F.lit(1)), "one")
-    return per.where("weight > 0").select("mix_source", rate.alias("rate")).withColumn("cdf", poisson_cdf(F.col("rate")))
+    per = per.where("weight > 0").select("mix_source", rate.alias("rate"))
+    per = per.withColumn("parts", F.when(F.col("rate") > ONE_DRAW, F.ceil(F.col("rate") / PART)).otherwise(F.lit(1)).cast("int"))
+    return per.withColumn("cdf", poisson_cdf(F.col("rate") / F.col("parts")))
 
 
 def poisson_cdf(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... to beyond the last number that a 52-bit uniform can reach.
-
-    exp(-rate) underflows only above 700 copies per document; beyond that a rate is rejected.
-    """
+    """P(X <= 0), P(X <= 1), ... to beyond the last number that a 52-bit uniform can reach, for rates up to ONE_DRAW."""
     last = (rate + 12 * F.sqrt(rate) + 40).cast("int")
     start = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
     step = lambda s, k: F.struct((s["p"] * rate / k).alias("p"),
                                  F.concat(s["c"], F.array(F.element_at(s["c"], -1) + s["p"] * rate / k)).alias("c"))
-    table = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["c"])
-    return F.when(rate > 700, F.raise_error(F.lit("a Poisson rate above 700 copies is not supported")).cast("array<double>")).otherwise(table)
+    return F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["c"])
 
 
-def copies(seed: int, cdf: Column) -> Column:
-    """Inverse of the distribution at the document's uniform number."""
-    u = uniform53(F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return F.size(F.filter(cdf, lambda c: c <= u))
+def copies(seed: int, parts: Column, cdf: Column) -> Column:
+    """Inverse of the distribution at the document's uniform number; the sum over the parts' own numbers, where there are several."""
+    name = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))]
+    one = lambda u: F.size(F.filter(cdf, lambda c: c <= u))
+    several = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, i: n + one(uniform53(*name, i.cast("string"))))
+    return F.when(parts == 1, one(uniform53(*name))).otherwise(several)
 
 
 def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, seed: int = 20,
         shuffle: bool = True, temperature: float = 0.0) -> DataFrame:
     """Documents repeated to the target weights: input columns and ``replica`` (from 0), globally shuffled."""
-    columns = [c for c in docs.columns if c not in ("replica", "mix_source", "cdf", "mix_copies", "mix_key")]
-    rates = materialize(source_rates(docs, weights, size, temperature).select("mix_source", "cdf"), "rates")
-    held = rates.agg(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 8 * F.size("cdf")).alias("n")).first()["n"] or 0
+    columns = [c for c in docs.columns if c not in ("replica", "mix_source", "parts", "cdf", "mix_copies", "mix_key")]
+    rates = materialize(source_rates(docs, weights, size, temperature).select("mix_source", "parts", "cdf"), "rates")
+    held, most = rates.agg(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 8 * F.size("cdf") + 4), F.max("parts")).first()
     # one row per source, of measured size: with a small table the texts needn't move for their rate;
     # beyond that a sort-merge join, whose hot source Spark splits (AQE)
-    rates = F.broadcast(rates) if held <= BROADCAST_BYTES else rates.hint("merge")
+    rates = F.broadcast(rates) if (held or 0) <= BROADCAST_BYTES else rates.hint("merge")
     drawn = (docs.select(*[f"`{c}`" for c in columns]).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
-             .withColumn("mix_copies", copies(seed, F.col("cdf"))).where(F.col("mix_copies") > 0))
-    out = drawn.select(*[f"`{c}`" for c in columns], F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("replica"))
+             .withColumn("mix_copies", copies(seed, F.col("parts"), F.col("cdf"))).where(F.col("mix_copies") > 0))
+    kept = [f"`{c}`" for c in columns]
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = drawn.where("parts = 1").select(*kept, F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("replica"))
+    if (most or 1) > 1:
+        # a document of a tiny source can be a share of the corpus: its copies are made in many tasks
+        many = drawn.where("parts > 1").select(*kept, "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1, F.lit(PART))).alias("mix_key"))
+        last = F.least(F.col("mix_key") + (PART - 1), F.col("mix_copies") - 1)
+        out = out.unionByName(many.repartition(n, "doc_id", "mix_key").select(*kept, F.explode(F.sequence("mix_key", last)).alias("replica")))
     if not shuffle:
         return out
     key = F.xxhash64(F.lit(seed), "doc_id", "replica")
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.withColumn("mix_key", key).repartition(n, "mix_key").sortWithinPartitions("mix_key").drop("mix_key")
 
 

@@ -242,6 +242,39 @@ def test_op8_counts_follow_the_rates(spark, docs, empty):
     assert a == b and op8_poisson.mix(empty).count() == 0
 
 
+def test_op8_draws_large_rates_whole(spark):
+    """Sources of rates 3000 (null) and 60000 next to one of rate 0.33: every draw replayed, replicas without a gap."""
+    ship_package(spark)
+    rows = [(i, "x" * 1000, "big") for i in range(1800)] + [(5000 + i, "y" * 10, None) for i in range(20)] + [(9000, "z" * 10, "tiny"), (None, "", "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = op8_poisson.mix(df).groupBy("doc_id", "source").agg({"replica": "max", "*": "count"}).collect()
+    got = {(r.doc_id, r.source): (r["count(1)"], r["max(replica)"]) for r in got}
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len(t)
+    n = sum(v > 0 for v in size.values())
+    want = {}
+    for d, _, s in rows:
+        if not size[s]:
+            continue
+        rate = sum(size.values()) / (n * size[s])
+        parts = 1 if rate <= 700 else int(np.ceil(rate / 500))
+        p = c = np.exp(-rate / parts)
+        cdf = [c]
+        for k in range(1, int(rate / parts + 12 * np.sqrt(rate / parts) + 40) + 1):
+            p *= rate / parts / k
+            c += p
+            cdf.append(c)
+        u = [int(hashlib.md5(f"20:{d}{f':{k}' if parts > 1 else ''}".encode()).hexdigest()[:13], 16) / 2**52 for k in range(parts)]
+        total = int(sum(np.searchsorted(cdf, x, "right") for x in u))
+        if total:
+            want[d, s] = (total, total - 1)
+    assert got == want
+    small = [v[0] for (_, s), v in got.items() if s is None]
+    assert len(small) == 20 and abs(np.mean(small) / (size["big"] / 600 + 1 / 3 + 1 / 60) - 1) < 0.01 and np.std(small) > 20
+    assert abs(got[9000, "tiny"][0] - 60000) < 1500
+
+
 def test_op10_matches_brute_force(spark):
     ship_package(spark)
     r = random.Random(4)
