@@ -1,13 +1,15 @@
 """The public path with its defaults, root spellings and the whole vector table."""
 
 import pytest
-from conftest import SF_SMALL, java_files_df
+from conftest import SF_MID, SF_SMALL, java_files_df
 from pyspark.sql import functions as F
 
+from pkgsift.operators import graph as G
 from pkgsift.operators.cycles import simple_cycles
 from pkgsift.operators.extract import classes_from_files
 from pkgsift.operators.metrics import full_metrics
 from pkgsift.operators.vectors import nearest_type, similar_pairs
+from pkgsift.plans import catalog as K
 from pkgsift.plans.recommend import recommend
 from pkgsift.session import read_table
 from pkgsift.sources import corpus
@@ -70,6 +72,25 @@ def test_long_rings_are_found(spark, n):
     assert simple_cycles(edges, max_length=n - 1).count() == 0 and simple_cycles(edges.limit(n - 2)).count() == 0
 
 
+def test_registered_cycles_have_no_length_cap(spark):
+    """Against a plain depth-first listing from each least name; sf0.01 holds cycles of 6 and 7 classes."""
+    after = {}
+    for r in G.edges(K.classes_table(spark, SF_MID, K.GRAPH_COLUMNS)).distinct().collect():
+        after.setdefault((r.project_id, r.src), []).append(r.dst)
+    want = set()
+    for project, start in after:
+        todo = [[start]]
+        while todo:
+            path = todo.pop()
+            for x in after.get((project, path[-1]), []):
+                if x == start:
+                    want.add((project, "->".join(path + [x]), len(path)))
+                elif x > start and x not in path:
+                    todo.append(path + [x])
+    got = [(r.project_id, r.cycle, r.length) for r in K.REGISTRY["D12_cycles"](spark, SF_MID).collect()]
+    assert len(got) == len(want) and set(got) == want and max(n for _, _, n in got) > 5
+
+
 def test_vector_of_another_length_gets_cosine_0(spark):
     vecs = spark.createDataFrame([("p", "A", [1.0, 0.0]), ("p", "B", [1.0])], "project_id string, class_name string, vec array<double>")
     got = {r.class_name: r.emb_score for r in nearest_type(vecs, [("x", 0, [0.0, 1.0]), ("y", 1, [1.0, 0.0])]).collect()}
