@@ -42,6 +42,8 @@ PARITY_BITS = 2048
 MOST_BITS = 140
 #: Members per block in step 4, and pivots' copies: members that are confirmed against one pivot in one task.
 BLOCK, STAR = 512, 2000
+#: Rows of a block: its askers, its members and the pairs already tested.
+ASKS, MEMBER, KNOWN = 0, 1, 2
 #: Partners per member and component that the first round of step 4 confirms.
 FIRST_PARTNERS = 64
 
@@ -186,30 +188,39 @@ def unresolved(members: DataFrame, sketches: DataFrame, where: DataFrame, tested
     top = comp.select(F.col("doc_id").alias("pivot"), F.col("component").alias("pivot_component"))
     m = m.join(top, "pivot", "left").withColumn("outside", F.col("component") != F.coalesce("pivot_component", "pivot"))
     size = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("outside").cast("long")).alias("n_outside")).where("n_outside > 0 and n > 2")
-    m = m.join(size.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_all"), F.ceil(F.col("n_outside") / BLOCK).cast("int").alias("n_out")), "key").join(sketches, "doc_id")
-    known = tested.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("doc_id"), F.col("a").alias("other")))).alias("p")) \
-        .select("p.*").groupBy("doc_id").agg(F.collect_set("other").alias("done"))
+    m = m.join(size.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("n_all"), F.ceil(F.col("n_outside") / BLOCK).cast("int").alias("n_out")), "key")
     deal = lambda n: F.pmod(F.xxhash64("doc_id", "key"), F.col(n)).cast("int")
+    # the tested pairs come as rows to the one block that would compare them, never as a list per document
+    ways = tested.select("a", "b").union(tested.select("b", "a")).toDF("doc_id", "other")
+    asked = m.where("outside").select("key", "doc_id", deal("n_out").alias("i"))
+    there = m.select("key", F.col("doc_id").alias("other"), deal("n_all").alias("j"))
+    known = ways.join(asked, "doc_id").join(there, ["key", "other"])
+    m = m.join(sketches, "doc_id")
     cols = ["doc_id", "component", "s.n", "s.odd", "s.whole"]
-    asks = (m.where("outside").join(known, "doc_id", "left")
-            .select("key", deal("n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(True).alias("asks"), *cols, "done"))
-    all_ = m.select("key", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), deal("n_all").alias("j"), F.lit(False).alias("asks"), *cols,
-                    F.lit(None).cast("array<long>").alias("done"))
+    asks = (m.where("outside")
+            .select("key", deal("n_out").alias("i"), F.explode(F.sequence(F.lit(0), F.col("n_all") - 1)).alias("j"), F.lit(ASKS).alias("kind"), *cols, F.lit(None).cast("long").alias("other")))
+    all_ = m.select("key", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"), deal("n_all").alias("j"), F.lit(MEMBER).alias("kind"), *cols,
+                    F.lit(None).cast("long").alias("other"))
+    known = known.select("key", "i", "j", F.lit(KNOWN).alias("kind"), "doc_id",
+                         *[F.lit(None).cast(asks.schema[c].dataType).alias(c) for c in ("component", "n", "odd", "whole")], "other")
 
     def run(batches):
         for t in runs(batches, 3):
-            asks = t.column("asks").to_numpy(zero_copy_only=False)
+            kind = t.column("kind").to_numpy()
+            done = t.filter(pa.array(kind == KNOWN))
+            done = np.stack([done.column(c).to_numpy() for c in ("doc_id", "other")])
+            done = done[:, np.argsort(done[0], kind="stable")]
+            t, asks = t.filter(pa.array(kind != KNOWN)), kind[kind != KNOWN] == ASKS
             ids, comps, n = (t.column(c).to_numpy() for c in ("doc_id", "component", "n"))
             odd, whole = (t.column(c).combine_chunks().flatten().to_numpy().view(U64).reshape(len(ids), -1) for c in ("odd", "whole"))
             other = np.flatnonzero(~asks)
             out = []
-            for r, done in zip(np.flatnonzero(asks).tolist(), t.column("done").filter(pa.array(asks)).to_pylist()):
+            for r in np.flatnonzero(asks).tolist():
                 hit = other[(comps[other] != comps[r]) & (100 * np.minimum(n[other], n[r]) >= 75 * np.maximum(n[other], n[r]))]
                 hit = hit[np.bitwise_count(odd[hit] ^ odd[r]).sum(axis=1) <= MOST_BITS]
                 bits = np.bitwise_count(whole[hit] ^ whole[r]).sum(axis=1)
                 ok = 7 * bits.astype(np.int64) <= n[hit] + n[r]
-                if done:
-                    ok &= ~np.isin(ids[hit], np.array(done))
+                ok &= ~np.isin(ids[hit], done[1, np.searchsorted(done[0], ids[r]):np.searchsorted(done[0], ids[r], "right")])
                 hit, bits = hit[ok], bits[ok]
                 if not len(hit):
                     continue
@@ -220,7 +231,7 @@ def unresolved(members: DataFrame, sketches: DataFrame, where: DataFrame, tested
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["a", "b"])
 
-    both = asks.union(all_).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    both = asks.union(all_).union(known).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return both.mapInArrow(run, "a long, b long").distinct()
 
 

@@ -103,6 +103,21 @@ def test_op2_second_look_finds_links_that_the_pivot_misses(spark):
     assert {r.doc_id: r.component_id for r in got} == comp
 
 
+def test_op2_open_pairs_skip_the_tested_ones_without_lists(spark, monkeypatch):
+    """A bucket over many blocks: equal sketches in components of their own, half of the pivot's and some other pairs tested."""
+    ship_package(spark)
+    monkeypatch.setattr(op2_oddsketch, "BLOCK", 4)
+    ids = list(range(20))
+    members = spark.createDataFrame([("k", i, 0, 20) for i in ids], "key string, doc_id long, pivot long, n long")
+    sketches = spark.createDataFrame([(i, (50, [0] * 4, [0] * 4)) for i in ids], "doc_id long, s struct<n:int,odd:array<long>,whole:array<long>>")
+    done = {(0, i) for i in range(1, 11)} | {(3, 7), (5, 19)}
+    tested = spark.createDataFrame([(*p, False) for p in done], "a long, b long, linked boolean")
+    where = spark.createDataFrame([], "node long, component long")
+    got = op2_oddsketch.unresolved(members, sketches, where, tested, 99)
+    assert {tuple(r) for r in got.collect()} == {(a, b) for a in ids for b in ids if a < b} - done
+    assert "collect_set" not in got._jdf.queryExecution().toString()
+
+
 @pytest.fixture(params=["shards", "hot"])
 def hot(request, monkeypatch):
     """The normal way, and every repeated anchor taken for a hot one, dealt to many shards."""
