@@ -16,8 +16,8 @@ vectors and query blocks of at most QUERY_ROWS meet once per pair in one task of
 Defined results: vectors that are null or hold a null, NaN or infinite component take no
 part. Vectors of unequal length are compared with 0 for the missing components. A row is a
 candidate of every query but itself. Of rows that share a vec_id the one with the largest
-vector (component by component) counts, so repeated rows are one. Rows with a null vec_id or a component
-beyond +-2**31 / 256 take no part. Extra columns are dropped; an empty table gives no rows.
+vector (component by component) counts, so repeated rows are one. Rows with a null vec_id take no part.
+A component beyond +-2**55 or a resulting score beyond a long is an error, as in the SQL. Extra columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -41,11 +41,12 @@ def blocks(rows: DataFrame, size: int, salt: int) -> DataFrame:
 
 
 def integers(embeddings: DataFrame) -> DataFrame:
-    """vec_id, v (array of int): the vectors that take part."""
+    """vec_id, v (array of long): the vectors that take part."""
     x = unclash(embeddings, ["vec_id", "embedding"]).where("vec_id is not null and embedding is not null")
     x = x.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
-    fine = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) <= float((1 << 31) // 256 - 1)))
-    x = x.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("e", lambda c: F.floor(c * 256).cast("int")).alias("v"))
+    fine = F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    whole = lambda c: F.when(F.abs(c) < float(1 << 55), F.floor(c * 256)).otherwise(F.raise_error(F.lit("256 times a component is beyond a long")).cast("long"))
+    x = x.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("e", whole).alias("v"))
     return x.groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
@@ -64,9 +65,12 @@ class Shard:
         self.ids, self.vectors = ids[order], vectors[order]
         self.columns = np.ascontiguousarray(self.vectors.T)
         self.high, self.low = self.columns.max(axis=1), self.columns.min(axis=1)
+        self.peak = np.maximum(np.abs(self.high.astype(float)), np.abs(self.low.astype(float)))
 
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, scores) of the k best candidates, the best first."""
+        if np.abs(query.astype(float)) @ self.peak >= 2.0**62:
+            return self.search_wide(own, query, k)
         bound = np.maximum(0, np.maximum(query * self.high, query * self.low))
         terms = np.argsort(-bound, kind="stable")
         terms = terms[query[terms] != 0]
@@ -90,6 +94,15 @@ class Shard:
         best = np.lexsort((self.ids[rows], -score))[:k]
         return self.ids[rows[best]], score[best]
 
+    def search_wide(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for products that can pass 64 bits: Python's integers, every candidate."""
+        rows = np.flatnonzero(self.ids != own)
+        score = self.vectors[rows].astype(object) @ query.astype(object)
+        best = sorted(range(len(rows)), key=lambda i: (-score[i], self.ids[rows[i]]))[:k]
+        if any(not -(1 << 63) <= score[i] < 1 << 63 for i in best):
+            raise OverflowError(f"a score of vec_id {own} is beyond a long")
+        return self.ids[rows[best]], np.array([score[i] for i in best], np.int64)
+
     def threshold(self, rows: np.ndarray, query: np.ndarray, k: int):
         """A score that k candidates reach: the k-th exact score among those best on the strongest terms."""
         if len(rows) <= 4 * k:
@@ -101,7 +114,7 @@ class Shard:
 
 
 def search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """query_id, rank, vec_id, score: both inputs are vec_id, v (array of int)."""
+    """query_id, rank, vec_id, score: both inputs are vec_id, v (array of long)."""
     q = blocks(queries, QUERY_ROWS, 1).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("sizes").alias("q_sizes"), F.col("flat").alias("q_flat"))
     n_q = q.select("q_block")
     # each shard goes to each query block once: packed rows of bounded size, joined by the block's number

@@ -310,6 +310,24 @@ def test_op10_matches_brute_force(spark):
     assert op10_maxscore.op10_maxscore(df.limit(0)).count() == 0
 
 
+def test_op10_keeps_large_components(spark):
+    ship_package(spark)
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) * 10 ** r.choice([0, 3, 6]) for _ in range(4)]) for i in range(120)]
+    rows += [(150, [9e6, 1.0, 0.0, 0.0]), (151, [1.0, -8.9e6, 0.0, 0.0]), (152, [1e7, 2.0, 0.0, 0.0])]
+    v = {i: [int(np.floor(256 * x)) for x in e] for i, e in rows}
+    want = []
+    for q in (0, 50, 100, 150):
+        best = sorted((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q)[:5]
+        want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(best)]
+    make = lambda x: spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, op10_maxscore.op10_maxscore(make(rows)).collect())) == want
+    assert any(abs(s) > 1 << 62 for _, _, _, s in want)
+    for bad in ([(0, [1e12]), (1, [1e12])], [(0, [1e17]), (1, [1.0])]):
+        with pytest.raises(Exception, match="beyond a long"):
+            op10_maxscore.op10_maxscore(make(bad)).collect()
+
+
 def test_op1_held_out_accuracy_and_edges(spark, docs, empty):
     ship_package(spark)
     r = random.Random(6)
