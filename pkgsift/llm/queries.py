@@ -16,6 +16,9 @@ from .op7_rules import SQL as OP7_SQL, op7_rules
 from .op8_poisson import SQL as OP8_SQL, op8_poisson
 from .op9_automaton import SQL as OP9_SQL, op9_automaton
 from .op10_maxscore import SQL as OP10_SQL, op10_maxscore
+from .op11_licenses import SQL as OP11_SQL, op11_licenses
+from .op12_phrases import SQL as OP12_SQL, op12_phrases
+from .op13_fim import SQL as OP13_SQL, op13_fim
 
 #: Query to (its tables, its operator).
 OPERATORS = {
@@ -29,6 +32,9 @@ OPERATORS = {
     "op8_poisson": ("documents", op8_poisson),
     "op9_automaton": ("documents", op9_automaton),
     "op10_maxscore": ("embeddings", op10_maxscore),
+    "op11_licenses": ("documents", op11_licenses),
+    "op12_phrases": ("documents", op12_phrases),
+    "op13_fim": ("documents", op13_fim),
 }
 
 
@@ -40,4 +46,5 @@ def _query(tables: str, operator):
 
 
 REGISTRY = {name: _query(*x) for name, x in OPERATORS.items()}
-SQL = {"op7_rules": OP7_SQL, "op8_poisson": OP8_SQL, "op9_automaton": OP9_SQL, "op10_maxscore": OP10_SQL}
+SQL = {"op7_rules": OP7_SQL, "op8_poisson": OP8_SQL, "op9_automaton": OP9_SQL, "op10_maxscore": OP10_SQL,
+       "op11_licenses": OP11_SQL, "op12_phrases": OP12_SQL, "op13_fim": OP13_SQL}
