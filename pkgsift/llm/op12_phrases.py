@@ -220,8 +220,8 @@ def pair_pass(batches):
     """Shards -> shard, pair (hash), n of its pairs."""
     for row in rows_of(batches):
         s = Shard(row)
+        # pairs that start in the overlap only count 0, but a longer phrase may hold them
         p = s.index.left(s.index.singles())
-        p = p.where(p.count > 0)
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p.count), row["shard"], np.int64)), pa.array(s.pair_hashes(*p.words)), pa.array(p.count)], names=["shard", "pair", "n"])
 
 
