@@ -30,6 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,6 +51,16 @@ BREAK[[10, 11, 12, 13, *b".,;:!?"]] = True
 SHARDS = "shard long, langs array<string>, words binary, lang_of binary, ids binary, own int"
 
 
+def packed(values: np.ndarray) -> bytes:
+    """32-bit values by byte planes, compressed: a shard is stored and shuffled once each."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
+
+
 def word_places(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, opens): byte spans of the words, and whether a word opens a piece."""
     breaks = BREAK[data]
@@ -99,8 +110,8 @@ def shard_pass(limit: int, most: int):
                     # the separator is 0 whether or not the part has one
                     local = np.where(part > 0, np.searchsorted(used, part - 1) + 1, 0)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([base + n]), pa.array([names], pa.list_(pa.string())), pa.array([b"\n".join([words[i] for i in used.tolist()])], pa.binary()),
-                         pa.array([lang_of[used].astype(np.int32).tobytes()]), pa.array([local.astype(np.int32).tobytes()]), pa.array([min(most, len(part))], pa.int32())],
+                        [pa.array([base + n]), pa.array([names], pa.list_(pa.string())), pa.array([zstandard.ZstdCompressor(level=3).compress(b"\n".join([words[i] for i in used.tolist()]))], pa.binary()),
+                         pa.array([packed(lang_of[used])], pa.binary()), pa.array([packed(local)], pa.binary()), pa.array([min(most, len(part))], pa.int32())],
                         names=["shard", "langs", "words", "lang_of", "ids", "own"])
                     n += 1
 
@@ -187,16 +198,16 @@ class Shard:
     """The alphabet and the index of a row of SHARDS."""
 
     def __init__(self, row: dict):
-        blob = np.frombuffer(row["words"] + b"\n", np.uint8)
+        blob = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["words"]) + b"\n", np.uint8)
         ends = np.flatnonzero(blob == 10)
         starts = np.concatenate([[0], ends[:-1] + 1])
         text = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.append(starts - np.arange(len(ends)), len(blob) - len(ends))), pa.py_buffer(blob[blob != 10])])
         self.words = text.cast(pa.large_string())
         self.langs = pa.array(row["langs"], pa.string())
-        self.lang_of = np.frombuffer(row["lang_of"], np.int32)
+        self.lang_of = unpacked(row["lang_of"])
         salt = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest()) for x in row["langs"]], U64)
         self.hashes = mix64(span_hashes(blob, starts, ends) ^ salt[self.lang_of])
-        self.index = BidirectionalIndex(np.frombuffer(row["ids"], np.int32).astype(np.int64), row["own"])
+        self.index = BidirectionalIndex(unpacked(row["ids"]).astype(np.int64), row["own"])
 
     def pair_hashes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mix64(self.hashes[a - 1] * U64(GRAM_MULT) + self.hashes[b - 1]).view(np.int64)
