@@ -1,7 +1,7 @@
 """Suffix-array de-duplication: interval expansion on a Burrows-Wheeler transform.
 
-Passages that may repeat (see passages.py) are dealt to shards. Each shard's passages are
-joined with a separator of its own behind each, and sorted by their first ``length`` bytes. From the
+Passages that may repeat (see passages.py) are dealt to shards of bounded size. Each shard's passages are
+joined with separators, and sorted by their first ``length`` bytes. From the
 transform of that order, a breadth-first search extends intervals backwards: the
 interval of a string w gives the intervals of all cw, and the first interval to end at a row
 sets the common prefix of this row and the next to the length of w. Lengths thus
@@ -27,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages as P
-from .common import U64, anchors, as_utf8, list_column, mix64, runs, slices, unclash
+from .common import U64, anchors, as_utf8, list_column, materialize, mix64, parts_for, runs, slices, unclash
 from .common import _BYTE_VALUES, _powers
 
 #: Bytes of a window, bytes of an anchor, occurrences of anchors per shard.
 LENGTH, GRAM, PER_SHARD = 200, 64, 5000
+#: Occurrences beyond which an anchor is dealt by its surroundings; bytes of distinct cut-outs of a shard.
+HOT, SHARD_BYTES = 1000, 3 << 20
 #: Places at which the windows of one class around a hot anchor start.
 WIDTH = 16
 #: Bytes of a text that are hashed at once; longer texts go in overlapping parts.
@@ -118,77 +120,139 @@ def segment_pass(length: int, shards: int):
 def sorted_rows(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, place): positions sorted by their first ``length`` symbols, and the row of each position.
 
-    Ranks of doubling depth; the symbols behind the end count as smaller than any other.
+    The last symbol is unique and the least. The first key packs as many symbols as fit 63 bits; ranks
+    of doubling depth follow, for the rows that are not alone yet. A rank is the first row of its block.
     """
-    n = len(symbols)
-    rank, depth = symbols.astype(np.int64) + 1, 1
-    order = np.argsort(rank, kind="stable")
-    while depth < length:
+    n, bits = len(symbols), max(1, int(symbols.max()).bit_length())
+    depth = min(length, 63 // bits)
+    key = np.zeros(n, np.int64)
+    for j in range(depth):
+        key <<= bits
+        key[:n - j] |= symbols[j:]
+    order = np.argsort(key)
+    key = key[order]
+    order = order.astype(np.int32)
+    rank = np.empty(n, np.int32)
+    rows = np.arange(n, dtype=np.int32)
+    at = order
+    while True:
+        first = np.empty(len(rows), bool)
+        first[:1] = True
+        np.not_equal(key[1:], key[:-1], out=first[1:])
+        rank[at] = rows[np.maximum.accumulate(np.where(first, np.arange(len(rows), dtype=np.int32), 0))]
+        alone = first & np.append(first[1:], True)
+        rows, at = rows[~alone], at[~alone]
+        del first, alone, key
+        if depth >= length or not len(rows):
+            break
         step = min(depth, length - depth)
-        second = np.zeros(n, np.int64)
-        second[:max(0, n - step)] = rank[step:]
-        key = rank * (int(rank.max()) + 1) + second
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[1], (key[1:] != key[:-1]).astype(np.int64)]))
+        key = rank[at].astype(np.int64) << 32
+        inside = at < n - step
+        key[inside] |= rank[at[inside] + step] + 1
+        by = np.argsort(key)
+        key, at = key[by], at[by]
+        order[rows] = at
         depth += step
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     return order, place
 
 
 def repeated_windows(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Positions whose next ``length`` symbols also start at another position."""
+    """Positions whose next ``length`` symbols also start at another position; the last symbol is unique and the least."""
     n = len(symbols)
     order, place = sorted_rows(symbols, length)
     head = symbols[order]
-    back = place[order - 1]  # row of the suffix one symbol longer; the last symbol, a separator, precedes the first
+    back = place[order - 1]  # row of the suffix one symbol longer; the last symbol precedes the first
+    del place
     open_ = np.ones(n + 1, bool)  # no common prefix known yet, between a row and the one before it
     open_[0] = open_[n] = False
-    mark = np.full(n + 2, -1, np.int64)
+    mark = np.full(n + 2, -1, np.int32)
     lo, hi = np.array([0]), np.array([n - 1])
     for _ in range(length):
         sizes = hi - lo + 1
         total = np.cumsum(sizes)
         if not len(total):
             break
-        rows = np.arange(total[-1]) + np.repeat(lo - (total - sizes), sizes)
+        rows = np.arange(total[-1], dtype=np.int32) + np.repeat((lo - (total - sizes)).astype(np.int32), sizes)
         to = back[rows]
-        mark[to + 1] = np.repeat(np.arange(len(lo)), sizes)
+        del rows
+        mark[to + 1] = np.repeat(np.arange(len(lo), dtype=np.int32), sizes)
         # rows of one interval and one symbol are neighbours; a block ends where either changes
         sym = head[to]
-        nxt, prv = np.minimum(to + 1, n - 1), np.maximum(to - 1, 0)
-        last = (mark[to + 2] != mark[to + 1]) | (to == n - 1) | (head[nxt] != sym)
-        first = (mark[to] != mark[to + 1]) | (to == 0) | (head[prv] != sym)
+        own = mark[to + 1]
+        last = (mark[to + 2] != own) | (to == n - 1) | (head[np.minimum(to + 1, n - 1)] != sym)
+        first = (mark[to] != own) | (to == 0) | (head[np.maximum(to - 1, 0)] != sym)
         begin, end = np.sort(to[first]), np.sort(to[last])
         mark[to + 1] = -1
         new = open_[end + 1]
         # the first interval to end here: the common prefix of this row and the next is this short
-        lo, hi = begin[new], end[new]
+        lo, hi = begin[new].astype(np.int64), end[new].astype(np.int64)
         open_[hi + 1] = False
-    return order[open_[:n] | open_[1:]]
+    return order[open_[:n] | open_[1:]].astype(np.int64)
 
 
 def body_spans(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(body, start, end) of the repeated spans within distinct bodies."""
+    """(body, start, end) of the repeated spans within distinct bodies.
+
+    All separators are one symbol, the end another; windows that reach a separator are left out.
+    """
     sizes = np.array([len(b) for b in bodies])
     ends = np.cumsum(sizes + 1)
-    symbols = np.empty(ends[-1], np.int64)
+    symbols = np.ones(ends[-1], np.int16)
     inner = np.ones(ends[-1], bool)
     inner[ends - 1] = False
-    symbols[inner] = np.frombuffer(b"".join(bodies), np.uint8)
-    symbols[ends - 1] = 256 + np.arange(len(bodies))
-    edge = np.zeros(len(symbols) + length + 1, np.int64)
+    symbols[inner] = np.frombuffer(b"".join(bodies), np.uint8).astype(np.int16) + 2
+    symbols[-1] = 0
+    edge = np.zeros(len(symbols) + length + 1, np.int32)
     at = repeated_windows(symbols, length)
+    at = at[at + length < ends[np.searchsorted(ends, at, "right").clip(max=len(ends) - 1)]]
     edge[at] += 1
-    np.subtract.at(edge, at + length, 1)
+    edge[at + length] -= 1
     found = np.array(P.runs_of(np.cumsum(edge)[:len(symbols)] > 0), np.int64).reshape(-1, 2)
     body = np.searchsorted(ends, found[:, 0], "right")
     begin = (ends - sizes - 1)[body]
     return body, found[:, 0] - begin, found[:, 1] - begin
 
 
+def window_pass(length: int, base: int, shards: int):
+    """Cut-outs of too large shards -> their single windows, dealt by what they hold; equal ones of a task are settled."""
+
+    def run(batches):
+        settled = P.Settled(earlier_only=False, shards=shards)
+        for batch in batches:
+            out = []
+            for doc, start, size, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "size", "body"))):
+                for a in range(size - length + 1):
+                    window = body[a:a + length]
+                    shard = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest()) % shards
+                    out += settled.add(base + shard, doc, start + a, length, window)
+                if len(out) > 20_000:
+                    yield P.segment_table(out)
+                    out = []
+            if out:
+                yield P.segment_table(out)
+
+    return run
+
+
+def bounded(segments: DataFrame, length: int, shards: int, shard_bytes: int) -> DataFrame:
+    """The segments, so that no shard has more than about ``shard_bytes`` of distinct cut-outs.
+
+    A larger shard (its cut-outs share a core, but differ around it) is dealt anew, window by window.
+    """
+    sizes = (segments.where("body is not null").groupBy("shard", F.xxhash64("body").alias("h")).agg(F.max("size").alias("size"))
+             .groupBy("shard").agg(F.sum("size").alias("bytes")))
+    large = materialize(sizes.where(F.col("bytes") > shard_bytes), "large")
+    total = large.agg(F.sum("bytes")).first()[0]
+    if total is None:
+        return segments
+    again = segments.where("body is not null").join(large, "shard", "left_semi")
+    windows = again.mapInArrow(window_pass(length, shards, parts_for(segments.sparkSession, total * WIDTH, shard_bytes)), P.SEGMENTS)
+    # settled cut-outs have no body and stay
+    return segments.join(large.withColumn("body_there", F.lit(True)), "shard", "left").where("body_there is null or body is null").drop("bytes", "body_there").unionByName(windows)
+
+
 def match_pass(length: int):
     """Segments in shard order -> doc_id, start, end of the repeated spans.
 
@@ -256,14 +320,20 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     Equal texts under several ids are in ``copies``; they are repeated whole.
     """
     docs = unclash(docs, ["doc_id", "text"])
-    scanned = P.scan(docs, anchor_pass(length), "n_bytes long")
-    copies = P.first_copies(scanned)
-    hits, shards = P.routes(scanned, copies, PER_SHARD)
-    involved = P.cut_out(docs, hits)
-    segments = involved.mapInArrow(segment_pass(length, shards), P.SEGMENTS)
+    scanned, copies, involved, segments = shard_segments(docs, length)
     spans = P.dealt(segments).mapInArrow(match_pass(length), "doc_id long, start long, end long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     return scanned, copies, involved.select("doc_id", "text").join(spans, "doc_id"), docs
 
 
+def shard_segments(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(scanned, copies, involved, segments): the cut-outs of documents with repeated anchors, in shards of bounded size."""
+    scanned = P.scan(docs, anchor_pass(length), "n_bytes long")
+    copies = P.first_copies(scanned)
+    hits, shards = P.routes(scanned, copies, PER_SHARD, HOT)
+    involved = P.cut_out(docs, hits)
+    segments = materialize(involved.mapInArrow(segment_pass(length, shards), P.SEGMENTS), "segments")
+    return scanned, copies, involved, bounded(segments, length, shards, SHARD_BYTES)
+
+
 SQL = None

@@ -49,9 +49,11 @@ def first_copies(scanned: DataFrame) -> DataFrame:
             .where("first_id != last_id").select("digest", "first_id"))
 
 
-def routes(scanned: DataFrame, copies: DataFrame, per_shard: int) -> tuple[DataFrame, int]:
+def routes(scanned: DataFrame, copies: DataFrame, per_shard: int, hot: int | None = None) -> tuple[DataFrame, int]:
     """(hits, shards): doc_id, hits array<struct<shard, spot, hot>> of the repeated anchors of every document that has some.
 
+    ``hot``: occurrences beyond which an anchor is dealt by its surroundings (HOT, if not given).
+
     Only the first of equal texts counts: the others are settled as copies.
     """
     several = copies.select(F.col("digest").alias("d"), "first_id")
@@ -64,7 +66,7 @@ def routes(scanned: DataFrame, copies: DataFrame, per_shard: int) -> tuple[DataF
     per_owner = shared.groupBy("owner").agg(F.sum("n").alias("total"))
     shards = parts_for(scanned.sparkSession, shared.agg(F.sum("n")).first()[0] or 0, per_shard)
     # an owner with too many occurrences has as many sub-keys as it would fill shards
-    keyed = shared.join(per_owner, "owner").select("gram", (F.col("n") > HOT).alias("hot"), F.pmod(F.xxhash64(
+    keyed = shared.join(per_owner, "owner").select("gram", (F.col("n") > (HOT if hot is None else hot)).alias("hot"), F.pmod(F.xxhash64(
         "owner", F.pmod(F.col("gram"), F.ceil(F.col("total") / per_shard).cast("long"))), F.lit(shards)).cast("int").alias("shard"))
     return spots.join(keyed, "gram").groupBy("doc_id").agg(F.collect_list(F.struct("shard", "spot", "hot")).alias("hits")), shards
 

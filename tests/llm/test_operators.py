@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pkgsift.llm import passages
 from pkgsift.llm import op1_ordinal, op2_oddsketch, op3_warczst, op4_bwt, op5_tokenfile, op6_bpe, op7_rules, op8_poisson, op9_automaton, op10_maxscore
@@ -123,6 +124,7 @@ def hot(request, monkeypatch):
     """The normal way, and every repeated anchor taken for a hot one, dealt to many shards."""
     if request.param == "hot":
         monkeypatch.setattr(passages, "HOT", 1)
+        monkeypatch.setattr(op4_bwt, "HOT", 1)
         monkeypatch.setattr(op4_bwt, "PER_SHARD", 20)
         monkeypatch.setattr(op9_automaton, "PER_SHARD", 20)
 
@@ -142,6 +144,28 @@ def test_op4_matches_brute_force(docs, empty, hot):
     assert sum(g[1] for g in got.values()) > 2000 and op4_bwt.op4_bwt(empty).count() == 0
 
 
+def test_op4_large_shards_are_dealt_by_windows(docs, monkeypatch):
+    """With a bound of 500 bytes nearly every shard is dealt anew; the result stays."""
+    want = by_id(r for r in op4_bwt.op4_bwt(docs).collect() if r.doc_id is not None)
+    monkeypatch.setattr(op4_bwt, "SHARD_BYTES", 500)
+    assert by_id(r for r in op4_bwt.op4_bwt(docs).collect() if r.doc_id is not None) == want
+
+
+@pytest.mark.parametrize("sharers", [6000, 19000])
+def test_op4_no_shard_outgrows_its_bound(spark, sharers):
+    """One passage in many different texts: the cut-outs at its edges differ in every text, yet no shard gets more than its bytes."""
+    ship_package(spark)
+    passage = " ".join(f"p{i}" for i in range(100))
+    tail = "substr(repeat(sha2(cast({} as string), 256), 4), 1, 250)"
+    df = spark.range(sharers, numPartitions=6).selectExpr("id as doc_id", f"concat({tail.format('id')}, '{passage}', {tail.format('-id - 1')}) as text")
+    *_, segments = op4_bwt.shard_segments(df, 200)
+    bodies = segments.where("body is not null").select("shard", "body").distinct()
+    most = bodies.groupBy("shard").agg(F.sum(F.length("body")).alias("bytes")).agg(F.max("bytes")).first()[0]
+    assert most <= 1.5 * op4_bwt.SHARD_BYTES
+    got = op4_bwt.op4_bwt(df).agg(F.min("n_removed"), F.max("n_removed"), F.max("n_spans")).first()
+    assert len(passage) <= got[0] and got[1] <= len(passage) + 24 and got[2] == 1
+
+
 def test_op9_matches_brute_force(docs, empty, hot):
     rows = sorted({(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None})
     seen, want = set(), {}
