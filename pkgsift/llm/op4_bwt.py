@@ -33,7 +33,7 @@ from .common import _BYTE_VALUES, _powers
 #: Bytes of a window, bytes of an anchor, occurrences of anchors per shard.
 LENGTH, GRAM, PER_SHARD = 200, 64, 5000
 #: Occurrences beyond which an anchor is dealt by its surroundings; bytes of distinct cut-outs of a shard.
-HOT, SHARD_BYTES = 1000, 3 << 20
+HOT, SHARD_BYTES = 4000, 3 << 20
 #: Places at which the windows of one class around a hot anchor start.
 WIDTH = 16
 #: Bytes of a text that are hashed at once; longer texts go in overlapping parts.
@@ -216,7 +216,7 @@ def body_spans(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
 
 
 def window_pass(length: int, base: int, shards: int):
-    """Cut-outs of too large shards -> their single windows, dealt by what they hold; equal ones of a task are settled."""
+    """Cut-outs of too large shards -> their single windows, as digests of 128 bits that also name the shard; equal ones of a task are settled."""
 
     def run(batches):
         settled = P.Settled(earlier_only=False, shards=shards)
@@ -224,9 +224,8 @@ def window_pass(length: int, base: int, shards: int):
             out = []
             for doc, start, size, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "size", "body"))):
                 for a in range(size - length + 1):
-                    window = body[a:a + length]
-                    shard = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest()) % shards
-                    out += settled.add(base + shard, doc, start + a, length, window)
+                    window = hashlib.blake2b(body[a:a + length], digest_size=16).digest()
+                    out += settled.add(base + int.from_bytes(window[:8]) % shards, doc, start + a, length, window)
                 if len(out) > 20_000:
                     yield P.segment_table(out)
                     out = []
@@ -239,7 +238,8 @@ def window_pass(length: int, base: int, shards: int):
 def bounded(segments: DataFrame, length: int, shards: int, shard_bytes: int) -> DataFrame:
     """The segments, so that no shard has more than about ``shard_bytes`` of distinct cut-outs.
 
-    A larger shard (its cut-outs share a core, but differ around it) is dealt anew, window by window.
+    A larger shard (its cut-outs share a core, but differ around it) is dealt anew, window by window;
+    there a repeated window is one whose digest occurs twice.
     """
     sizes = (segments.where("body is not null").groupBy("shard", F.xxhash64("body").alias("h")).agg(F.max("size").alias("size"))
              .groupBy("shard").agg(F.sum("size").alias("bytes")))
@@ -256,7 +256,8 @@ def bounded(segments: DataFrame, length: int, shards: int, shard_bytes: int) ->
 def match_pass(length: int):
     """Segments in shard order -> doc_id, start, end of the repeated spans.
 
-    Of equal bodies one enters the transform; all of them are repeated whole.
+    Of equal bodies one enters the transform; all of them are repeated whole. A body shorter than its
+    cut-out is the digest of a single window and has no others in it.
     """
 
     def run(batches):
@@ -271,14 +272,17 @@ def match_pass(length: int):
                         continue
                     k = place.setdefault(body, len(row))
                     if k < len(row):
+                        if doc[i] == doc[row[k]] and start[i] == start[row[k]]:  # one place by way of two anchors
+                            continue
                         whole[i] = whole[row[k]] = True
                     else:
                         row.append(i)
             whole &= size >= length
             found = [(doc[whole], start[whole].astype(np.int64), start[whole].astype(np.int64) + size[whole])]
-            if place:
-                body, a, b = body_spans(list(place), length)
-                seg = np.array(row)[body]
+            texts = [(body, i) for body, i in zip(place, row) if len(body) == size[i] and len(body) >= length]
+            if texts:
+                body, a, b = body_spans([x[0] for x in texts], length)
+                seg = np.array([x[1] for x in texts])[body]
                 found.append((doc[seg], a + start[seg], b + start[seg]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], names=["doc_id", "start", "end"])
 

@@ -151,10 +151,13 @@ def test_op4_large_shards_are_dealt_by_windows(docs, monkeypatch):
     assert by_id(r for r in op4_bwt.op4_bwt(docs).collect() if r.doc_id is not None) == want
 
 
-@pytest.mark.parametrize("sharers", [6000, 19000])
-def test_op4_no_shard_outgrows_its_bound(spark, sharers):
+@pytest.mark.parametrize("sharers, hot, shard_bytes", [(1200, 100, 1 << 15), (6000, None, None), (19_000, None, None)])
+def test_op4_no_shard_outgrows_its_bound(spark, monkeypatch, sharers, hot, shard_bytes):
     """One passage in many different texts: the cut-outs at its edges differ in every text, yet no shard gets more than its bytes."""
     ship_package(spark)
+    if hot:
+        monkeypatch.setattr(op4_bwt, "HOT", hot)
+        monkeypatch.setattr(op4_bwt, "SHARD_BYTES", shard_bytes)
     passage = " ".join(f"p{i}" for i in range(100))
     tail = "substr(repeat(sha2(cast({} as string), 256), 4), 1, 250)"
     df = spark.range(sharers, numPartitions=6).selectExpr("id as doc_id", f"concat({tail.format('id')}, '{passage}', {tail.format('-id - 1')}) as text")
@@ -162,8 +165,13 @@ def test_op4_no_shard_outgrows_its_bound(spark, sharers):
     bodies = segments.where("body is not null").select("shard", "body").distinct()
     most = bodies.groupBy("shard").agg(F.sum(F.length("body")).alias("bytes")).agg(F.max("bytes")).first()[0]
     assert most <= 1.5 * op4_bwt.SHARD_BYTES
-    got = op4_bwt.op4_bwt(df).agg(F.min("n_removed"), F.max("n_removed"), F.max("n_spans")).first()
-    assert len(passage) <= got[0] and got[1] <= len(passage) + 24 and got[2] == 1
+    if hot:
+        rows = {r.doc_id: r.text for r in df.collect()}
+        count = Counter(hash(t[i:i + 200]) for t in rows.values() for i in range(len(t) - 199))
+        got = {r.doc_id: (r.n_removed, r.n_spans) for r in op4_bwt.op4_bwt(df).collect()}
+        for d, t in rows.items():
+            at = [i for i in range(len(t) - 199) if count[hash(t[i:i + 200])] > 1]
+            assert got[d] == (at[-1] + 200 - at[0], 1) and len(at) == at[-1] - at[0] + 1
 
 
 def test_op9_matches_brute_force(docs, empty, hot):
