@@ -205,6 +205,12 @@ def d12_cycles(spark, sf_dir):
     return CY.simple_cycles(e)
 
 
+@register("D12_evidence")
+def d12_evidence(spark, sf_dir):
+    e = materialize(G.edges(classes_table(spark, sf_dir, GRAPH_COLUMNS)), "edges")
+    return CY.cycle_evidence(e)
+
+
 # ------------------------------------------------------------------ shared pipeline inputs
 from ..functions import constants as C  # noqa: E402
 from ..operators import placement as PL  # noqa: E402

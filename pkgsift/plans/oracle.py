@@ -309,7 +309,7 @@ paths AS (
   UNION ALL
   SELECT p.project_id, p.start, e.dst, list_append(p.path, e.dst)
   FROM paths p JOIN cyc_edges e ON e.project_id = p.project_id AND e.src = p.last
-  WHERE e.dst > p.start AND NOT list_contains(p.path, e.dst) AND len(p.path) < 5
+  WHERE e.dst > p.start AND NOT list_contains(p.path, e.dst)
 ),
 cycles AS (
   SELECT project_id, src || '->' || dst AS cycle, 1 AS length FROM edges WHERE src = dst
@@ -317,3 +317,24 @@ cycles AS (
   SELECT p.project_id, array_to_string(list_append(p.path, p.start), '->') AS cycle, len(p.path) AS length
   FROM paths p JOIN cyc_edges e ON e.project_id = p.project_id AND e.src = p.last AND e.dst = p.start
 )"""
+
+
+# one shortest cycle through each cyclic class, the least in name order
+EVIDENCE_PATHS = """
+epaths AS (
+  SELECT project_id, src AS root, dst AS last, [src, dst] AS path FROM cyc_edges WHERE src <> dst
+  UNION ALL
+  SELECT p.project_id, p.root, e.dst, list_append(p.path, e.dst)
+  FROM epaths p JOIN cyc_edges e ON e.project_id = p.project_id AND e.src = p.last
+  WHERE e.dst <> p.root AND NOT list_contains(p.path, e.dst)
+),
+closed AS (
+  SELECT project_id, src AS root, [src] AS path FROM edges WHERE src = dst
+  UNION ALL
+  SELECT p.project_id, p.root, p.path
+  FROM epaths p JOIN cyc_edges e ON e.project_id = p.project_id AND e.src = p.last AND e.dst = p.root
+),
+evidence AS (
+  SELECT project_id, root AS class_name, array_to_string(list_append(path, root), '->') AS cycle, len(path) AS length
+  FROM (SELECT *, row_number() OVER (PARTITION BY project_id, root ORDER BY len(path), path) AS rn FROM closed) WHERE rn = 1
+)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import BASE, GRAPH, REACH, with_ctes
+from .oracle import BASE, EVIDENCE_PATHS, GRAPH, REACH, with_ctes
 
 SQL: dict[str, str] = {}
 
@@ -122,6 +122,7 @@ FROM dep_summary d LEFT JOIN (SELECT project_id, count(*) AS n FROM cyclic GROUP
      COHESION, REACH)
 gsql("D12", "SELECT project_id, class_name FROM cyclic", REACH)
 gsql("D12_cycles", "SELECT project_id, cycle, CAST(length AS INTEGER) AS length FROM cycles", REACH)
+gsql("D12_evidence", "SELECT project_id, class_name, cycle, CAST(length AS INTEGER) AS length FROM evidence", REACH, EVIDENCE_PATHS)
 
 
 # ------------------------------------------------------------------ R, M, O

@@ -1,5 +1,6 @@
 """Literal scoring, graph and result cases (FIXTURES.md §4-§5)."""
 
+import pytest
 from conftest import java_files_df
 from pyspark.sql import functions as F
 
@@ -139,10 +140,12 @@ def test_pluggable_batch_encoder(spark):
     from pkgsift.operators.vectors import encode_classes, udf_encoder
 
     def make():
-        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+        return lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts]
 
     recs = [_rec("UserDao", rel="src/a.java"), _rec("UserDao", rel="src/b.java"), _rec("Plain")]
     cv = encode_classes(_rows(spark, recs), udf_encoder(make, 3))
     out = {r.class_name: r.vec for r in cv.collect()}
     assert set(out) == {"UserDao", "Plain"}
     assert all(len(v) == 3 and v[1] == 1.0 and v[2] == 0.0 for v in out.values())
+    with pytest.raises(Exception, match="the encoder gave 3 numbers, not 4"):
+        encode_classes(_rows(spark, recs), udf_encoder(make, 4)).collect()
