@@ -215,11 +215,19 @@ def body_spans(bodies: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray
     return body, found[:, 0] - begin, found[:, 1] - begin
 
 
+class SettledPlaces(P.Settled):
+    """Cut-outs of one map task, where two anchors may bring one place twice: that is no repeat."""
+
+    def add(self, shard: int, doc: int, start: int, size: int, body: bytes) -> list[tuple]:
+        old = self.seen.get((shard, hashlib.blake2b(body, digest_size=16).digest()))
+        return [] if old is not None and old[1:3] == (doc, start) else super().add(shard, doc, start, size, body)
+
+
 def window_pass(length: int, base: int, shards: int):
     """Cut-outs of too large shards -> their single windows, as digests of 128 bits that also name the shard; equal ones of a task are settled."""
 
     def run(batches):
-        settled = P.Settled(earlier_only=False, shards=shards)
+        settled = SettledPlaces(earlier_only=False, shards=shards)
         for batch in batches:
             out = []
             for doc, start, size, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "size", "body"))):

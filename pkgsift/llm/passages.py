@@ -125,8 +125,6 @@ class Settled:
             self.seen[key] = here
             return [(shard, doc, start, size, body)]
         old = self.seen[key]
-        if old is not None and old[1:3] == (doc, start):  # the same place by way of another anchor
-            return []
         if self.earlier_only:
             if old[1:3] < (doc, start):
                 return [here]
