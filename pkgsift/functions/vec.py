@@ -14,10 +14,6 @@ def ZERO() -> Column:
     return F.lit(0.0).cast("double")
 
 
-def as_double_vec(col: Column) -> Column:
-    return col.cast("array<double>")
-
-
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), ZERO(), lambda acc, v: acc + v)
 
@@ -27,17 +23,6 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0.0 when either norm is 0."""
+    """Cosine similarity; 0.0 when either norm is 0 or the lengths differ."""
     denom = norm(a) * norm(b)
-    return F.when(denom != 0, dot(a, b) / denom).otherwise(ZERO())
-
-
-def cosine_with_literal(a: Column, b: list[float]) -> Column:
-    """Cosine between a column vector and a fixed literal vector."""
-    lit_vec = F.array(*[F.lit(float(x)) for x in b]).cast("array<double>")
-    return cosine(a, lit_vec)
-
-
-def l2_normalize(a: Column) -> Column:
-    n = norm(a)
-    return F.when(n != 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    return F.when((F.size(a) == F.size(b)) & (denom != 0), dot(a, b) / denom).otherwise(ZERO())

@@ -4,7 +4,7 @@
 * M2/M3 encode texts: any batch encoder as an Arrow ``pandas_udf`` (model
   loaded once per task), or the default deterministic hashing encoder
   (MLlib ``HashingTF`` + L2 norm, JVM-side). Given vector tables work too.
-* M6/M7 are cosine folds in double inside codegen. The seven package-type
+* M6/M7 are cosine folds in double. The seven package-type
   vectors are a fixed-size parameter table (checked to hold exactly seven
   rows) and are inlined as literals, so scoring a class needs no join.
 * M4 never enumerates all pairs of a project: equal vectors are one group, and exact
@@ -24,11 +24,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.vec import ZERO, cosine, norm
+from ..functions.vec import ZERO, cosine, dot, norm
 from ..session import materialize
 
 PID = "project_id"
-UNROLL_MAX_DIM = 64  # longer literal vectors use a fold (keeps generated code small)
 
 
 # ------------------------------------------------------------------ M1
@@ -119,49 +118,31 @@ def type_vectors_literal(type_vec: DataFrame) -> list[tuple[str, int, list[float
 
 
 def _py_norm(v: list[float]) -> float:
+    """The norm as norm() sums it, left to right."""
     acc = 0.0
     for x in v:
         acc = acc + x * x
     return math.sqrt(acc)
 
 
-def _unrolled_sum(terms: list[Column]) -> Column:
-    acc = ZERO()
-    for t in terms:
-        acc = acc + t
-    return acc
-
-
-def type_cosines(vec: Column, types: list[tuple[str, int, list[float]]]) -> list[Column]:
-    """Cosine of ``vec`` with each type vector (one column per type, in type order).
-
-    The type vectors are fixed parameters, so each dot product is unrolled
-    into a plain left-to-right sum of products: compiled by whole-stage
-    codegen, no per-element lambda calls, same summation order as a fold.
-    A vector of another length gets cosine 0.
-    """
-    dim = len(types[0][2])
-    if dim > UNROLL_MAX_DIM:
-        return [cosine(vec, F.array(*[F.lit(float(x)) for x in tv]).cast("array<double>"))
-                for _, _, tv in types]
-    items = [F.get(vec, i) for i in range(dim)]
-    n = F.sqrt(_unrolled_sum([x * x for x in items]))
-    ok = F.size(vec) == F.lit(dim)
+def type_cosines(vec: Column, length: Column, types: list[tuple[str, int, list[float]]]) -> list[Column]:
+    """Cosine of ``vec``, whose norm is ``length``, with each type vector in type order; 0 for a vector of another length."""
     out = []
     for _, _, tv in types:
-        d = _unrolled_sum([x * F.lit(float(w)) for x, w in zip(items, tv)])
-        denom = n * F.lit(_py_norm(tv))
-        out.append(F.when(ok & (denom != 0), d / denom).otherwise(ZERO()))
+        denom = length * F.lit(_py_norm(tv))
+        there = (F.size(vec) == F.lit(len(tv))) & (denom != 0)
+        out.append(F.when(there, dot(vec, F.array(*[F.lit(float(x)) for x in tv]).cast("array<double>")) / denom).otherwise(ZERO()))
     return out
 
 
 def nearest_type(class_vec: DataFrame, types: list[tuple[str, int, list[float]]]) -> DataFrame:
     """M6: (project_id, class_name, emb_type, emb_score): best cosine, first type wins ties."""
-    cos = type_cosines(F.col("vec"), types)
+    cos = type_cosines(F.col("vec"), F.col("_length"), types)
     best = F.greatest(*[F.struct(c.alias("score"), F.lit(-o).alias("neg_ord"), F.lit(t).alias("type"))
                         for c, (t, o, _) in zip(cos, types)])
-    return class_vec.select(PID, "class_name", best["type"].alias("emb_type"),
-                            best["score"].alias("emb_score"))
+    # the norm once for all types
+    return (class_vec.select(PID, "class_name", "vec", norm(F.col("vec")).alias("_length"))
+            .select(PID, "class_name", best.alias("_best")).select(PID, "class_name", F.col("_best.type").alias("emb_type"), F.col("_best.score").alias("emb_score")))
 
 
 def pair_similarity(pairs: DataFrame, class_vec: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

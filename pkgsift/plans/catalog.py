@@ -468,7 +468,11 @@ def source_tree(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TREES:
         root = scratch_path(spark, "java-tree")
-        FS.write_source_tree(_files(spark, sf_dir), root, layout_prefix(F.col("relative_path")))
+        # every 29th file ends with a byte that is no UTF-8
+        k = F.regexp_extract("relative_path", r"F(\d+)\.java$", 1).cast("long")
+        bad = F.when(k % 29 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
+        files = _files(spark, sf_dir).withColumn("content", F.concat(F.col("content").cast("binary"), bad))
+        FS.write_source_tree(files, root, layout_prefix(F.col("relative_path")))
         _TREES[key] = root
     return _TREES[key]
 
@@ -476,7 +480,7 @@ def source_tree(spark, sf_dir):
 @register("S1")
 def s1(spark, sf_dir):
     root = source_tree(spark, sf_dir)
-    lst = FS.with_project(FS.scan_sources(spark, root).select("path", "length"), root)
+    lst = FS.with_project(FS.scan_sources(spark, root).select("path", "length"), root, numeric=True)
     return lst.select("project_id", FS.relative_path(F.col("path"), F.col("root")).alias("relative_path"),
                       "length")
 
@@ -488,7 +492,7 @@ def s2(spark, sf_dir):
 
 @register("S3")
 def s3(spark, sf_dir):
-    return FS.java_files_from_tree(spark, source_tree(spark, sf_dir)).select(
+    return FS.java_files_from_tree(spark, source_tree(spark, sf_dir), numeric=True).select(
         "project_id", "relative_path", "content")
 
 
@@ -500,12 +504,8 @@ def s4(spark, sf_dir):
 
 @register("S5")
 def s5(spark, sf_dir):
-    """Files whose bytes are not valid UTF-8 (decoded with the bad bytes dropped)."""
-    root = source_tree(spark, sf_dir)
-    lst = FS.with_project(FS.scan_sources(spark, root), root)
-    return lst.where(~F.is_valid_utf8(F.col("content").cast("string"))).select(
-        "project_id", FS.relative_path(F.col("path"), F.col("root")).alias("relative_path"),
-        FS.decode_text(F.col("content")).alias("content"))
+    """The table of bad files: those that can't be read, and those that lost bytes in decoding."""
+    return FS.bad_files(spark, source_tree(spark, sf_dir), numeric=True)
 
 
 @register("S6")
@@ -513,6 +513,12 @@ def s6(spark, sf_dir):
     return corpus.listing(spark, sf_dir).groupBy("project_id").agg(F.count(F.lit(1)).alias("java_files"))
 
 
+@register("S6_files")
+def s6_files(spark, sf_dir):
+    """S6 over the real files, pruned folders included."""
+    return FS.source_file_counts(spark, source_tree(spark, sf_dir), numeric=True)
+
+
 @register("K1")
 def k1(spark, sf_dir):
     res = RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir))
@@ -588,6 +594,6 @@ def e11_stream(spark, sf_dir):
     """E3 rows of the generated file tree, extracted by the streaming ingest (pruned files excluded)."""
     root = source_tree(spark, sf_dir)
     table = scratch_path(spark, "stream-classes")
-    q = ST.start_class_ingest(spark, root, table, scratch_path(spark, "stream-ckpt"))
+    q = ST.start_class_ingest(spark, root, table, scratch_path(spark, "stream-ckpt"), numeric_projects=True)
     q.awaitTermination()
     return spark.read.parquet(table).select(*ROW_KEY, "class_name", "package")

@@ -348,8 +348,12 @@ LEFT JOIN ({_map_sql('method_used', 'results')}) mu USING (project_id)""", True,
 _MID = "CASE k % 9 WHEN 0 THEN 'target/' WHEN 1 THEN 'mod/build/' WHEN 2 THEN '.git/' ELSE '' END"
 _ROOT = "'/corpus/' || CAST(project_id AS VARCHAR)"
 sql("S1", f"""
-SELECT project_id, {_MID} || relative_path AS relative_path, CAST(strlen(content) AS BIGINT) AS length
+SELECT project_id, {_MID} || relative_path AS relative_path, CAST(strlen(content) + CASE WHEN k % 29 = 0 THEN 1 ELSE 0 END AS BIGINT) AS length
 FROM java_files WHERE k % 9 <> 2""")
+sql("S5", f"""
+SELECT project_id, {_MID} || relative_path AS relative_path, 'invalid UTF-8' AS reason
+FROM java_files WHERE k % 9 <> 2 AND k % 29 = 0""")
+sql("S6_files", "SELECT project_id, count(*) AS java_files FROM java_files WHERE k % 9 <> 2 GROUP BY project_id")
 sql("S2", f"""
 SELECT project_id, {_ROOT} || '/' || relative_path AS path, relative_path
 FROM java_files WHERE k % 9 > 2""")

@@ -45,10 +45,11 @@ def _root_uri(spark: SparkSession, root: str) -> str:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
-def with_project(listing: DataFrame, root: str, project: str | None = None, numeric: bool | None = None) -> DataFrame:
+def with_project(listing: DataFrame, root: str, project: str | None = None, numeric: bool = False) -> DataFrame:
     """Adds project_id (first folder below ``root``, or ``project``) and the project root path.
 
-    ``numeric`` says that all folder names are numbers (project_id bigint); None: look at the listing.
+    A project_id is a string, whatever the folders are called; ``numeric`` says that all names are numbers and
+    makes it a bigint (a folder with another name is then an error).
     """
     base = _root_uri(listing.sparkSession, root) + "/"
     rest = F.substring(F.col("path"), len(base) + 1, 1 << 30)
@@ -56,10 +57,7 @@ def with_project(listing: DataFrame, root: str, project: str | None = None, nume
     if project is not None:
         return below.select("*", F.lit(project).alias(PID), F.lit(base.rstrip("/")).alias("root"))
     pid = F.element_at(F.split(rest, "/", 2), 1)
-    number = pid.try_cast("bigint")
-    if numeric is None:
-        numeric = below.select("path").where(number.isNull()).isEmpty()
-    return below.select("*", (number if numeric else pid).alias(PID), F.concat(F.lit(base), pid).alias("root"))
+    return below.select("*", (pid.cast("bigint") if numeric else pid).alias(PID), F.concat(F.lit(base), pid).alias("root"))
 
 
 def relative_path(path: Column, root: Column) -> Column:
@@ -80,18 +78,32 @@ def decode_text(content: Column) -> Column:
     return F.regexp_replace(text, "\r\n?", "\n")
 
 
-def java_files_from_tree(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
+def java_files_from_tree(spark: SparkSession, root: str, project: str | None = None, numeric: bool = False) -> DataFrame:
     """S1-S5 composed: java_files(project_id, file_path, relative_path, content)."""
-    listing = with_project(scan_sources(spark, root), root, project)
+    listing = with_project(scan_sources(spark, root), root, project, numeric)
     rel = relative_path(F.col("path"), F.col("root"))
     kept = listing.select("*", rel.alias("relative_path")).where(keep_unpruned(F.col("relative_path")))
     return kept.select(PID, F.col("path").alias("file_path"), "relative_path",
                        decode_text(F.col("content")).alias("content"))
 
 
-def source_file_counts(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
+def bad_files(spark: SparkSession, root: str, project: str | None = None, numeric: bool = False) -> DataFrame:
+    """(project_id, relative_path, reason) of the files that the class table lacks or holds in part.
+
+    ``unreadable``: listed, but reading gave an error (such a file is left out of the scan). ``invalid UTF-8``: read, with
+    the bad bytes dropped. Pruned folders are reported, too. The listing opens no file; paths only are shuffled.
+    """
+    listed = scan_sources(spark, root).select("path")
+    read = scan_sources(spark, root).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+    bad = listed.join(read, "path", "left").where(~F.coalesce("valid", F.lit(False)))
+    named = with_project(bad, root, project, numeric)
+    return named.select(PID, relative_path(F.col("path"), F.col("root")).alias("relative_path"),
+                        F.when(F.col("valid").isNull(), "unreadable").otherwise("invalid UTF-8").alias("reason"))
+
+
+def source_file_counts(spark: SparkSession, root: str, project: str | None = None, numeric: bool = False) -> DataFrame:
     """``*.java`` files per project, before pruning (no content is read)."""
-    listing = with_project(scan_sources(spark, root).select("path"), root, project)
+    listing = with_project(scan_sources(spark, root).select("path"), root, project, numeric)
     return listing.groupBy(PID).agg(F.count(F.lit(1)).alias("java_files"))
 
 
@@ -115,19 +127,19 @@ def local_path(uri: str) -> str:
 def write_source_tree(java_files: DataFrame, root: str, layout: Column | None = None) -> str:
     """Write every row of ``java_files`` to ``root/<project_id>/<layout><relative_path>``.
 
-    Distributed: each task writes the files of its own partition. ``layout``
+    Distributed: each task writes the files of its own partition (text as UTF-8, or bytes as they are). ``layout``
     is an optional folder prefix column (e.g. to place some files below
     build-output folders).
     """
     mid = layout if layout is not None else F.lit("")
     local_root = local_path(root)
     rows = java_files.select(F.concat(F.lit(local_root.rstrip("/") + "/"), F.col(PID).cast("string"), F.lit("/"),
-                                      mid, F.col("relative_path")).alias("target"), "content")
+                                      mid, F.col("relative_path")).alias("target"), F.col("content").cast("binary").alias("content"))
 
     def write_part(it):
         for r in it:
             os.makedirs(os.path.dirname(r["target"]), exist_ok=True)
-            with open(r["target"], "w", encoding="utf-8", newline="") as fh:
+            with open(r["target"], "wb") as fh:
                 fh.write(r["content"])
 
     rows.foreachPartition(write_part)

@@ -22,10 +22,10 @@ BINARY_FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, co
 
 
 def class_stream(spark: SparkSession, root: str, max_files_per_trigger: int | None = None,
-                 numeric_projects: bool = True) -> DataFrame:
+                 numeric_projects: bool = False) -> DataFrame:
     """A streaming DataFrame of class rows for files appearing below ``root``.
 
-    A stream fixes its schema before it sees a file: ``numeric_projects=False`` for folders with other names.
+    project_id is the folder's name; ``numeric_projects`` makes it a bigint where all names are numbers.
     """
     reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
               .option("recursiveFileLookup", "true")
@@ -43,7 +43,7 @@ def class_stream(spark: SparkSession, root: str, max_files_per_trigger: int | No
 
 def start_class_ingest(spark: SparkSession, root: str, table_path: str, checkpoint_location: str,
                        available_now: bool = True, processing_time: str | None = None,
-                       numeric_projects: bool = True) -> StreamingQuery:
+                       numeric_projects: bool = False) -> StreamingQuery:
     """Append extracted class rows to a Parquet table at ``table_path``."""
     w = (class_stream(spark, root, numeric_projects=numeric_projects).writeStream.format("parquet")
          .option("path", table_path).option("checkpointLocation", checkpoint_location)

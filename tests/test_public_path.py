@@ -28,7 +28,7 @@ def test_root_spellings(spark, tmp_path, spelling):
         (tmp_path / n).mkdir()
         (tmp_path / n / "A.java").write_text("class A {}")
     rows = source_file_counts(spark, spelling.format(tmp_path)).collect()
-    assert sorted((r.project_id, r.java_files) for r in rows) == [(3, 1), (7, 1)]
+    assert sorted((r.project_id, r.java_files) for r in rows) == [("3", 1), ("7", 1)]
 
 
 def test_genuine_replacement_character_is_kept(spark):

@@ -149,3 +149,25 @@ def test_pluggable_batch_encoder(spark):
     assert all(len(v) == 3 and v[1] == 1.0 and v[2] == 0.0 for v in out.values())
     with pytest.raises(Exception, match="the encoder gave 3 numbers, not 4"):
         encode_classes(_rows(spark, recs), udf_encoder(make, 4)).collect()
+
+
+def test_vectors_of_another_length_have_cosine_zero(spark):
+    """One contract for M6 and M7, at any dimension."""
+    from pkgsift.operators import vectors as V
+
+    for dim in (3, 80):
+        types = [(t, i, [1.0] * dim) for i, t in enumerate(V.C.TYPE_NAMES)]
+        cv = spark.createDataFrame([(1, "Same", [1.0] * dim), (1, "Short", [1.0] * (dim - 1)), (1, "Zero", [0.0] * dim)], "project_id long, class_name string, vec array<double>")
+        got = {r.class_name: (r.emb_type, round(r.emb_score, 9)) for r in V.nearest_type(cv, types).collect()}
+        assert got == {"Same": (V.C.TYPE_NAMES[0], 1.0), "Short": (V.C.TYPE_NAMES[0], 0.0), "Zero": (V.C.TYPE_NAMES[0], 0.0)}
+        pairs = spark.createDataFrame([(1, "Same", "Short"), (1, "Same", "Zero"), (1, "Same", "Same")], "project_id long, src string, dst string")
+        assert {r.dst: round(r.cosine, 9) for r in V.pair_similarity(pairs, cv).collect()} == {"Short": 0.0, "Zero": 0.0, "Same": 1.0}
+
+
+def test_bad_files_are_reported(spark, tmp_path):
+    from pkgsift.sources.files import bad_files
+
+    (tmp_path / "petclinic" / "src").mkdir(parents=True)
+    (tmp_path / "petclinic" / "src" / "A.java").write_bytes(b"class A { \xff }")
+    (tmp_path / "petclinic" / "src" / "B.java").write_bytes("class Ä { }".encode())
+    assert [tuple(r) for r in bad_files(spark, str(tmp_path)).collect()] == [("petclinic", "src/A.java", "invalid UTF-8")]
