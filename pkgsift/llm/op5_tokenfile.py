@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -181,7 +181,12 @@ def shard_starts(spark: SparkSession, path: str) -> DataFrame:
     tail = F.lit(-(TRAILER_BYTES + len(Z.SEPARATOR)))
     count = F.conv(F.hex(F.substring(F.substring("content", tail, F.lit(TRAILER_BYTES)), 9, 8)), 16, 10).cast("long")
     per = Z.read_files(spark, f"{path}/shards").select("file", count.alias("n"))
-    return per.select("file", (F.sum("n").over(Window.orderBy("file")) - F.col("n")).alias("base"))
+    return per.select("file", (F.sum("n").over(Window.orderBy(shard_number(F.col("file")))) - F.col("n")).alias("base"))
+
+
+def shard_number(file: Column) -> Column:
+    """The number in ``part-<number>-...``: names stop sorting by it where it gets a sixth digit."""
+    return F.regexp_extract(file, r"part-(\d+)[^/]*$", 1).cast("long")
 
 
 def op5_tokenfile(docs: DataFrame, path: str | None = None, vocabulary: Vocabulary | None = None, end_id: int = 2) -> DataFrame:

@@ -239,6 +239,12 @@ def test_op5_files_hold_every_document(spark, docs, empty, tmp_path):
     assert op5_tokenfile.op5_tokenfile(empty).count() == 0
 
 
+def test_op5_shards_come_in_the_order_of_their_numbers(spark):
+    names = [f"file:/x/part-9/shards/part-{i:05d}-abc-c000.txt" for i in (0, 9, 10001, 99999, 100000, 100001, 1000000)]
+    rows = spark.createDataFrame([(n,) for n in reversed(names)], "file string")
+    assert [r.file for r in rows.orderBy(op5_tokenfile.shard_number(F.col("file"))).collect()] == names
+
+
 def test_op3_round_trip(spark, tmp_path):
     ship_package(spark)
     pages = [(i, f"http://x/{i}" if i % 4 else None, ["", "<p>same</p>" * 40, f"<p>é {i}</p>", None][i % 4 if i < 40 else 1]) for i in range(60)]
