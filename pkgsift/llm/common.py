@@ -165,6 +165,16 @@ def unclash(df: DataFrame, needed: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") if c in df.columns else F.lit(None).alias(c) for c in needed])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores appended while ``df`` has such a column (Spark ignores case)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def parts_for(spark: SparkSession, total: int, target: int, least: int = 1) -> int:
     """Partitions or shards, so that each gets about ``target`` of ``total``."""
     return max(least, -(-int(total) // target))

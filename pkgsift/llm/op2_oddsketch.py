@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GRAM_MULT, LOWER, U64, gram_hashes, list_column, materialize, mix64, runs, slices, span_hashes, unclash, word_spans
+from .common import GRAM_MULT, LOWER, U64, free_names, gram_hashes, list_column, materialize, mix64, runs, slices, span_hashes, unclash, word_spans
 from .components import components
 
 #: Words of a shingle; bands and rows of the MinHash; bits of the odd sketch.
@@ -282,5 +282,6 @@ def op2_oddsketch(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document per component, with all columns (rows that repeat a kept doc_id stay)."""
-    gone = near_duplicates(docs).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone_id, = free_names(docs, "gone_id")
+    gone = near_duplicates(docs).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti")

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, uniform53
+from .common import free_names, materialize, uniform53
 
 #: Measured bytes of the table of rates up to which it is broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -69,27 +69,31 @@ def copies(seed: int, parts: Column, cdf: Column) -> Column:
 
 def mix(docs: DataFrame, weights: dict | None = None, size: float = 1.0, seed: int = 20,
         shuffle: bool = True, temperature: float = 0.0) -> DataFrame:
-    """Documents repeated to the target weights: input columns and ``replica`` (from 0), globally shuffled."""
-    columns = [c for c in docs.columns if c not in ("replica", "mix_source", "parts", "cdf", "mix_copies", "mix_key")]
+    """Documents repeated to the target weights: all input columns and ``replica`` (from 0), globally shuffled.
+
+    Where the input has a column ``replica``, the number is called ``replica_``.
+    """
+    replica, *helpers = free_names(docs, "replica", "mix_source", "parts", "cdf", "mix_copies", "mix_key")
+    source, parts, cdf, drawn_n, key = helpers
     rates = materialize(source_rates(docs, weights, size, temperature).select("mix_source", "parts", "cdf"), "rates")
     held, most = rates.agg(F.sum(F.coalesce(F.octet_length("mix_source"), F.lit(0)) + 8 * F.size("cdf") + 4), F.max("parts")).first()
     # one row per source, of measured size: with a small table the texts needn't move for their rate;
     # beyond that a sort-merge join, whose hot source Spark splits (AQE)
+    rates = rates.toDF(source, parts, cdf)
     rates = F.broadcast(rates) if (held or 0) <= BROADCAST_BYTES else rates.hint("merge")
-    drawn = (docs.select(*[f"`{c}`" for c in columns]).join(rates, F.col("source").eqNullSafe(F.col("mix_source")))
-             .withColumn("mix_copies", copies(seed, F.col("parts"), F.col("cdf"))).where(F.col("mix_copies") > 0))
-    kept = [f"`{c}`" for c in columns]
+    drawn = (docs.join(rates, F.col("source").eqNullSafe(F.col(source)))
+             .withColumn(drawn_n, copies(seed, F.col(parts), F.col(cdf))).where(F.col(drawn_n) > 0))
+    kept = [f"`{c}`" for c in docs.columns]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = drawn.where("parts = 1").select(*kept, F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)).alias("replica"))
+    out = drawn.where(F.col(parts) == 1).select(*kept, F.explode(F.sequence(F.lit(0), F.col(drawn_n) - 1)).alias(replica))
     if (most or 1) > 1:
         # a document of a tiny source can be a share of the corpus: its copies are made in many tasks
-        many = drawn.where("parts > 1").select(*kept, "mix_copies", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1, F.lit(PART))).alias("mix_key"))
-        last = F.least(F.col("mix_key") + (PART - 1), F.col("mix_copies") - 1)
-        out = out.unionByName(many.repartition(n, "doc_id", "mix_key").select(*kept, F.explode(F.sequence("mix_key", last)).alias("replica")))
+        many = drawn.where(F.col(parts) > 1).select(*kept, drawn_n, F.explode(F.sequence(F.lit(0), F.col(drawn_n) - 1, F.lit(PART))).alias(key))
+        last = F.least(F.col(key) + (PART - 1), F.col(drawn_n) - 1)
+        out = out.unionByName(many.repartition(n, "doc_id", key).select(*kept, F.explode(F.sequence(F.col(key), last)).alias(replica)))
     if not shuffle:
         return out
-    key = F.xxhash64(F.lit(seed), "doc_id", "replica")
-    return out.withColumn("mix_key", key).repartition(n, "mix_key").sortWithinPartitions("mix_key").drop("mix_key")
+    return out.withColumn(key, F.xxhash64(F.lit(seed), "doc_id", replica)).repartition(n, key).sortWithinPartitions(key).drop(key)
 
 
 def op8_poisson(docs: DataFrame, weights: dict | None = None, size: float = 1.0) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import passages as P
-from .common import anchors, gram_hashes, list_column, slices, span_hashes, unclash, window_mask, word_spans
+from .common import anchors, free_names, gram_hashes, list_column, slices, span_hashes, unclash, window_mask, word_spans
 
 #: Words of a window, words of an anchor, occurrences of anchors per shard.
 LENGTH, GRAM, PER_SHARD = 20, 8, 6000
@@ -204,6 +204,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     A document that loses all its words is dropped, others stay as they are if they lose none.
     """
     scanned, copies, spans = repeated_spans(docs, length)
+    gone_id, cut_id, cut_text = free_names(docs, "gone_id", "cut_id", "cut_text")
 
     def run(batches):
         for batch in batches:
@@ -218,13 +219,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     at = starts[b] if b < len(starts) else len(raw)
                 keep.append(raw[at:])
                 out.append((doc, b"".join(keep).decode()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=["cut_id", "cut_text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names=[cut_id, cut_text])
 
-    cut = spans.mapInArrow(run, "cut_id long, cut_text string")
-    gone = with_spans(scanned.select("doc_id", "digest", "n_words"), copies, length).where("gone").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti").join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    kept = left.where(F.col("cut_id").isNull() | F.rlike(F.col("cut_text"), F.lit("[^ \\t-\\r]")))
-    return kept.select(*[F.coalesce("cut_text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    cut = spans.mapInArrow(run, f"{cut_id} long, {cut_text} string")
+    gone = with_spans(scanned.select("doc_id", "digest", "n_words"), copies, length).where("gone").select(F.col("doc_id").alias(gone_id)).distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col(gone_id), "left_anti").join(cut, F.col("doc_id") == F.col(cut_id), "left")
+    kept = left.where(F.col(cut_id).isNull() | F.rlike(F.col(cut_text), F.lit("[^ \\t-\\r]")))
+    return kept.select(*[F.coalesce(cut_text, "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 SQL = r"""

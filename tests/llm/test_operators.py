@@ -218,6 +218,30 @@ def test_op6_round_trip_as_the_rank_library(spark, docs, empty):
     assert op6_bpe.op6_bpe(empty).count() == 0
 
 
+def test_cuts_agree_with_the_libraries_on_every_code_point(spark):
+    """Assigned or not: before a contraction, after a blank and after a digit; also a text of 3 MB that takes each path."""
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    by_rank = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    by_file = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"x{c}'s {c} 1{c}\n" for c in points[i:i + 2000]) for i in range(0, len(points), 2000)]
+    plain = "We don't know  what's 12 é; "
+    texts += [plain * 110_000, (plain + "漢字 ") * 90_000, plain * 110_000 + chr(0x558) + "'s"]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    want = by_rank.encode_ordinary_batch(texts, num_threads=4)
+    assert want == [e.ids for e in by_file.encode_batch(texts, add_special_tokens=False)]
+    for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json"):
+        c = op6_bpe.Codec(op6_bpe.default_vocabulary(spark, name))
+        for k in range(len(texts)):
+            ids, at = c.encode(data[offs[k]:offs[k + 1]], np.array([0, offs[k + 1] - offs[k]]))
+            assert ids.tolist() == want[k] and at.tolist() == [0, len(ids)]
+
+
 def test_op5_files_hold_every_document(spark, docs, empty, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
@@ -387,6 +411,150 @@ def test_op1_held_out_accuracy_and_edges(spark, docs, empty):
     assert len(none) == docs.count() and all(x.kept for x in none) and op1_ordinal.op1_ordinal(empty, labels).count() == 0
 
 
+def plain_features(text):
+    """The hashed features of one text, word by word and sign by sign."""
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text)]
+    hashed = lambda w: int(op1_ordinal.span_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]))[0])
+    keyed = lambda kind, v: int(op1_ordinal.mix64(np.array([(v * op1_ordinal.GRAM_MULT + kind) % 2**64], np.uint64))[0])
+    n = max(1, len(words))
+    keys = [hashed(w) for w in words]
+    signs = Counter(c for c in "".join(words) if "!" <= c <= "~" and not c.isdigit() and not "a" <= c <= "z")
+    keys += [keyed(1, ord(c) * 64 + int(np.log2(1 + 64 * k / n))) for c, k in signs.items()]
+    keys.append(keyed(2, 10 * sum(a == b for a, b in zip(words, words[1:])) // n))
+    keys.append(keyed(3, 10 * len(set(words)) // n))
+    return {k >> (64 - op1_ordinal.BITS) for k in keys}
+
+
+def plain_tails(model, text):
+    s = sum(float(model.weights[f]) for f in plain_features(text or ""))
+    return [1 / (1 + np.exp(min(700, t - s))) for t in model.thresholds]
+
+
+def test_op1_gradient_is_that_of_the_loss():
+    r = np.random.default_rng(5)
+    n, dims = 40, 12
+    row, col, grade = np.repeat(np.arange(n), 4), r.integers(0, dims, 4 * n), r.integers(0, 3, n)
+    theta = r.normal(0, 0.5, dims + 2)
+    value, g = op1_ordinal.loss(theta, row, col, grade, dims, 3)
+    cuts = [-np.inf, theta[dims], theta[dims] + np.exp(theta[dims + 1]), np.inf]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    plain = 0.5 * op1_ordinal.PENALTY * sum(theta[:dims] ** 2)
+    for i in range(n):
+        s = sum(theta[c] for c in col[row == i])
+        plain -= np.log(sig(cuts[grade[i] + 1] - s) - sig(cuts[grade[i]] - s))
+    assert abs(value - plain) < 1e-8
+    for k in range(dims + 2):
+        step = np.zeros(dims + 2)
+        step[k] = 1e-6
+        up, down = (op1_ordinal.loss(theta + d, row, col, grade, dims, 3)[0] for d in (step, -step))
+        assert abs((up - down) / 2e-6 - g[k]) < 1e-4
+
+
+def test_op1_scores_match_a_plain_computation(spark, docs):
+    ship_package(spark)
+    graded = spark.createDataFrame([(i, i % 3) for i in range(80)], "doc_id long, grade int")
+    model = op1_ordinal.fit(docs, graded)
+    assert np.any(model.weights) and model.thresholds[0] < model.thresholds[1]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for x in op1_ordinal.score(docs, model).collect():
+        tails = plain_tails(model, text[x.doc_id])
+        assert np.allclose([x.p_ge_1, x.p_ge_2], tails, atol=1e-6) and abs(x.expected_grade - sum(tails)) < 1e-5
+        assert x.kept == (x.p_ge_2 >= 0.5)
+
+
+#: Columns of the names that the stages use for themselves.
+CLASHING = ["gone_id", "cut_id", "cut_text", "replica", "mix_source", "cdf", "parts", "mix_copies", "mix_key", "component", "key", "digest"]
+
+
+def plain_pipeline(rows, model, enc):
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each copy, stage by stage; rows: (doc_id, text, source), ids not null."""
+    rows = [x for x in rows if plain_tails(model, x[1])[1] >= 0.5]
+    _, comp = components_of([x[:2] for x in rows])
+    rows = sorted((x for x in rows if comp[x[0]] == x[0]), key=lambda x: x[0])
+    seen, cut, done = set(), [], {}
+    for d, t, s in rows:
+        if d in done:  # a repeated row is its document again
+            cut.append((d, done[d], s))
+            continue
+        spans = [m.span() for m in WORD.finditer(t or "")]
+        words = [t[a:b] for a, b in spans]
+        gone = np.zeros(len(words) + 1, bool)
+        for i in range(len(words) - 19):
+            gone[i:i + 20] |= tuple(words[i:i + 20]) in seen
+            seen.add(tuple(words[i:i + 20]))
+        if gone.any():
+            out, at = "", 0
+            for i, (a, b) in enumerate(spans):
+                if gone[i] and not gone[i - 1]:
+                    out += t[at:a]
+                if gone[i]:
+                    at = spans[i + 1][0] if i + 1 < len(spans) else len(t)
+            t = out + t[at:]
+        done[d] = t
+        cut.append((d, t, s))
+    cut = [x for x in cut if x[1] is None or WORD.search(x[1]) or dict((a, b) for a, b, _ in rows)[x[0]] == x[1]]
+    size = Counter()
+    for _, t, s in cut:
+        size[s] += len((t or "").encode())
+    size = {s: n for s, n in size.items() if n}
+    out = Counter()
+    for d, t, s in cut:
+        if s not in size:
+            continue
+        rate = size[s] ** 0.5 / sum(n ** 0.5 for n in size.values()) * sum(size.values()) / size[s]
+        u = int(hashlib.md5(f"20:{d}".encode()).hexdigest()[:13], 16) / 2**52
+        k, p = 0, np.exp(-rate)
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        ids = enc.encode_ordinary(t or "")
+        out[d, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()] += k
+    return +out
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    """Every stage recomputed plainly, on documents whose other columns have the stages' own names."""
+    import corpus_pipeline as C
+    import public_tokenizers as P
+    import tiktoken
+
+    r = random.Random(9)
+    rows = [x for x in corpus(3, 40) if x[0] is not None]
+    rows = [(d, t, r.choice(["web", "web", "web", "books", None])) for d, t in dict(rows).items()]
+    bad = [(1000 + i, " ".join([r.choice(["vile", "nasty"]) + r.choice(["", "!"]) for _ in range(40)] + [f"v{r.random()}"]), "web") for i in range(60)]
+    rows += bad + [rows[0], rows[5], (2000, "", "empty source")]
+    r.shuffle(rows)
+    fields = "doc_id long, text string, source string, lang string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING)
+    docs = spark.createDataFrame([(d, t, s, "en", len(t or ""), *range(len(CLASHING))) for d, t, s in rows], fields).repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(d, 1, int(d >= 1000)) for d in {x[0] for x in rows} if d % 4]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ship_package(spark)
+    model = op1_ordinal.fit(docs, op1_ordinal.grades_of(spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    want = plain_pipeline(rows, model, enc)
+    got = Counter((x.doc_id, x.n_tokens, x.ids_sha256, x.decoded_sha256) for x in C.run(spark, str(tmp_path)).collect())
+    assert got == want
+    ids = {k[0] for k in want}
+    assert len(ids) > 20 and not ids & {b[0] for b in bad} and max(want.values()) > 1
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        first = out.where("doc_id is not null").select(*CLASHING).distinct().collect()
+        assert [tuple(x) for x in first] == [tuple(range(len(CLASHING)))]
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as C
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages_chain(spark, tmp_path):
     import corpus_pipeline as C
 
