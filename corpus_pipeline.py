@@ -4,6 +4,14 @@
 DataFrame. ``run`` applies them to the documents; each result is written as Parquet in the
 shared scratch folder and read again as the next stage's documents, so a lost executor costs
 at most the running stage. All stages but the last return the columns of documents.
+
+Defined results: a null text counts as empty, is judged by the classifier like any other text,
+has no near duplicates and no windows, and gives no ids; its source needs some text to be
+drawn. Very long texts are handled whole. Repeated rows of a document are scored, kept, cut
+and drawn alike, each for itself; of a near-duplicate component the smallest doc_id stays, and a
+window stays where it occurs first. Rows without a doc_id are kept by the duplicate stages. A null
+source is a source of its own. Without labels of two grades nothing is rejected. An empty table gives an empty result. Extra
+columns of any name, also of those that a stage uses for itself, pass through all stages but the last.
 """
 
 from __future__ import annotations
