@@ -10,8 +10,7 @@
 * M4 never enumerates all pairs of a project: equal vectors are one group, and exact
   similarities are computed for pairs of groups that share a sign-hash bucket, with the
   number of tables set by the wanted recall; or for given pairs (M7 over dependency edges).
-* M5 runs Lloyd's k-means for all projects and all restarts at once as
-  DataFrame jobs keyed by (project_id, restart).
+* M5, k-means per project, is in ``clusters.py``.
 """
 
 from __future__ import annotations
@@ -20,12 +19,13 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.vec import ZERO, cosine, dot, norm
 from ..session import materialize
+from .clusters import kmeans
 
 PID = "project_id"
 
@@ -207,70 +207,6 @@ def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, recall: float =
     return pairs.unionByName(copies).where(F.col("cosine") >= F.lit(threshold))
 
 
-# ------------------------------------------------------------------ M5
-def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: int = 300,
-           seed: int = C.KMEANS_SEED) -> tuple[DataFrame, DataFrame]:
-    """M5: k-means per project, k = min(max(2, n // 3), 10); projects with n < 2 get none.
-
-    Lloyd's algorithm for all projects and all restarts at once, keyed by
-    (project_id, restart): assignment = join with the <= 10 centres of the
-    key + ``min_by`` distance; update = per-dimension ``avg`` (partial
-    aggregation). Start centres are the k points with the least seeded hash.
-    The restart with the least cost (sum of squared distances) wins.
-    Returns (assignments(project_id, class_name, cluster_id),
-             centres(project_id, cluster_id, center)).
-    """
-    sizes = class_vec.groupBy(PID).agg(F.count(F.lit(1)).alias("n"))
-    k_col = F.least(F.greatest(F.lit(C.KMEANS_MIN_K), F.floor(F.col("n") / 3).cast("int")), F.lit(C.KMEANS_MAX_K))
-    ks = sizes.where(F.col("n") >= 2).select(PID, k_col.alias("k"))
-    pts = (class_vec.join(ks, PID)
-           .select(PID, "class_name", "vec", "k", F.explode(F.sequence(F.lit(0), F.lit(restarts - 1))).alias("run")))
-    pts = materialize(pts, "km-points")
-    rank = F.row_number().over(Window.partitionBy(PID, "run").orderBy(
-        F.xxhash64("class_name", F.col("run") + F.lit(seed)), "class_name"))
-    # the literal bound lets Spark keep only so many rows per task before the shuffle
-    centers = (pts.withColumn("_r", rank).where(F.col("_r") <= F.lit(C.KMEANS_MAX_K)).where(F.col("_r") <= F.col("k"))
-               .select(PID, "run", (F.col("_r") - 1).cast("int").alias("cid"), F.col("vec").alias("cvec")))
-    centers = materialize(centers, "km-centers")
-
-    def assign(centers_df):
-        j = pts.join(centers_df, [PID, "run"])
-        d2 = F.aggregate(F.zip_with("vec", "cvec", lambda x, y: (x - y) * (x - y)), ZERO(), lambda a, v: a + v)
-        return (j.select(PID, "run", "class_name", "vec", "cid", d2.alias("d2"))
-                .groupBy(PID, "run", "class_name")
-                .agg(F.min_by(F.struct("cid", "d2"), F.struct("d2", "cid")).alias("best"),
-                     F.first("vec").alias("vec"))
-                .select(PID, "run", "class_name", "vec", F.col("best.cid").alias("cid"),
-                        F.col("best.d2").alias("d2")))
-
-    prev = None
-    for _ in range(max_iter):
-        asg = materialize(assign(centers), "km-assign")
-        if prev is not None:
-            moved = (asg.alias("x").join(prev.alias("y"), [PID, "run", "class_name"])
-                     .where(F.col("x.cid") != F.col("y.cid")).count())
-            if moved == 0:
-                break
-        prev = asg
-        upd = (asg.select(PID, "run", "cid", F.posexplode("vec").alias("dim", "x"))
-               .groupBy(PID, "run", "cid", "dim").agg(F.avg("x").alias("x"))
-               .groupBy(PID, "run", "cid")
-               .agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda e: e["x"]).alias("cvec")))
-        # clusters that lost all points keep their centre
-        centers = materialize(
-            centers.join(upd.withColumnRenamed("cvec", "nvec"), [PID, "run", "cid"], "left")
-            .select(PID, "run", "cid", F.coalesce("nvec", "cvec").alias("cvec")), "km-centers")
-    else:
-        raise RuntimeError(f"k-means has not converged after {max_iter} rounds; raise max_iter")
-    final = materialize(assign(centers), "km-assign")
-    cost = final.groupBy(PID, "run").agg(F.sum("d2").alias("cost"))
-    best = cost.groupBy(PID).agg(F.min_by("run", F.struct("cost", "run")).alias("run"))
-    assignments = final.join(best, [PID, "run"]).select(PID, "class_name", F.col("cid").alias("cluster_id"))
-    centres = centers.join(best, [PID, "run"]).select(PID, F.col("cid").alias("cluster_id"),
-                                                       F.col("cvec").alias("center"))
-    return assignments, centres
-
-
 # ------------------------------------------------------------------ M8
 def compute_embeddings(classes: DataFrame, encoder=None, threshold: float = 0.9) -> dict[str, DataFrame]:
     """M8: the embedding bundle: class vectors, type vectors, similar pairs, clusters."""
