@@ -10,6 +10,7 @@
 * M4 never enumerates all pairs of a project: equal vectors are one group, and exact
   similarities are computed for pairs of groups that share a sign-hash bucket, with the
   number of tables set by the wanted recall; or for given pairs (M7 over dependency edges).
+  ``neighbours.py`` has the exact pairs and the k nearest.
 * M5, k-means per project, is in ``clusters.py``.
 """
 
@@ -26,6 +27,7 @@ from ..functions import constants as C
 from ..functions.vec import ZERO, cosine, dot, norm
 from ..session import materialize
 from .clusters import kmeans
+from .neighbours import vector_groups, with_cosine
 
 PID = "project_id"
 
@@ -192,18 +194,13 @@ def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, recall: float =
     probability ``recall``, a closer one with more; the exact cosine decides. Candidates carry names
     only; the vectors join what is left after duplicates are dropped. Vectors that are null, empty or zero have no pairs.
     """
-    usable = class_vec.where(F.size("vec") > 0).where(norm(F.col("vec")) > 0).select(PID, "class_name", "vec")
-    groups = materialize(usable.groupBy(PID, "vec").agg(F.min("class_name").alias("a")).select(PID, "a", "vec"), "vec-groups")
-    copies = (usable.join(groups, [PID, "vec"]).where(F.col("class_name") != F.col("a"))
-              .select(PID, "a", F.col("class_name").alias("b"), cosine(F.col("vec"), F.col("vec")).alias("cosine"), F.lit("copy").alias("kind")))
+    groups, copies = vector_groups(class_vec)
     keyed = sign_keys(groups, sign_tables(threshold, recall, bits), bits, seed).select(
         PID, "a", F.size("vec").alias("dim"), F.posexplode("keys").alias("tbl", "bucket"))
     keyed = materialize(keyed, "vec-keys")
     other = keyed.withColumnRenamed("a", "b")
     cand = keyed.join(other, [PID, "dim", "tbl", "bucket"]).where(F.col("a") < F.col("b")).select(PID, "a", "b").distinct()
-    va, vb = groups.withColumnRenamed("vec", "va"), groups.select(PID, F.col("a").alias("b"), F.col("vec").alias("vb"))
-    pairs = (cand.join(va, [PID, "a"]).join(vb, [PID, "b"])
-             .select(PID, "a", "b", cosine(F.col("va"), F.col("vb")).alias("cosine"), F.lit("pair").alias("kind")))
+    pairs = with_cosine(cand, groups).withColumn("kind", F.lit("pair"))
     return pairs.unionByName(copies).where(F.col("cosine") >= F.lit(threshold))
 
 

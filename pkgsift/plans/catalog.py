@@ -213,6 +213,7 @@ def d12_evidence(spark, sf_dir):
 
 # ------------------------------------------------------------------ shared pipeline inputs
 from ..functions import constants as C  # noqa: E402
+from ..operators import neighbours as N  # noqa: E402
 from ..operators import placement as PL  # noqa: E402
 from ..operators import rules as RU  # noqa: E402
 from ..operators import vectors as V  # noqa: E402
@@ -567,6 +568,20 @@ def m4(spark, sf_dir):
     return V.similar_pairs(cv, threshold=0.9)
 
 
+@register("M4_exact")
+def m4_exact(spark, sf_dir):
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
+    cv, _ = vector_inputs(spark, sf_dir, cls)
+    return N.exact_pairs(cv, threshold=0.9)
+
+
+@register("M4_nearest")
+def m4_nearest(spark, sf_dir):
+    cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
+    cv, _ = vector_inputs(spark, sf_dir, cls)
+    return N.nearest_classes(cv, k=5)
+
+
 @register("M5")
 def m5(spark, sf_dir):
     cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)

@@ -204,15 +204,23 @@ SELECT e.project_id, e.src, e.dst, {cosine_sql('a.vec', 'b.vec')} AS cosine
 FROM edges e JOIN class_vec a ON a.project_id = e.project_id AND a.class_name = e.src
 JOIN class_vec b ON b.project_id = e.project_id AND b.class_name = e.dst""", GRAPH, VECTORS)
 
-sql("M4", f"""
+VEC_GROUPS = """
+vec_groups AS (SELECT project_id, vec, min(class_name) AS a FROM class_vec GROUP BY ALL)"""
+M4_PAIRS = f"""
 SELECT a.project_id, a.a, b.a AS b, {cosine_sql('a.vec', 'b.vec')} AS cosine, 'pair' AS kind
 FROM vec_groups a JOIN vec_groups b ON a.project_id = b.project_id AND a.a < b.a
 WHERE {cosine_sql('a.vec', 'b.vec')} >= 0.9::DOUBLE
 UNION ALL
 SELECT v.project_id, g.a, v.class_name, {cosine_sql('v.vec', 'v.vec')}, 'copy'
 FROM class_vec v JOIN vec_groups g ON g.project_id = v.project_id AND g.vec = v.vec
-WHERE v.class_name <> g.a AND {cosine_sql('v.vec', 'v.vec')} >= 0.9::DOUBLE""", VECTORS, """
-vec_groups AS (SELECT project_id, vec, min(class_name) AS a FROM class_vec GROUP BY ALL)""")
+WHERE v.class_name <> g.a AND {cosine_sql('v.vec', 'v.vec')} >= 0.9::DOUBLE"""
+sql("M4", M4_PAIRS, VECTORS, VEC_GROUPS)
+sql("M4_exact", M4_PAIRS, VECTORS, VEC_GROUPS)
+sql("M4_nearest", f"""
+SELECT project_id, a, CAST(rank AS INTEGER) AS rank, b, cosine FROM (
+  SELECT *, row_number() OVER (PARTITION BY project_id, a ORDER BY cosine DESC, b) AS rank FROM (
+    SELECT a.project_id, a.a, b.a AS b, {cosine_sql('a.vec', 'b.vec')} AS cosine
+    FROM vec_groups a JOIN vec_groups b ON a.project_id = b.project_id AND a.a <> b.a)) WHERE rank <= 5""", VECTORS, VEC_GROUPS)
 
 RESULT_COLS = ("project_id, relative_path, class_pos, class_id, class_name, current_package, is_misplaced, "
                "confidence, reasoning, suggested_package, evidence, method_used")
