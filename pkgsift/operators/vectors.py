@@ -3,7 +3,7 @@
 * M1 builds the semantic text of a class with built-in string functions.
 * M2/M3 encode texts: any batch encoder as an Arrow ``pandas_udf`` (model
   loaded once per task), or the default deterministic hashing encoder
-  (MLlib ``HashingTF`` + L2 norm, JVM-side). Given vector tables work too.
+  (signed feature hashing by md5 + L2 norm, JVM-side). Given vector tables work too.
 * M6/M7 are cosine folds in double. The seven package-type
   vectors are a fixed-size parameter table (checked to hold exactly seven
   rows) and are inlined as literals, so scoring a class needs no join.
@@ -27,7 +27,7 @@ from ..functions import constants as C
 from ..functions.vec import ZERO, cosine, dot, norm
 from ..session import materialize
 from .clusters import kmeans
-from .neighbours import vector_groups, with_cosine
+from .neighbours import exact_pairs, vector_groups, with_cosine
 
 PID = "project_id"
 
@@ -59,18 +59,38 @@ def type_description_texts(spark) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M2 / M3 encoders
+def tokens(text: Column) -> Column:
+    """Lower-case words of letters, digits and underscores."""
+    return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+", -1), lambda t: t != F.lit(""))
+
+
 def hashing_encoder(df: DataFrame, text_col: str = "text", num_features: int = 64,
                     out_col: str = "vec") -> DataFrame:
-    """Deterministic default encoder: tokens -> HashingTF -> L2-normalised array<double>."""
-    from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
+    """Deterministic default encoder: signed feature hashing of the tokens, L2-normalised array<double>.
+
+    The first eight hex digits of a token's md5, as a number modulo ``num_features``, name its dimension;
+    an odd ninth digit makes it count -1 instead of 1. Counts are whole numbers, so any engine gets the
+    same doubles. A text that is null or has no tokens, or whose tokens cancel out, gets the zero vector.
+    """
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=r"[^A-Za-z0-9_]+",
-                         toLowercase=True)
-    tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=num_features)
-    nz = Normalizer(inputCol="_tf", outputCol="_nv", p=2.0)
-    out = nz.transform(tf.transform(tok.transform(df)))
-    return out.withColumn(out_col, vector_to_array("_nv")).drop("_tokens", "_tf", "_nv")
+    def slot(t: Column) -> Column:
+        h = F.md5(t.cast("binary"))
+        dim = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.lit(num_features)
+        negative = F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % F.lit(2)
+        return (dim + negative * F.lit(num_features)).cast("string")
+
+    slots = df.withColumn("_slots", F.coalesce(F.transform(tokens(F.col(text_col)), slot),
+                                               F.array().cast("array<string>")))
+    # one hashed pass over the slots of a row; positive halves first, negative ones after them
+    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(2 * num_features)], inputCol="_slots", outputCol="_tf")
+    sums = counter.transform(slots).withColumn("_tf", vector_to_array("_tf"))
+    sums = sums.withColumn("_sums", F.zip_with(F.slice("_tf", 1, num_features), F.slice("_tf", num_features + 1, num_features),
+                                               lambda p, n: p - n))
+    sums = sums.withColumn("_length", norm(F.col("_sums")))
+    vec = F.when(F.col("_length") != 0, F.transform("_sums", lambda x: x / F.col("_length"))).otherwise(F.col("_sums"))
+    return sums.withColumn(out_col, vec).drop("_slots", "_tf", "_sums", "_length")
 
 
 def udf_encoder(make_encoder, dim: int):
@@ -205,11 +225,14 @@ def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, recall: float =
 
 
 # ------------------------------------------------------------------ M8
-def compute_embeddings(classes: DataFrame, encoder=None, threshold: float = 0.9) -> dict[str, DataFrame]:
-    """M8: the embedding bundle: class vectors, type vectors, similar pairs, clusters."""
+def compute_embeddings(classes: DataFrame, encoder=None, threshold: float = 0.9, exact: bool = False) -> dict[str, DataFrame]:
+    """M8: the embedding bundle: class vectors, type vectors, similar pairs, clusters.
+
+    ``exact`` misses no similar pair; otherwise they are found with the recall of :func:`similar_pairs`.
+    """
     cv = materialize(encode_classes(classes, encoder), "class-vec")
     tv = encode_types(classes.sparkSession, encoder)
     assignments, centres = kmeans(cv)
     return {"class_embeddings": cv, "package_type_embeddings": tv,
-            "similar_pairs": similar_pairs(cv, threshold), "clusters": assignments,
+            "similar_pairs": exact_pairs(cv, threshold) if exact else similar_pairs(cv, threshold), "clusters": assignments,
             "cluster_centers": centres}

@@ -520,23 +520,40 @@ def s6_files(spark, sf_dir):
     return FS.source_file_counts(spark, source_tree(spark, sf_dir), numeric=True)
 
 
+def _timed(seconds, stamp=None):
+    """Whether a run time and its ISO timestamp are there (their values differ in every run)."""
+    ok = seconds.isNotNull() & (seconds >= 0)
+    return (ok if stamp is None else ok & F.coalesce(stamp.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}"), F.lit(False))).alias("timed")
+
+
 @register("K1")
 def k1(spark, sf_dir):
+    """The result file as read back: numbers cast, booleans as the text that the file holds."""
     res = RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir))
     path = SK.write_results_csv(res, scratch_path(spark, "results-csv"))
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    back = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
+    return back.select(F.col("project_id").cast("bigint").alias("project_id"), "class_id", "class_name", "current_package",
+                       "is_misplaced", F.col("confidence").cast("double").alias("confidence"), "reasoning",
+                       "suggested_package", "evidence", "method_used",
+                       _timed(F.col("analysis_time").cast("double"), F.col("analysis_timestamp")))
 
 
 @register("K2")
 def k2(spark, sf_dir):
+    """The metrics file as read back, without the values of the run's time."""
     m = P.full_metrics(RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir)))  # results materialised
     path = SK.write_metrics_json(m, scratch_path(spark, "metrics-json"))
-    return spark.read.json(path)
+    back = spark.read.schema(m.schema).json(path)
+    times = ["average_analysis_time", "total_analysis_time", "analysis_time_per_class"]
+    maps = ["package_distribution", "suggested_package_distribution", "analysis_methods_used"]
+    return back.select(*[c for c in back.columns if c not in maps + times], *[P.map_text(c).alias(c) for c in maps],
+                       _timed(F.least(*times)))
 
 
 @register("O2")
 def o2(spark, sf_dir):
-    return RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir))
+    res = RC.recommend_with_metadata(*_recommend_inputs(spark, sf_dir))
+    return res.select(*PL.RESULT_COLUMNS, _timed(F.col("analysis_time"), F.col("analysis_timestamp")))
 
 
 def _recommend_inputs(spark, sf_dir):
@@ -545,10 +562,15 @@ def _recommend_inputs(spark, sf_dir):
     return cls, cv, tv
 
 
-# ------------------------------------------------------------------ M (rows-only)
+# ------------------------------------------------------------------ M (encoder, pairs, clusters)
+def _vec_text(c="vec"):
+    """The components in units of 1e-9, rounded down, as text."""
+    return F.array_join(F.transform(c, lambda x: F.floor(x * F.lit(1e9)).cast("string")), "|").alias("vec_e9")
+
+
 @register("M2")
 def m2(spark, sf_dir):
-    return V.encode_classes(classes(spark, sf_dir))
+    return V.encode_classes(classes(spark, sf_dir)).select("project_id", "class_name", _vec_text())
 
 
 @register("M3")
@@ -558,7 +580,7 @@ def m3(spark, sf_dir):
     tv = V.encode_types(spark)
     best = V.nearest_type(V.encode_classes(cls), V.type_vectors_literal(tv))
     counts = best.groupBy(F.col("emb_type").alias("package_type")).agg(F.count(F.lit(1)).alias("classes"))
-    return tv.select("package_type", "type_ord", "vec").join(counts, "package_type", "left")
+    return tv.select("package_type", "type_ord", _vec_text()).join(counts, "package_type", "left").fillna(0, ["classes"])
 
 
 @register("M4")
@@ -592,12 +614,19 @@ def m5(spark, sf_dir):
 
 @register("M8")
 def m8(spark, sf_dir):
-    """Per project: vectors, clusters and near pairs of the default-encoder bundle."""
-    b = V.compute_embeddings(classes_table(spark, sf_dir))
+    """Per project, of the default-encoder bundle: vectors, clusters, vectors in a cluster, similar pairs, copies.
+
+    Which vectors share a cluster depends on the starts; M5 and its tests cover that.
+    """
+    b = V.compute_embeddings(classes_table(spark, sf_dir), exact=True)
     nv = b["class_embeddings"].groupBy("project_id").agg(F.count(F.lit(1)).alias("vectors"))
-    nc = b["clusters"].groupBy("project_id").agg(F.count_distinct("cluster_id").alias("clusters"))
-    npairs = b["similar_pairs"].groupBy("project_id").agg(F.count(F.lit(1)).alias("similar_pairs"))
-    return nv.join(nc, "project_id", "left").join(npairs, "project_id", "left").fillna(0)
+    nc = b["clusters"].groupBy("project_id").agg(F.count("cluster_id").alias("clustered"))
+    nk = b["cluster_centers"].groupBy("project_id").agg(F.count_distinct("cluster_id").alias("n_clusters"))
+    npairs = b["similar_pairs"].groupBy("project_id").agg(F.count_if(F.col("kind") == "pair").alias("similar_pairs"),
+                                                          F.count_if(F.col("kind") == "copy").alias("copies"))
+    for part in (nc, nk, npairs):
+        nv = nv.join(part, "project_id", "left")
+    return nv.fillna(0)
 
 
 # ------------------------------------------------------------------ streaming ingest

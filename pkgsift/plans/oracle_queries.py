@@ -222,10 +222,65 @@ SELECT project_id, a, CAST(rank AS INTEGER) AS rank, b, cosine FROM (
     SELECT a.project_id, a.a, b.a AS b, {cosine_sql('a.vec', 'b.vec')} AS cosine
     FROM vec_groups a JOIN vec_groups b ON a.project_id = b.project_id AND a.a <> b.a)) WHERE rank <= 5""", VECTORS, VEC_GROUPS)
 
+# default encoder: signed feature hashing by md5
+_H = "CAST('0x' || substring(md5(t), 1, 8) AS BIGINT) % 64"
+_SIGN = "CASE WHEN CAST('0x' || substring(md5(t), 9, 1) AS BIGINT) % 2 = 1 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END"
+
+
+def _encoded(name: str, key: str, src: str) -> str:
+    """CTE ``name``(key, vec) of the texts in ``src``(key, text)."""
+    return f"""
+{name}_sums AS (
+  SELECT {key}, dim, sum(w) AS v FROM (
+    SELECT {key}, {_H} AS dim, {_SIGN} AS w FROM (
+      SELECT {key}, unnest(string_split_regex(lower(text), '[^a-z0-9_]+')) AS t FROM {src}) WHERE t <> '')
+  GROUP BY ALL
+),
+{name} AS (
+  SELECT {key}, list(v / nullif(length, 0) ORDER BY dim) AS vec FROM (
+    SELECT s.*, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS length FROM (
+      SELECT {key}, d.dim, coalesce(x.v, 0.0::DOUBLE) AS v
+      FROM {src} CROSS JOIN (SELECT unnest(range(64)) AS dim) d LEFT JOIN {name}_sums x USING ({key}, dim)) s)
+  GROUP BY {key}
+)"""
+
+
+CLASS_TEXTS = f"""
+class_texts AS (
+  SELECT project_id, class_name, text FROM (
+    SELECT project_id, class_name, {_SEM} AS text,
+           row_number() OVER (PARTITION BY project_id, class_name ORDER BY relative_path DESC, class_pos DESC) AS rn
+    FROM classes) WHERE rn = 1
+),""" + _encoded("class_code", "project_id, class_name", "class_texts")
+TYPE_TEXTS = "type_texts AS (" + " UNION ALL ".join(
+    f"SELECT {_q(t)} AS package_type, CAST({i} AS INTEGER) AS type_ord, "
+    f"{_q(C.TYPE_DESCRIPTION_TEMPLATE.format(type=t, keywords=' '.join(kws)))} AS text"
+    for i, (t, kws) in enumerate(C.TYPE_DESCRIPTION_KEYWORDS)) + ")," + _encoded("type_code", "package_type, type_ord", "type_texts")
+_E9 = "array_to_string(list_transform(vec, lambda x: CAST(floor(x * 1e9::DOUBLE) AS BIGINT)), '|') AS vec_e9"
+sql("M2", f"SELECT project_id, class_name, {_E9} FROM class_code", CLASS_TEXTS)
+sql("M3", f"""
+SELECT t.package_type, t.type_ord, {_E9}, coalesce(n.classes, 0) AS classes FROM type_code t LEFT JOIN (
+  SELECT package_type, count(*) AS classes FROM (
+    SELECT project_id, class_name, arg_min(package_type, (-cos, type_ord)) AS package_type FROM (
+      SELECT c.project_id, c.class_name, y.package_type, y.type_ord, {cosine_sql('c.vec', 'y.vec')} AS cos
+      FROM class_code c CROSS JOIN type_code y) GROUP BY ALL) GROUP BY ALL) n USING (package_type)""", CLASS_TEXTS, TYPE_TEXTS)
+sql("M8", f"""
+SELECT project_id, v.vectors, CASE WHEN v.vectors < 2 THEN 0 ELSE v.vectors END AS clustered,
+       CASE WHEN v.vectors < 2 THEN 0 ELSE least(greatest({C.KMEANS_MIN_K}, v.vectors // 3), {C.KMEANS_MAX_K}) END AS n_clusters, coalesce(p.n, 0) AS similar_pairs, v.vectors - v.texts AS copies
+FROM (SELECT project_id, count(*) AS vectors, count(DISTINCT vec) AS texts FROM class_code GROUP BY ALL) v
+LEFT JOIN (
+  SELECT a.project_id, count(*) AS n FROM code_groups a JOIN code_groups b ON a.project_id = b.project_id AND a.a < b.a
+  WHERE {cosine_sql('a.vec', 'b.vec')} >= 0.9::DOUBLE GROUP BY ALL) p USING (project_id)""", CLASS_TEXTS, """
+code_groups AS (SELECT project_id, vec, min(class_name) AS a FROM class_code GROUP BY ALL)""")
+
 RESULT_COLS = ("project_id, relative_path, class_pos, class_id, class_name, current_package, is_misplaced, "
                "confidence, reasoning, suggested_package, evidence, method_used")
 psql("O1", f"SELECT {RESULT_COLS} FROM results")
 psql("O9", f"SELECT {RESULT_COLS} FROM results")
+psql("O2", f"SELECT {RESULT_COLS}, true AS timed FROM results")
+psql("K1", """SELECT project_id, class_id, class_name, current_package,
+  CASE WHEN is_misplaced THEN 'True' ELSE 'False' END AS is_misplaced, confidence, reasoning, suggested_package,
+  evidence, method_used, true AS timed FROM results""")
 psql("O5", f"SELECT {RESULT_COLS} FROM results", False, True)
 psql("O5_no_dependencies", f"SELECT {RESULT_COLS} FROM results", True, False)
 THRESH = "(is_misplaced AND NOT (confidence < 0.8::DOUBLE))"
@@ -335,7 +390,7 @@ SELECT project_id, CAST(rank AS INTEGER) AS rank, package, classes FROM (
     SELECT project_id, current_package AS package, count(*) AS classes,
            min(relative_path || chr(0) || lpad(CAST(class_pos AS VARCHAR), 10, '0')) AS first_seen
     FROM results GROUP BY ALL)) WHERE rank <= {C.TOP_PACKAGES}""")
-psql("P12", f"""
+P12_SQL = f"""
 SELECT o.*, c.average_confidence, c.min_confidence, c.max_confidence, c.confidence_std,
        pd.m AS package_distribution, coalesce(sd.m, '') AS suggested_package_distribution,
        mp.most_problematic_package, b.high_confidence_suggestions, b.medium_confidence_suggestions,
@@ -349,7 +404,10 @@ LEFT JOIN ({P6_SQL}) mp USING (project_id)
 LEFT JOIN ({P7_SQL}) b USING (project_id)
 LEFT JOIN ({P8_SQL}) q USING (project_id)
 LEFT JOIN ({P9_SQL}) t USING (project_id)
-LEFT JOIN ({_map_sql('method_used', 'results')}) mu USING (project_id)""", True, True, TIMED)
+LEFT JOIN ({_map_sql('method_used', 'results')}) mu USING (project_id)"""
+psql("P12", P12_SQL, True, True, TIMED)
+psql("K2", f"SELECT * EXCLUDE (average_analysis_time, total_analysis_time, analysis_time_per_class), true AS timed FROM ({P12_SQL})",
+     True, True, TIMED)
 
 
 # ------------------------------------------------------------------ S

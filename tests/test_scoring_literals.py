@@ -1,5 +1,7 @@
 """Literal scoring, graph and result cases (FIXTURES.md §4-§5)."""
 
+import re
+
 import pytest
 from conftest import java_files_df
 from pyspark.sql import functions as F
@@ -171,3 +173,25 @@ def test_bad_files_are_reported(spark, tmp_path):
     (tmp_path / "petclinic" / "src" / "A.java").write_bytes(b"class A { \xff }")
     (tmp_path / "petclinic" / "src" / "B.java").write_bytes("class Ä { }".encode())
     assert [tuple(r) for r in bad_files(spark, str(tmp_path)).collect()] == [("petclinic", "src/A.java", "invalid UTF-8")]
+
+
+def test_hashing_encoder_against_a_plain_one(spark):
+    import hashlib
+    import math
+
+    from pkgsift.operators.vectors import hashing_encoder
+
+    def plain(text):
+        v = [0.0] * 64
+        for t in re.split(r"[^a-z0-9_]+", (text or "").lower()):
+            if t:
+                h = hashlib.md5(t.encode()).hexdigest()
+                v[int(h[:8], 16) % 64] += -1.0 if int(h[8], 16) % 2 else 1.0
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v] if n else v
+
+    texts = ["Class name: UserDao Methods: get_user getUser, get_user", "", None, "  ;;  ", "a", "a " * 5000 + "b",
+             "café 中文 x1"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: list(r.vec) for r in hashing_encoder(rows).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(texts)}
