@@ -65,21 +65,28 @@ def misplaced_names(scored: DataFrame) -> DataFrame:
     return flagged_rows(scored).select(PID, "class_name").distinct()
 
 
-LAST_COLUMNS = ["package", "relative_path", "class_pos", "methods", "annotations", "rule_score",
-                "rule_type", "rule_ord"]
+LAST_COLUMNS = ["package", "relative_path", "class_pos", "rule_score", "rule_type", "rule_ord"]
 
 
 def name_summary(scored: DataFrame) -> DataFrame:
-    """Per name, in one partial aggregation: flagged by any row, and the last row."""
+    """Per name, in one partial aggregation: flagged by any row, and the scalars of the last row."""
     agg = (scored.groupBy(PID, "class_name")
            .agg(F.max(flag_expr()).alias("flagged"),
                 F.max_by(F.struct(*LAST_COLUMNS), order_key()).alias("r")))
     return agg.select(PID, "class_name", "flagged", *[F.col("r")[c].alias(c) for c in LAST_COLUMNS])
 
 
-def last_rows(scored: DataFrame) -> DataFrame:
-    """The last row (order key) of every name, as flat columns."""
-    return name_summary(scored).drop("flagged")
+def with_arrays(last: DataFrame, classes: DataFrame) -> DataFrame:
+    """Methods and annotations of the given last rows, looked up in the class table by row key.
+
+    Spark sends only these names' arrays: the side of the names is small, so it is broadcast when it
+    measures small, or else filters the class table by a Bloom filter where that pays.
+    """
+    c = classes.select(*[F.col(x).alias("_" + x) for x in (PID, "class_name", "relative_path", "class_pos")],
+                       "methods", "annotations")
+    same = ((F.col(PID) == F.col("_" + PID)) & (F.col("class_name") == F.col("_class_name"))
+            & F.col("relative_path").eqNullSafe(F.col("_relative_path")) & F.col("class_pos").eqNullSafe(F.col("_class_pos")))
+    return last.join(c, same).select(*last.columns, "methods", "annotations").dropDuplicates([PID, "class_name"])
 
 
 def _matching_methods(methods: Column, ord_col: Column, scanned: int) -> Column:
@@ -118,12 +125,9 @@ def evidence(name: Column, methods: Column, annotations: Column, s: Column, o: C
     return F.when(joined != "", joined).otherwise(F.lit(C.EVIDENCE_FALLBACK))
 
 
-def suggestions(scored: DataFrame, names: DataFrame | None = None) -> DataFrame:
+def suggestions(scored: DataFrame, classes: DataFrame) -> DataFrame:
     """One suggestion per misplaced name, from the last row of that name."""
-    if names is None:
-        last = name_summary(scored).where(F.col("flagged"))
-    else:
-        last = last_rows(scored).join(names, [PID, "class_name"], "left_semi")
+    last = with_arrays(name_summary(scored).where(F.col("flagged")), classes)
     s, o = F.col("rule_type"), F.col("rule_ord")
     return last.select(
         PID, "class_name",

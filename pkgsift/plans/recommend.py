@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import time
 from dataclasses import dataclass
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
 
@@ -41,7 +42,7 @@ def analyze(classes: DataFrame, class_vec: DataFrame | None = None, type_vec: Da
     if use_embeddings and class_vec is not None and type_vec is not None:
         emb = PL.embedding_scores(class_vec, type_vectors_literal(type_vec))
     scored = PL.scored_rows(classes, edge_df, emb)
-    sugg = PL.suggestions(scored)
+    sugg = PL.suggestions(scored, classes)
     results = PL.assemble_results(classes, sugg)
     return Analysis(classes, edge_df, scored, sugg, results)
 
@@ -58,4 +59,4 @@ def recommend_with_metadata(classes: DataFrame, class_vec=None, type_vec=None, *
     start = time.time()
     kw.setdefault("store", False)
     res = materialize(recommend(classes, class_vec, type_vec, **kw), "results")
-    return PL.with_run_metadata(res, time.time() - start)
+    return PL.with_run_metadata(res, time.time() - start, datetime.now(timezone.utc).replace(tzinfo=None).isoformat())
