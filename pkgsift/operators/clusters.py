@@ -26,11 +26,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..session import materialize
+from ..session import materialize, ship_package
+from .projects import by_project
 
 PID = "project_id"
 #: Points of a project that one task solves whole, points of one vectorised step, bytes of centres in one round.
@@ -81,19 +82,21 @@ def matrix(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, np.float64) for v in vectors])
 
 
-def small_projects(points: DataFrame, max_iter: int) -> DataFrame:
-    """project_id, class_name, cluster_id, center, converged: a row per point (no center) and per centre (no class_name)."""
+def small_projects(points: DataFrame, starts: Column, max_iter: int) -> DataFrame:
+    """Of points (project_id, class_name, vec), ``starts`` being the hashes of each: project_id, class_name, cluster_id, center, converged: a row per point (no center) and per centre (no class_name)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("class_name")
-        x, hashes, k = matrix(pdf["vec"]), np.stack(list(pdf["starts"])), int(pdf["k"].iloc[0])
+    def run(rows: list[tuple]) -> list[tuple]:
+        dim = max(len(v) for _, v, _ in rows)
+        rows = sorted((r for r in rows if len(r[1]) == dim), key=lambda r: (r[0] is None, r[0] or ""))
+        if len(rows) < 2:
+            return []
+        x, hashes = np.stack([v for _, v, _ in rows]), np.stack([h for _, _, h in rows])
+        k = min(max(C.KMEANS_MIN_K, len(rows) // 3), C.KMEANS_MAX_K)
         label, c, still = solve(x, x[np.argsort(hashes, axis=0, kind="stable")[:k].T], max_iter)
-        return pd.DataFrame({
-            PID: [pdf[PID].iloc[0]] * (len(x) + k), "class_name": [*pdf["class_name"], *[None] * k],
-            "cluster_id": [*label.tolist(), *range(k)], "center": [*[None] * len(x), *c.tolist()], "converged": still})
+        return [(r[0], j, None, still) for r, j in zip(rows, label.tolist())] + [(None, j, v, still) for j, v in enumerate(c.tolist())]
 
-    kind = dict(points.dtypes)[PID]
-    return points.groupBy(PID).applyInPandas(run, f"{PID} {kind}, class_name string, cluster_id int, center array<double>, converged boolean")
+    return by_project(points, [F.col("class_name"), F.col("vec"), starts], run,
+                      "class_name string, cluster_id int, center array<double>, converged boolean")
 
 
 def start_centres(points: DataFrame) -> DataFrame:
@@ -108,6 +111,7 @@ def start_centres(points: DataFrame) -> DataFrame:
 def large_projects(points: DataFrame, max_iter: int) -> DataFrame:
     """As small_projects, in rounds over ``points`` (one group of projects, stored)."""
     spark, kind = points.sparkSession, dict(points.dtypes)[PID]
+    ship_package(spark)
     centres, still = {}, {}
     for pid, rows in start_centres(points).toPandas().sort_values([PID, "run", "cid"]).groupby(PID):
         flat = matrix(rows["vec"])
@@ -181,17 +185,23 @@ def kmeans(class_vec: DataFrame, restarts: int = C.KMEANS_RESTARTS, max_iter: in
     usable = (class_vec.select(PID, "class_name", F.col("vec").cast("array<double>").alias("vec"))
               .where((F.size("vec") > 0) & whole))
     sizes = usable.groupBy(PID, F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = sizes.groupBy(PID).agg(F.max(F.struct("dim", "n")).alias("s")).select(PID, "s.*").where("n >= 2")
+    sizes = sizes.groupBy(PID).agg(F.max(F.struct("dim", "n")).alias("s"), F.sum("n").alias("rows")).select(PID, "s.*", "rows").where("n >= 2")
     k = F.least(F.greatest(F.lit(C.KMEANS_MIN_K), F.floor(F.col("n") / 3).cast("int")), F.lit(C.KMEANS_MAX_K))
     sizes = materialize(sizes.withColumn("k", k), "km-sizes")
     starts = F.array(*[F.xxhash64("class_name", F.lit(r + seed)) for r in range(restarts)])
-    points = usable.join(sizes, PID).where(F.size("vec") == F.col("dim")).select(PID, "class_name", "vec", "k", "n", starts.alias("starts"))
-    solved = materialize(small_projects(points.where(F.col("n") <= BLOCK).drop("n"), max_iter), "km-small")
-    rows, held = sizes.where(F.col("n") > BLOCK).agg(F.sum("n"), F.sum(F.col("k") * F.col("dim") * 8 * restarts)).first()
+    large = sizes.where(F.col("n") > BLOCK)
+    # with many vectors that are too short, only the others go to the task
+    mixed = sizes.where((F.col("n") <= BLOCK) & (F.col("rows") > BLOCK)).select(PID, "dim")
+    few, apart = usable.where(F.col(PID).isNotNull()), sizes.where(F.col("rows") > BLOCK).select(PID)
+    if not apart.isEmpty():
+        few = few.join(apart, PID, "left_anti").unionByName(usable.join(mixed, PID).where(F.size("vec") == F.col("dim")).drop("dim"))
+    solved = materialize(small_projects(few, starts, max_iter), "km-small")
+    rows, held = large.agg(F.sum("n"), F.sum(F.col("k") * F.col("dim") * 8 * restarts)).first()
     if rows:
         groups = -(-int(held) // CENTRE_BYTES)
         group = F.pmod(F.xxhash64(F.lit(seed), PID), F.lit(groups))
-        large = points.where(F.col("n") > BLOCK).drop("n").withColumn("group", group)
+        points = usable.join(large, PID).where(F.size("vec") == F.col("dim")).select(PID, "class_name", "vec", "k", starts.alias("starts"))
+        large = points.withColumn("group", group)
         large = materialize(large.repartitionByRange(-(-int(rows) // BLOCK), "group", PID, F.xxhash64("class_name")), "km-points")
         for g in range(groups):
             solved = solved.unionByName(materialize(large_projects(large.where(F.col("group") == g), max_iter), "km-large"))

@@ -3,8 +3,8 @@
 * M1 builds the semantic text of a class with built-in string functions.
 * M2/M3 encode texts: any batch encoder as an Arrow ``pandas_udf`` (model
   loaded once per task), or the default deterministic hashing encoder
-  (signed feature hashing by md5 + L2 norm, JVM-side). Given vector tables work too.
-* M6/M7 are cosine folds in double. The seven package-type
+  (signed feature hashing by md5 + L2 norm, in Arrow batches). Given vector tables work too.
+* M6/M7 are cosine folds in double (M6 over Arrow batches, one column at a time). The seven package-type
   vectors are a fixed-size parameter table (checked to hold exactly seven
   rows) and are inlined as literals, so scoring a class needs no join.
 * M4 never enumerates all pairs of a project: equal vectors are one group, and exact
@@ -16,20 +16,28 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.vec import ZERO, cosine, dot, norm
-from ..session import materialize
+from ..functions.vec import cosine
+from ..session import materialize, ship_package
+from . import neighbours
 from .clusters import kmeans
-from .neighbours import exact_pairs, vector_groups, with_cosine
+from .neighbours import exact_pairs, small_project_pairs, vector_groups, with_cosine
+from .projects import split_by_rows
 
 PID = "project_id"
+#: Words of the default encoder; tokens whose slot a worker keeps.
+TOKEN_RX, KNOWN_TOKENS = re.compile(r"[a-z0-9_]+"), 200_000
 
 
 # ------------------------------------------------------------------ M1
@@ -59,9 +67,33 @@ def type_description_texts(spark) -> DataFrame:
 
 
 # ------------------------------------------------------------------ M2 / M3 encoders
-def tokens(text: Column) -> Column:
-    """Lower-case words of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(text), r"[^a-z0-9_]+", -1), lambda t: t != F.lit(""))
+def hashed_slots(num_features: int):
+    """An Arrow ``pandas_udf``: the signed counts of a lower-case text's hashed tokens, divided by their length."""
+    def slot(token: str) -> int:
+        h = hashlib.md5(token.encode()).hexdigest()
+        return int(h[:8], 16) % num_features + int(h[8], 16) % 2 * num_features
+
+    @F.pandas_udf("array<double>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, int] = {}
+        for texts in batches:
+            cells: list[int] = []
+            for i, text in enumerate(texts):
+                base = i * 2 * num_features
+                for token in TOKEN_RX.findall(text):
+                    at = known.get(token)
+                    if at is None:
+                        at = slot(token)
+                        if len(known) < KNOWN_TOKENS:
+                            known[token] = at
+                    cells.append(base + at)
+            halves = np.bincount(np.array(cells, np.int64), minlength=len(texts) * 2 * num_features).reshape(-1, 2, num_features)
+            sums = (halves[:, 0] - halves[:, 1]).astype(np.float64)
+            # whole numbers: exact in any order
+            length = np.sqrt((sums * sums).sum(1))
+            yield pd.Series(list(sums / np.where(length == 0, 1.0, length)[:, None]))
+
+    return encode
 
 
 def hashing_encoder(df: DataFrame, text_col: str = "text", num_features: int = 64,
@@ -71,26 +103,10 @@ def hashing_encoder(df: DataFrame, text_col: str = "text", num_features: int = 6
     The first eight hex digits of a token's md5, as a number modulo ``num_features``, name its dimension;
     an odd ninth digit makes it count -1 instead of 1. Counts are whole numbers, so any engine gets the
     same doubles. A text that is null or has no tokens, or whose tokens cancel out, gets the zero vector.
+    A worker keeps the slots of its first KNOWN_TOKENS tokens; others are hashed each time.
     """
-    from pyspark.ml.feature import CountVectorizerModel
-    from pyspark.ml.functions import vector_to_array
-
-    def slot(t: Column) -> Column:
-        h = F.md5(t.cast("binary"))
-        dim = F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % F.lit(num_features)
-        negative = F.conv(F.substring(h, 9, 1), 16, 10).cast("long") % F.lit(2)
-        return (dim + negative * F.lit(num_features)).cast("string")
-
-    slots = df.withColumn("_slots", F.coalesce(F.transform(tokens(F.col(text_col)), slot),
-                                               F.array().cast("array<string>")))
-    # one hashed pass over the slots of a row; positive halves first, negative ones after them
-    counter = CountVectorizerModel.from_vocabulary([str(i) for i in range(2 * num_features)], inputCol="_slots", outputCol="_tf")
-    sums = counter.transform(slots).withColumn("_tf", vector_to_array("_tf"))
-    sums = sums.withColumn("_sums", F.zip_with(F.slice("_tf", 1, num_features), F.slice("_tf", num_features + 1, num_features),
-                                               lambda p, n: p - n))
-    sums = sums.withColumn("_length", norm(F.col("_sums")))
-    vec = F.when(F.col("_length") != 0, F.transform("_sums", lambda x: x / F.col("_length"))).otherwise(F.col("_sums"))
-    return sums.withColumn(out_col, vec).drop("_slots", "_tf", "_sums", "_length")
+    ship_package(df.sparkSession)
+    return df.withColumn(out_col, hashed_slots(num_features)(F.coalesce(F.lower(F.col(text_col)), F.lit(""))))
 
 
 def udf_encoder(make_encoder, dim: int):
@@ -147,24 +163,52 @@ def _py_norm(v: list[float]) -> float:
     return math.sqrt(acc)
 
 
-def type_cosines(vec: Column, length: Column, types: list[tuple[str, int, list[float]]]) -> list[Column]:
-    """Cosine of ``vec``, whose norm is ``length``, with each type vector in type order; 0 for a vector of another length."""
-    out = []
-    for _, _, tv in types:
-        denom = length * F.lit(_py_norm(tv))
-        there = (F.size(vec) == F.lit(len(tv))) & (denom != 0)
-        out.append(F.when(there, dot(vec, F.array(*[F.lit(float(x)) for x in tv]).cast("array<double>")) / denom).otherwise(ZERO()))
+def type_scores(values: np.ndarray, null: np.ndarray, types: list[tuple[str, int, list[float]]]) -> np.ndarray:
+    """Cosines (types, rows) of vectors (rows, dim) with the type vectors, summed left to right; 0 for a null component or another length."""
+    columns = np.ascontiguousarray(values.T)
+    out = np.zeros((len(types), len(values)))
+
+    def fold(other) -> np.ndarray:
+        acc = np.zeros(len(values))
+        for x, y in zip(columns, other):
+            acc += x * y
+        return acc
+
+    with np.errstate(all="ignore"):
+        length = np.sqrt(fold(columns))
+        for i, (_, _, tv) in enumerate(types):
+            if len(tv) == len(columns):
+                denom = length * _py_norm(tv)
+                there = (denom != 0) & ~null
+                out[i, there] = (fold(tv) / np.where(denom == 0, 1.0, denom))[there]
     return out
 
 
 def nearest_type(class_vec: DataFrame, types: list[tuple[str, int, list[float]]]) -> DataFrame:
     """M6: (project_id, class_name, emb_type, emb_score): best cosine, first type wins ties."""
-    cos = type_cosines(F.col("vec"), F.col("_length"), types)
-    best = F.greatest(*[F.struct(c.alias("score"), F.lit(-o).alias("neg_ord"), F.lit(t).alias("type"))
-                        for c, (t, o, _) in zip(cos, types)])
-    # the norm once for all types
-    return (class_vec.select(PID, "class_name", "vec", norm(F.col("vec")).alias("_length"))
-            .select(PID, "class_name", best.alias("_best")).select(PID, "class_name", F.col("_best.type").alias("emb_type"), F.col("_best.score").alias("emb_score")))
+    types = sorted(types, key=lambda t: t[1])
+
+    def run(batches):
+        names = pa.array([t for t, _, _ in types])
+        for batch in batches:
+            vecs = batch.column(2)
+            sizes = vecs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = vecs.flatten()
+            values, nulls = flat.to_numpy(zero_copy_only=False), flat.is_null().to_numpy(zero_copy_only=False)
+            begin = np.cumsum(sizes) - sizes
+            scores = np.zeros((len(types), len(sizes)))
+            for dim in {len(tv) for _, _, tv in types}:
+                rows = np.flatnonzero(sizes == dim)
+                at = begin[rows, None] + np.arange(dim)
+                scores[:, rows] = type_scores(values[at], nulls[at].any(1), types)
+            # the first of equal scores; a NaN is above all others, as in Spark's order
+            best = scores.argmax(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names.take(pa.array(best)), pa.array(scores[best, np.arange(len(best))])],
+                                             names=[PID, "class_name", "emb_type", "emb_score"])
+
+    ship_package(class_vec.sparkSession)
+    rows = class_vec.select(PID, "class_name", F.col("vec").cast("array<double>").alias("vec"))
+    return rows.mapInArrow(run, f"{PID} {dict(rows.dtypes)[PID]}, class_name string, emb_type string, emb_score double")
 
 
 def pair_similarity(pairs: DataFrame, class_vec: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -175,6 +219,18 @@ def pair_similarity(pairs: DataFrame, class_vec: DataFrame, a: str = "src", b: s
             .select(PID, a, b, cosine(F.col("_va"), F.col("_vb")).alias("cosine")))
 
 
+def pair_similarity_by_id(pairs: DataFrame, class_ids: DataFrame, vectors: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
+    """M7 where classes name their vectors: class_ids (project_id, class_name, vec_id), vectors (vec_id, vec).
+
+    The rows of :func:`pair_similarity`, but the pairs find their classes by narrow rows and take the vectors last.
+    """
+    ia = class_ids.select(PID, F.col("class_name").alias(a), F.col("vec_id").alias("_ia"))
+    ib = class_ids.select(PID, F.col("class_name").alias(b), F.col("vec_id").alias("_ib"))
+    va, vb = (vectors.select(F.col("vec_id").alias(i), F.col("vec").alias(v)) for i, v in (("_ia", "_va"), ("_ib", "_vb")))
+    return (pairs.join(ia, [PID, a]).join(ib, [PID, b]).join(va, "_ia").join(vb, "_ib")
+            .select(PID, a, b, cosine(F.col("_va"), F.col("_vb")).alias("cosine")))
+
+
 # ------------------------------------------------------------------ M4
 def sign_tables(threshold: float, recall: float, bits: int) -> int:
     """Tables of ``bits`` sign bits, so that a pair at the threshold shares a bucket with probability ``recall``."""
@@ -198,6 +254,7 @@ def sign_keys(vectors: DataFrame, tables: int, bits: int, seed: int) -> DataFram
                 keys[rows.index] = pd.Series(list(side @ (1 << np.arange(bits))), index=rows.index)
             yield pdf.assign(keys=keys)
 
+    ship_package(vectors.sparkSession)
     names = ", ".join(f"{n} {t}" for n, t in vectors.dtypes)
     return vectors.mapInPandas(run, f"{names}, keys array<long>")
 
@@ -210,10 +267,17 @@ def similar_pairs(class_vec: DataFrame, threshold: float = 0.9, recall: float =
     b is a row of kind ``copy``. Rows of kind ``pair`` (a < b) are pairs of group names; their
     members are as similar. So nothing is lost, and equal vectors don't give all their pairs.
 
-    Candidates share a bucket of sign bits in some table: a pair of groups at the threshold is found with
+    A project of at most BLOCK classes is compared whole in a task and misses no pair. In a larger one,
+    candidates share a bucket of sign bits in some table: a pair of groups at the threshold is found with
     probability ``recall``, a closer one with more; the exact cosine decides. Candidates carry names
     only; the vectors join what is left after duplicates are dropped. Vectors that are null, empty or zero have no pairs.
     """
+    few, many = split_by_rows(class_vec, neighbours.BLOCK, "vec-large")
+    out = small_project_pairs(few, threshold)
+    return out if many is None else out.unionByName(large_similar_pairs(many, threshold, recall, bits, seed))
+
+
+def large_similar_pairs(class_vec: DataFrame, threshold: float, recall: float, bits: int, seed: int) -> DataFrame:
     groups, copies = vector_groups(class_vec)
     keyed = sign_keys(groups, sign_tables(threshold, recall, bits), bits, seed).select(
         PID, "a", F.size("vec").alias("dim"), F.posexplode("keys").alias("tbl", "bucket"))
