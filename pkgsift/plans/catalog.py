@@ -354,8 +354,8 @@ def m6(spark, sf_dir):
 @register("M7")
 def m7(spark, sf_dir):
     cls = classes_table(spark, sf_dir, GRAPH_COLUMNS)
-    cv, _ = vector_inputs(spark, sf_dir, cls)
-    return V.pair_similarity(G.edges(cls), cv)
+    emb = read_table(spark, sf_dir, "embeddings")
+    return V.pair_similarity_by_id(G.edges(cls), corpus.class_vector_ids(cls, emb), corpus.vectors_by_id(emb))
 
 
 # ------------------------------------------------------------------ O

@@ -121,17 +121,25 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat(root, F.lit("/"), mid, F.col("relative_path")).alias("path"))
 
 
-def class_vectors(classes: DataFrame, embeddings: DataFrame) -> DataFrame:
-    """class_vec(project_id, class_name, vec): the given vector of the last row of a name.
+def class_vector_ids(classes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """(project_id, class_name, vec_id): the id of the vector of the last row of a name.
 
     The vector id of a row is its file's order key modulo the number of vectors in the table.
     """
     last = (classes.groupBy("project_id", "class_name")
             .agg(F.max_by(file_key(F.col("relative_path")),
                           F.struct("relative_path", "class_pos")).alias("k")))
-    emb = embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
     count = max(1, embeddings.count())
-    return (last.join(emb, (last["k"] % count) == emb["vec_id"], "inner")
+    return last.select("project_id", "class_name", (F.col("k") % count).alias("vec_id"))
+
+
+def vectors_by_id(embeddings: DataFrame) -> DataFrame:
+    return embeddings.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def class_vectors(classes: DataFrame, embeddings: DataFrame) -> DataFrame:
+    """class_vec(project_id, class_name, vec): the given vector of the last row of a name."""
+    return (class_vector_ids(classes, embeddings).join(vectors_by_id(embeddings), "vec_id")
             .select("project_id", "class_name", "vec"))
 
 
