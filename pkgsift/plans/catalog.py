@@ -465,7 +465,7 @@ def layout_prefix(rel):
 
 
 def source_tree(spark, sf_dir):
-    """The generated corpus written as a real file tree (once per session and scale)."""
+    """The generated corpus written as a real file tree, in archives (once per session and scale)."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _TREES:
         root = scratch_path(spark, "java-tree")
@@ -473,7 +473,7 @@ def source_tree(spark, sf_dir):
         k = F.regexp_extract("relative_path", r"F(\d+)\.java$", 1).cast("long")
         bad = F.when(k % 29 == 0, F.unhex(F.lit("FF"))).otherwise(F.unhex(F.lit("")))
         files = _files(spark, sf_dir).withColumn("content", F.concat(F.col("content").cast("binary"), bad))
-        FS.write_source_tree(files, root, layout_prefix(F.col("relative_path")))
+        FS.write_source_archives(files, root, layout_prefix(F.col("relative_path")))
         _TREES[key] = root
     return _TREES[key]
 
@@ -481,7 +481,7 @@ def source_tree(spark, sf_dir):
 @register("S1")
 def s1(spark, sf_dir):
     root = source_tree(spark, sf_dir)
-    lst = FS.with_project(FS.scan_sources(spark, root).select("path", "length"), root, numeric=True)
+    lst = FS.with_project(FS.scan_sources(spark, root, content=False).select("path", "length"), root, numeric=True)
     return lst.select("project_id", FS.relative_path(F.col("path"), F.col("root")).alias("relative_path"),
                       "length")
 

@@ -9,6 +9,9 @@
 * S5: unreadable / vanished files are skipped (``ignoreCorruptFiles`` /
   ``ignoreMissingFiles``); decoding is null-safe.
 * S6: files per project without pruning.
+* Archives: ``*-sources.jar`` files (zip) hold many source files below their own folder, as if they were unpacked
+  there; their members are read in the tasks. A tree of many small files goes through Spark's listing
+  in the driver and takes a block per file and folder; the same tree in archives takes neither.
 
 Projects are the first-level folders of the scanned root: one scan covers
 a whole corpus. Their ids are numbers if all folder names are, else strings; with
@@ -17,26 +20,89 @@ a whole corpus. Their ids are numbers if all folder names are, else strings; wit
 
 from __future__ import annotations
 
+import io
 import os
+import zipfile
+import zlib
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.text import str_array
+from ..session import ship_package
 
 PID = "project_id"
+ARCHIVE_SUFFIX = "-sources.jar"
+#: Bytes of text that an archive written here holds; bytes and members of a batch read from archives.
+ARCHIVE_BYTES, BATCH_BYTES, BATCH_MEMBERS = 16 << 20, 8 << 20, 5000
 
 
-def scan_sources(spark: SparkSession, root: str) -> DataFrame:
-    """S1 + S5: (path, length, content binary) of every ``*.java`` file below ``root``."""
-    return (spark.read.format("binaryFile")
-            .option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*" + C.SOURCE_SUFFIX)
-            .option("ignoreCorruptFiles", "true")
-            .option("ignoreMissingFiles", "true")
-            .load(root)
-            .select("path", "length", "content"))
+def scan_sources(spark: SparkSession, root: str, content: bool = True) -> DataFrame:
+    """S1 + S5: (path, length, content binary) of every ``*.java`` file below ``root``, those in archives included.
+
+    Without ``content`` the column is null for members of archives, which are then listed only.
+    """
+    def files(glob: str) -> DataFrame:
+        return (spark.read.format("binaryFile")
+                .option("recursiveFileLookup", "true")
+                .option("pathGlobFilter", glob)
+                .option("ignoreCorruptFiles", "true")
+                .option("ignoreMissingFiles", "true")
+                .load(root)
+                .select("path", "length", "content"))
+
+    return files("*" + C.SOURCE_SUFFIX).unionByName(archive_members(files("*" + ARCHIVE_SUFFIX), content))
+
+
+def _listed(member: str) -> bool:
+    """Whether Spark would list the file: no hidden name on its way."""
+    parts = member.split("/")
+    return parts[-1].endswith(C.SOURCE_SUFFIX) and not any(
+        p.startswith(".") or (p.startswith("_") and "=" not in p) or p.endswith("._COPYING_") for p in parts)
+
+
+def archive_members(archives: DataFrame, content: bool = True) -> DataFrame:
+    """(path, length, content) of the source files in the archives (path, content).
+
+    A member that can't be read is listed, but has no row with content; a file that is no archive has no members.
+    """
+    ship_package(archives.sparkSession)
+    names = ["path", "length", "content"]
+    kinds = [pa.string(), pa.int64(), pa.binary()]
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+    def run(batches):
+        out, held = [], 0
+        for batch in batches:
+            for path, body in zip(batch.column(0), batch.column(1)):
+                folder = path.as_py().rsplit("/", 1)[0]
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(body.as_py()))
+                except zipfile.BadZipFile:
+                    continue
+                for info in archive.infolist():
+                    if not _listed(info.filename):
+                        continue
+                    text = None
+                    if content:
+                        try:
+                            text = archive.read(info)
+                        except (zipfile.BadZipFile, zlib.error, NotImplementedError, RuntimeError, EOFError):
+                            continue
+                    out.append((folder + "/" + info.filename, info.file_size, text))
+                    held += info.file_size if content else 0
+                    if held > BATCH_BYTES or len(out) >= BATCH_MEMBERS:
+                        yield packed(out)
+                        out, held = [], 0
+        if out:
+            yield packed(out)
+
+    return archives.select("path", "content").mapInArrow(run, "path string, length long, content binary")
 
 
 def _root_uri(spark: SparkSession, root: str) -> str:
@@ -93,7 +159,7 @@ def bad_files(spark: SparkSession, root: str, project: str | None = None, numeri
     ``unreadable``: listed, but reading gave an error (such a file is left out of the scan). ``invalid UTF-8``: read, with
     the bad bytes dropped. Pruned folders are reported, too. The listing opens no file; paths only are shuffled.
     """
-    listed = scan_sources(spark, root).select("path")
+    listed = scan_sources(spark, root, content=False).select("path")
     read = scan_sources(spark, root).select("path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
     bad = listed.join(read, "path", "left").where(~F.coalesce("valid", F.lit(False)))
     named = with_project(bad, root, project, numeric)
@@ -103,7 +169,7 @@ def bad_files(spark: SparkSession, root: str, project: str | None = None, numeri
 
 def source_file_counts(spark: SparkSession, root: str, project: str | None = None, numeric: bool = False) -> DataFrame:
     """``*.java`` files per project, before pruning (no content is read)."""
-    listing = with_project(scan_sources(spark, root).select("path"), root, project, numeric)
+    listing = with_project(scan_sources(spark, root, content=False).select("path"), root, project, numeric)
     return listing.groupBy(PID).agg(F.count(F.lit(1)).alias("java_files"))
 
 
@@ -144,3 +210,42 @@ def write_source_tree(java_files: DataFrame, root: str, layout: Column | None =
 
     rows.foreachPartition(write_part)
     return root
+
+
+def write_source_archives(java_files: DataFrame, root: str, layout: Column | None = None) -> str:
+    """The files of :func:`write_source_tree` as members of archives of about ARCHIVE_BYTES of text each.
+
+    Distributed: each task writes the archives of its own partition, under names that a repeated attempt writes
+    again. Of rows with one path a single one is kept.
+    """
+    mid = layout if layout is not None else F.lit("")
+    local_root = local_path(root).rstrip("/")
+    rows = java_files.select(F.concat(F.col(PID).cast("string"), F.lit("/"), mid, F.col("relative_path")).alias("target"),
+                             F.col("content").cast("binary").alias("content"))
+
+    def write_archive(name: str, members: list[tuple[str, bytes]]) -> None:
+        os.makedirs(local_root, exist_ok=True)
+        part = f"{local_root}/.{name}.{TaskContext.get().taskAttemptId()}"
+        with zipfile.ZipFile(part, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            for target, body in members:
+                z.writestr(zipfile.ZipInfo(target), body, zipfile.ZIP_DEFLATED, 1)
+        os.replace(part, f"{local_root}/{name}")
+
+    def write_part(it):
+        members, held, seq = [], 0, 0
+        name = lambda: f"part-{TaskContext.get().partitionId():05d}-{seq:05d}{ARCHIVE_SUFFIX}"
+        for r in it:
+            if members and members[-1][0] == r["target"]:
+                held -= len(members.pop()[1])
+            elif held > ARCHIVE_BYTES:
+                write_archive(name(), members)
+                members, held, seq = [], 0, seq + 1
+            members.append((r["target"], bytes(r["content"])))
+            held += len(members[-1][1])
+        if members:
+            write_archive(name(), members)
+
+    ship_package(java_files.sparkSession)
+    rows.repartition("target").sortWithinPartitions("target", "content").foreachPartition(write_part)
+    os.makedirs(local_root, exist_ok=True)  # an empty table gives an empty tree
+    return root

@@ -1,6 +1,6 @@
 """Incremental class extraction with Structured Streaming.
 
-New ``*.java`` files arriving below a corpus root are picked up by the file
+New ``*.java`` files and source archives arriving below a corpus root are picked up by the file
 stream source (``binaryFile`` format), pruned, decoded and exploded into
 class rows exactly like the batch path (E11), and appended to a Parquet
 table. The query keeps its progress in a checkpoint location, so a restarted
@@ -27,12 +27,16 @@ def class_stream(spark: SparkSession, root: str, max_files_per_trigger: int | No
 
     project_id is the folder's name; ``numeric_projects`` makes it a bigint where all names are numbers.
     """
-    reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-              .option("recursiveFileLookup", "true")
-              .option("pathGlobFilter", "*" + C.SOURCE_SUFFIX))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    listing = FS.with_project(reader.load(root).select("path", "content"), root, numeric=numeric_projects)
+    def files(glob: str) -> DataFrame:
+        reader = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
+                  .option("recursiveFileLookup", "true")
+                  .option("pathGlobFilter", glob))
+        if max_files_per_trigger:
+            reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+        return reader.load(root).select("path", "content")
+
+    members = FS.archive_members(files("*" + FS.ARCHIVE_SUFFIX)).select("path", "content")
+    listing = FS.with_project(files("*" + C.SOURCE_SUFFIX).unionByName(members), root, numeric=numeric_projects)
     rel = FS.relative_path(F.col("path"), F.col("root"))
     java_files = (listing.select("*", rel.alias("relative_path"))
                   .where(FS.keep_unpruned(F.col("relative_path")))
