@@ -29,7 +29,7 @@ def rules_table(spark: SparkSession) -> DataFrame:
 
 
 def _any_contains(text: Column, needles: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.instr(text, F.lit(n)) > 0 for n in needles])
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 
 
 def pattern_part(lname: Column, rules: dict, start: Column | None = None) -> Column:
@@ -50,7 +50,12 @@ def keyword_part(lname: Column, rules: dict, start: Column | None = None) -> Col
 
 def method_part(methods: Column, rules: dict) -> Column:
     """min(0.1 x methods containing a rule method, 0.3); methods are lower-cased."""
-    n = F.size(F.filter(methods, lambda m: _any_contains(F.lower(m), rules["methods"])))
+    return lowered_method_part(F.transform(methods, F.lower), rules)
+
+
+def lowered_method_part(lmethods: Column, rules: dict) -> Column:
+    """R4 for methods in lower case."""
+    n = F.size(F.filter(lmethods, lambda m: _any_contains(m, rules["methods"])))
     return F.least(n.cast("double") * D(C.METHOD_WEIGHT), D(C.METHOD_CAP))
 
 
@@ -60,20 +65,21 @@ def annotation_part(annotations: Column, rules: dict) -> Column:
     return F.least(n.cast("double") * D(C.ANNOTATION_WEIGHT), D(C.ANNOTATION_CAP))
 
 
-def type_score(name: Column, methods: Column, annotations: Column, rules: dict) -> Column:
-    """R2-R5 for one type as one left-to-right sum, capped at 1.0."""
-    lname = F.lower(name)
+def type_score(lname: Column, lmethods: Column, annotations: Column, rules: dict) -> Column:
+    """R2-R5 for one type as one left-to-right sum, capped at 1.0; name and methods in lower case."""
     score = keyword_part(lname, rules, pattern_part(lname, rules))
-    score = score + method_part(methods, rules)
+    score = score + lowered_method_part(lmethods, rules)
     score = score + annotation_part(annotations, rules)
     return F.least(score, D(C.RULE_CAP))
 
 
 def score_columns(df: DataFrame, prefix: str = "score_") -> DataFrame:
     """Adds one score column per type (score_model, score_service, ...)."""
-    cols = [type_score(F.col("class_name"), F.col("methods"), F.col("annotations"), r)
+    # lower case once for all types
+    rows = df.select("*", F.lower("class_name").alias("_lname"), F.transform("methods", F.lower).alias("_lmethods"))
+    cols = [type_score(F.col("_lname"), F.col("_lmethods"), F.col("annotations"), r)
             .alias(prefix + t) for t, r in C.PLACEMENT_RULES]
-    return df.select("*", *cols)
+    return rows.select("*", *cols).drop("_lname", "_lmethods")
 
 
 def best_type(prefix: str = "score_") -> Column:
