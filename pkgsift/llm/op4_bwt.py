@@ -23,7 +23,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import passages as P
@@ -38,6 +38,8 @@ HOT, SHARD_BYTES = 4000, 3 << 20
 WIDTH = 16
 #: Bytes of a text that are hashed at once; longer texts go in overlapping parts.
 PART = 1 << 19
+#: New shards of a too large one, for each SHARD_BYTES of its cut-outs, in the first and the second try; spans that a task merges at once.
+SPREAD, FLUSH = (6, 60), 50_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -223,20 +225,53 @@ class SettledPlaces(P.Settled):
         return [] if old is not None and old[1:3] == (doc, start) else super().add(shard, doc, start, size, body)
 
 
+def split_pass(length: int, shards: int):
+    """Cut-outs of too large shards -> the surroundings of their anchors, dealt to the ``parts`` shards from ``first_part``.
+
+    Equal windows have equal anchors, so they meet again; neighbouring anchors of one new shard stay one cut-out.
+    """
+
+    def run(batches):
+        settled, gram = SettledPlaces(earlier_only=False, shards=shards), min(GRAM, length)
+        for batch in batches:
+            docs, starts, first, parts = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "first_part", "parts"))
+            for piece, data, offs in slices(batch, "body"):
+                grams, spots, cuts = text_anchors(data, offs, length)
+                raw, out = data.tobytes(), []
+                for i, (lo, hi) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                    own = slice(cuts[i], cuts[i + 1])
+                    to = first[i] + ((grams[own] >> U64(1)) % U64(parts[i])).astype(np.int64)
+                    for shard, a, b in P.intervals((to, spots[own], np.zeros(len(to), bool)), gram, length, 1, hi - lo, shards, None):
+                        out += settled.add(shard, docs[i], starts[i] + a, b - a, raw[lo + a:lo + b])
+                if out:
+                    yield P.segment_table(out)
+                docs, starts, first, parts = (c[piece.num_rows:] for c in (docs, starts, first, parts))
+
+    return run
+
+
 def window_pass(length: int, base: int, shards: int):
-    """Cut-outs of too large shards -> their single windows, as digests of 128 bits that also name the shard; equal ones of a task are settled."""
+    """Cut-outs of too large shards -> their single windows, as digests of 128 bits that also name the shard; equal ones of a task are settled.
+
+    The settled windows of a document that touch are one row.
+    """
 
     def run(batches):
         settled = SettledPlaces(earlier_only=False, shards=shards)
         for batch in batches:
-            out = []
+            out, spans = [], {}
             for doc, start, size, body in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "start", "size", "body"))):
                 for a in range(size - length + 1):
                     window = hashlib.blake2b(body[a:a + length], digest_size=16).digest()
-                    out += settled.add(base + int.from_bytes(window[:8]) % shards, doc, start + a, length, window)
+                    for row in settled.add(base + int.from_bytes(window[:8]) % shards, doc, start + a, length, window):
+                        if row[4] is None:
+                            spans.setdefault(row[1], []).append((row[2], row[2] + length))
+                        else:
+                            out.append(row)
                 if len(out) > 20_000:
                     yield P.segment_table(out)
                     out = []
+            out += [(doc % shards, doc, a, b - a, None) for doc, found in spans.items() for a, b in P.merged(found)]
             if out:
                 yield P.segment_table(out)
 
@@ -246,29 +281,57 @@ def window_pass(length: int, base: int, shards: int):
 def bounded(segments: DataFrame, length: int, shards: int, shard_bytes: int) -> DataFrame:
     """The segments, so that no shard has more than about ``shard_bytes`` of distinct cut-outs.
 
-    A larger shard (its cut-outs share a core, but differ around it) is dealt anew, window by window;
-    there a repeated window is one whose digest occurs twice.
+    A larger shard (near copies, or cut-outs that share a core and differ around it) is dealt anew by the anchors in its
+    cut-outs; what is still too large then, by single anchors; and the rest (one hot anchor) window by window,
+    where a repeated window is one whose digest occurs twice. Each shard has new ones of its own, as the
+    cut-outs of one document are disjoint within a shard only.
     """
-    sizes = (segments.where("body is not null").groupBy("shard", F.xxhash64("body").alias("h")).agg(F.max("size").alias("size"))
-             .groupBy("shard").agg(F.sum("size").alias("bytes")))
-    large = materialize(sizes.where(F.col("bytes") > shard_bytes), "large")
-    total = large.agg(F.sum("bytes")).first()[0]
-    if total is None:
-        return segments
-    again = segments.where("body is not null").join(large, "shard", "left_semi")
-    windows = again.mapInArrow(window_pass(length, shards, parts_for(segments.sparkSession, total * WIDTH, shard_bytes)), P.SEGMENTS)
-    # settled cut-outs have no body and stay
-    return segments.join(large.withColumn("body_there", F.lit(True)), "shard", "left").where("body_there is null or body is null").drop("bytes", "body_there").unionByName(windows)
+    done = []
+    for spread in (*SPREAD, 0):
+        sizes = (segments.where("body is not null").groupBy("shard", F.xxhash64("body").alias("h")).agg(F.max("size").alias("size"))
+                 .groupBy("shard").agg(F.sum("size").alias("bytes")))
+        parts = F.ceil(F.col("bytes") * F.lit(spread) / F.lit(shard_bytes)).cast("int")
+        # one row for each shard above the bound, so the running sum is over few
+        first = F.lit(shards) + F.sum("parts").over(Window.orderBy("shard")) - F.col("parts")
+        large = materialize(sizes.where(F.col("bytes") > shard_bytes).withColumn("parts", parts).withColumn("first_part", first.cast("int")), "large")
+        total, more = large.agg(F.sum("bytes"), F.sum("parts")).first()
+        if total is None:
+            break
+        again = segments.where("body is not null").join(large.drop("bytes"), "shard")
+        # settled cut-outs have no body and stay
+        done.append(segments.join(large.select("shard", F.lit(True).alias("body_there")), "shard", "left").where("body_there is null or body is null").drop("body_there"))
+        if spread:
+            segments, shards = materialize(again.mapInArrow(split_pass(length, shards), P.SEGMENTS), "segments"), shards + more
+        else:
+            segments = again.mapInArrow(window_pass(length, shards, parts_for(again.sparkSession, total * WIDTH, shard_bytes)), P.SEGMENTS)
+    for part in done:
+        segments = segments.unionByName(part)
+    return segments
+
+
+def merged_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """The union of the spans of each document, as rows."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    # ends grow within a document if each is at least the one before; ranks keep documents apart
+    new = np.ones(len(doc), bool)
+    new[1:] = doc[1:] != doc[:-1]
+    shift = np.cumsum(new) * (int(end.max(initial=0)) + 1)
+    far = np.maximum.accumulate(end + shift)
+    new[1:] |= start[1:] + shift[1:] > far[:-1]
+    last = np.append(new[1:], True)[:len(doc)]
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (doc[new], start[new], (far - shift)[last])], names=["doc_id", "start", "end"])
 
 
 def match_pass(length: int):
-    """Segments in shard order -> doc_id, start, end of the repeated spans.
+    """Segments in shard order -> doc_id, start, end of the repeated spans, merged over the shards of a task.
 
     Of equal bodies one enters the transform; all of them are repeated whole. A body shorter than its
     cut-out is the digest of a single window and has no others in it.
     """
 
     def run(batches):
+        found = []
         for t in runs(batches, 1):
             place: dict[bytes, int] = {}
             doc, start, size = (t.column(c).to_numpy() for c in ("doc_id", "start", "size"))
@@ -286,13 +349,17 @@ def match_pass(length: int):
                     else:
                         row.append(i)
             whole &= size >= length
-            found = [(doc[whole], start[whole].astype(np.int64), start[whole].astype(np.int64) + size[whole])]
+            found.append((doc[whole], start[whole].astype(np.int64), start[whole].astype(np.int64) + size[whole]))
             texts = [(body, i) for body, i in zip(place, row) if len(body) == size[i] and len(body) >= length]
             if texts:
                 body, a, b = body_spans([x[0] for x in texts], length)
                 seg = np.array([x[1] for x in texts])[body]
                 found.append((doc[seg], a + start[seg], b + start[seg]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], names=["doc_id", "start", "end"])
+            if sum(len(c[0]) for c in found) > FLUSH:
+                yield merged_spans(*map(np.concatenate, zip(*found)))
+                found = []
+        if found:
+            yield merged_spans(*map(np.concatenate, zip(*found)))
 
     return run
 

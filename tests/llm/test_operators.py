@@ -174,6 +174,37 @@ def test_op4_no_shard_outgrows_its_bound(spark, monkeypatch, sharers, hot, shard
             assert got[d] == (at[-1] + 200 - at[0], 1) and len(at) == at[-1] - at[0] + 1
 
 
+def test_op4_near_copies_give_no_row_per_window(spark, monkeypatch):
+    """Near copies in shards beyond the bound are dealt by anchors: few rows for each text, the result of brute force."""
+    ship_package(spark)
+    monkeypatch.setattr(op4_bwt, "SHARD_BYTES", 1 << 15)
+    r, rows = random.Random(5), {}
+    base = [f"w{i * 7919 % 1000}" for i in range(300)]
+    for d in range(150):
+        text = list(base)
+        for i in r.sample(range(len(text)), 3):
+            text[i] = f"x{r.random()}"
+        rows[d] = " ".join(text)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(6)
+    *_, segments = op4_bwt.shard_segments(df, 200)
+    spans = passages.dealt(segments).mapInArrow(op4_bwt.match_pass(200), "doc_id long, start long, end long")
+    assert segments.count() <= 100 * len(rows) and spans.count() <= 30 * len(rows)
+    assert segments.where("body is not null").select("shard", "body").distinct().groupBy("shard").agg(F.sum(F.length("body")).alias("b")).agg(F.max("b")).first()[0] <= 2 << 15
+    count = Counter(t[i:i + 200] for t in rows.values() for i in range(len(t) - 199))
+    got = {r.doc_id: r.n_removed for r in op4_bwt.op4_bwt(df).collect()}
+    for d, t in rows.items():
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            gone[i:i + 200] |= count[t[i:i + 200]] > 1
+        assert got[d] == gone.sum()
+
+
+def test_op4_merges_spans_by_document():
+    got = op4_bwt.merged_spans(np.array([2, 1, 1, 1, 2]), np.array([5, 10, 0, 4, 300]), np.array([9, 12, 4, 6, 301])).to_pydict()
+    assert list(zip(*got.values())) == [(1, 0, 6), (1, 10, 12), (2, 5, 9), (2, 300, 301)]
+    assert op4_bwt.merged_spans(*[np.zeros(0, np.int64)] * 3).num_rows == 0
+
+
 def test_op9_matches_brute_force(docs, empty, hot):
     rows = sorted({(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id is not None})
     seen, want = set(), {}
