@@ -28,7 +28,7 @@ def cap_ws_runs(col: Column) -> Column:
     cubic on long blank runs in a backtracking engine. Three blanks keep every
     match (a match needs at most three separators) and make the scan linear.
     """
-    return F.regexp_replace(col, r"\s{4,}", "   ")
+    return F.regexp_replace(col, r"\s\s\s\s++", "   ")
 
 
 def str_array(values) -> Column:

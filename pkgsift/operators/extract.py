@@ -7,6 +7,8 @@ right after the projection, so no shuffle ever carries file text.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,15 +29,22 @@ def package_of(content):
 
 def imports_of(content):
     """All imported names (static and wildcard imports do not match)."""
-    return rx_all(content, C.IMPORT_RX)
+    return rx_all(content, IMPORT_SCAN_RX)
+
 
+# The scans below give the matches of the full patterns with less work at each
+# place of the text: a place is left at its first letter unless a keyword can
+# start there, a quantifier whose characters can't start what follows is possessive,
+# and the class of type characters and whitespace is listed (one lookup, no ranges).
+_TYPE_CHARS = "[" + string.ascii_letters + string.digits + r"_<>\[\], \t\n\x0B\f\r]"
+IMPORT_SCAN_RX = r"import\s++([\w.]++)\s*+;"
 
 # The optional visibility / modifier prefixes of the class pattern never change
 # which names are captured (a prefix only moves a match's start to the left
 # of the keyword it must be followed by, and no prefix word contains a
 # keyword), so the scan uses the pattern without them: same captures, far
 # less backtracking. The oracle runs the full pattern on every fixture file.
-CLASS_SCAN_RX = r"(?:class|interface|enum)\s+([A-Za-z_][A-Za-z0-9_]*)"
+CLASS_SCAN_RX = r"[cie](?:(?<=c)lass|(?<=i)nterface|(?<=e)num)\s++([A-Za-z_]\w*+)"
 
 
 def class_names_of(content):
@@ -50,10 +59,8 @@ def class_names_of(content):
 # visibility word. Dropping the groups keeps every match, its start, end and
 # capture, and removes a 4-way backtracking fan-out. The oracle and the
 # property test run the full patterns.
-METHOD_SCAN_RX = (r"(?:public|private|protected)\s+[A-Za-z0-9_<>\[\],\s]+\s+"
-                  r"([A-Za-z_][A-Za-z0-9_]*)\s*\([^)]*\)")
-FIELD_SCAN_RX = (r"(?:public|private|protected)\s+[A-Za-z0-9_<>\[\],\s]+\s+"
-                 r"([A-Za-z_][A-Za-z0-9_]*)\s*[;=]")
+METHOD_SCAN_RX = r"p(?:ublic|rivate|rotected)\s+" + _TYPE_CHARS + r"+\s++([A-Za-z_]\w*+)\s*+\([^)]*+\)"
+FIELD_SCAN_RX = r"p(?:ublic|rivate|rotected)\s+" + _TYPE_CHARS + r"+\s++([A-Za-z_]\w*+)\s*+[;=]"
 
 
 def methods_of(content):
@@ -87,8 +94,8 @@ def implements_of(content):
 def class_types_of(content, names):
     """Per name: 'interface ' + name in text -> interface, then enum, else class."""
     return F.transform(names, lambda n: (
-        F.when(F.instr(content, F.concat(F.lit("interface "), n)) > 0, F.lit("interface"))
-        .when(F.instr(content, F.concat(F.lit("enum "), n)) > 0, F.lit("enum"))
+        F.when(F.contains(content, F.concat(F.lit("interface "), n)), F.lit("interface"))
+        .when(F.contains(content, F.concat(F.lit("enum "), n)), F.lit("enum"))
         .otherwise(F.lit("class"))))
 
 
