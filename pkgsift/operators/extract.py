@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.text import cap_ws_runs, rx_all, rx_first, str_array, strip_ws
+from ..functions.text import rx_all, rx_first, str_array, strip_ws
 
 CLASS_COLUMNS = [
     "project_id", "class_pos", "class_name", "package", "file_path", "relative_path",
@@ -44,12 +44,18 @@ IMPORT_SCAN_RX = r"import\s++([\w.]++)\s*+;"
 # of the keyword it must be followed by, and no prefix word contains a
 # keyword), so the scan uses the pattern without them: same captures, far
 # less backtracking. The oracle runs the full pattern on every fixture file.
-CLASS_SCAN_RX = r"[cie](?:(?<=c)lass|(?<=i)nterface|(?<=e)num)\s++([A-Za-z_]\w*+)"
+_NAME = r"([A-Za-z_]\w*+)"
+CLASS_SCAN_RX = r"[cie](?:(?<=c)lass|(?<=i)nterface|(?<=e)num)\s++" + _NAME
 
 
 def class_names_of(content):
-    """Every class / interface / enum name match, comments included."""
-    return rx_all(content, CLASS_SCAN_RX)
+    """Every class / interface / enum name match, comments included.
+
+    A search for one word skips through the text, a choice of words looks at every place. So texts
+    without the two rarer words are scanned for the first alone.
+    """
+    return (F.when(content.rlike("interface") | content.rlike("enum"), rx_all(content, CLASS_SCAN_RX))
+            .otherwise(rx_all(content, r"class\s++" + _NAME)))
 
 
 # In the method and field patterns the optional 'static ' / 'final ' groups
@@ -59,19 +65,35 @@ def class_names_of(content):
 # visibility word. Dropping the groups keeps every match, its start, end and
 # capture, and removes a 4-way backtracking fan-out. The oracle and the
 # property test run the full patterns.
-METHOD_SCAN_RX = r"p(?:ublic|rivate|rotected)\s+" + _TYPE_CHARS + r"+\s++([A-Za-z_]\w*+)\s*+\([^)]*+\)"
-FIELD_SCAN_RX = r"p(?:ublic|rivate|rotected)\s+" + _TYPE_CHARS + r"+\s++([A-Za-z_]\w*+)\s*+[;=]"
+# All from the visibility word to that sign is type characters and whitespace, so
+# a run of them that ends otherwise is left at once; and as whitespace is among
+# them, one whitespace character each after the visibility word and before the
+# name is enough, which leaves no nested quantifiers (linear on long blank runs).
+def _member_rx(word: str, end: str) -> str:
+    return word + r"\s(?=" + _TYPE_CHARS + "++" + end + ")" + _TYPE_CHARS + r"+\s" + _NAME + r"\s*+" + end
+
+
+_VISIBILITY = r"p(?:ublic|rivate|rotected)"
+METHOD_SCAN_RX = _member_rx(_VISIBILITY, r"\(") + r"[^)]*+\)"
+FIELD_SCAN_RX = _member_rx(_VISIBILITY, "[;=]")
+
+
+def _members(content, usual: str, others: tuple[str, str], end: str, tail: str = ""):
+    """Member names: a scan for the usual visibility word alone where no other word can start a match."""
+    possible = [content.rlike(w + r"\s" + _TYPE_CHARS + "++" + end) for w in others]
+    return (F.when(possible[0] | possible[1], rx_all(content, _member_rx(_VISIBILITY, end) + tail))
+            .otherwise(rx_all(content, _member_rx(usual, end) + tail)))
 
 
 def methods_of(content):
     """Method names (visibility + type + name + parameter list)."""
-    return rx_all(cap_ws_runs(content), METHOD_SCAN_RX)
+    return _members(content, "public", ("private", "protected"), r"\(", r"[^)]*+\)")
 
 
 def fields_of(content):
     """E5: field names, Java keywords removed."""
     kw = str_array(C.JAVA_KEYWORDS)
-    return F.filter(rx_all(cap_ws_runs(content), FIELD_SCAN_RX), lambda x: ~F.array_contains(kw, x))
+    return F.filter(_members(content, "private", ("public", "protected"), "[;=]"), lambda x: ~F.array_contains(kw, x))
 
 
 def annotations_of(content):
@@ -86,9 +108,10 @@ def extends_of(content):
 
 def implements_of(content):
     """First implements clause split on commas and stripped; [] if none."""
-    cap = rx_first(content, C.IMPLEMENTS_RX)
-    return (F.when(cap == "", F.array().cast("array<string>"))
-            .otherwise(F.transform(F.split(cap, ",", -1), strip_ws)))
+    # the capture stands in one place, so the scan runs once
+    found = F.filter(F.array(rx_first(content, C.IMPLEMENTS_RX)), lambda cap: cap != "")
+    parts = F.flatten(F.transform(found, lambda cap: F.transform(F.split(cap, ",", -1), strip_ws)))
+    return F.when(content.isNotNull(), parts)
 
 
 def class_types_of(content, names):
@@ -129,8 +152,11 @@ def file_features(java_files: DataFrame) -> DataFrame:
 def classes_from_files(java_files: DataFrame) -> DataFrame:
     """The class table, one row per class match (files without a match give none)."""
     feats = file_features(java_files)
+    # Of a plain column that is exploded, Spark infers the filter "not empty" and pushes it below the
+    # projections, where it runs the class scan twice more for each file; not so of an expression.
+    names = F.coalesce(F.col("class_names"), F.array().cast("array<string>"))
     exploded = feats.select(
-        "*", F.posexplode("class_names").alias("class_pos", "class_name"))
+        "*", F.posexplode(names).alias("class_pos", "class_name"))
     return exploded.select(
         "project_id", F.col("class_pos").cast("int").alias("class_pos"), "class_name", "package",
         "file_path", "relative_path", "imports", "methods", "fields", "annotations", "extends",
