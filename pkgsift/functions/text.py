@@ -42,7 +42,7 @@ def pick(values, idx: Column) -> Column:
 
 def last_segment(col: Column) -> Column:
     """'a.b.C' -> 'C' (text after the last dot; '' after a trailing dot)."""
-    return F.element_at(F.split(col, r"\.", -1), -1)
+    return F.substring_index(col, ".", -1)
 
 
 def join_list(col: Column, sep: str = "|") -> Column:

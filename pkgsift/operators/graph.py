@@ -2,9 +2,9 @@
 
 Keys always include ``project_id``; the class key inside a project is the
 simple name (two classes with one name are one node). Shuffles are keyed on
-(project_id, class name). Edge candidates are de-duplicated with a partial
-(map-side) aggregation *before* they meet the name table, so a hub name that
-occurs in a third of all rows reaches the join as one row per distinct edge.
+(project_id, class name). Edge candidates meet the name table before they are
+de-duplicated: one shuffle of the candidates, whose side of the join AQE can split
+where a target name is hot, and an aggregation of the few that are edges.
 Counting operators pre-aggregate duplicate class rows into a weight ``n``
 instead of joining every row with every edge.
 """
@@ -35,9 +35,13 @@ def known_names(classes: DataFrame) -> DataFrame:
 
 
 def _resolve(candidates: DataFrame, classes: DataFrame) -> DataFrame:
-    """Keep distinct candidate edges whose target is a known class name."""
+    """Keep distinct candidate edges whose target is a known class name.
+
+    Most targets are no class of the project, and only rows of one name repeat an edge. So the
+    candidates meet the names first, in one shuffle, and only those found are made distinct.
+    """
     names = known_names(classes).withColumnRenamed("class_name", "dst")
-    return candidates.distinct().join(names, [PID, "dst"], "left_semi").select(PID, "src", "dst")
+    return candidates.join(names, [PID, "dst"], "left_semi").select(PID, "src", "dst").distinct()
 
 
 def _import_candidates(classes: DataFrame) -> DataFrame:

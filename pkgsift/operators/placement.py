@@ -32,7 +32,8 @@ def embedding_scores(class_vec: DataFrame, types) -> DataFrame:
 
 def scored_rows(classes: DataFrame, edge_df: DataFrame | None, emb: DataFrame | None) -> DataFrame:
     """R2-R10 per class row: rule, embedding and dependency scores, total, types."""
-    rows = RU.with_rule_scores(classes)
+    # the package's type before the joins, so that they don't carry the package for it
+    rows = RU.with_rule_scores(classes).withColumn("current_type", RU.package_type(F.col("package")))
     if edge_df is not None:
         rows = rows.join(dependency_scores(edge_df), [PID, "class_name"], "left")
         dep = F.coalesce(F.col("dep_score"), D(0.0))
@@ -45,9 +46,8 @@ def scored_rows(classes: DataFrame, edge_df: DataFrame | None, emb: DataFrame |
         es = D(0.0)
     total = F.col("rule_score") * D(C.RULE_MIX) + es * D(C.EMBEDDING_MIX) + dep * D(C.DEPENDENCY_MIX)
     return rows.select(
-        *[c for c in rows.columns if c not in ("dep_score", "emb_score")],
-        es.alias("embedding_score"), dep.alias("dependency_score"), total.alias("total_score"),
-        RU.package_type(F.col("package")).alias("current_type"))
+        *[c for c in rows.columns if c not in ("dep_score", "emb_score", "current_type")],
+        es.alias("embedding_score"), dep.alias("dependency_score"), total.alias("total_score"), "current_type")
 
 
 def flag_expr() -> Column:
@@ -65,28 +65,19 @@ def misplaced_names(scored: DataFrame) -> DataFrame:
     return flagged_rows(scored).select(PID, "class_name").distinct()
 
 
-LAST_COLUMNS = ["package", "relative_path", "class_pos", "rule_score", "rule_type", "rule_ord"]
+LAST_SCORES, LAST_ARRAYS = ["rule_score", "rule_type", "rule_ord"], ["methods", "annotations"]
 
 
 def name_summary(scored: DataFrame) -> DataFrame:
-    """Per name, in one partial aggregation: flagged by any row, and the scalars of the last row."""
-    agg = (scored.groupBy(PID, "class_name")
-           .agg(F.max(flag_expr()).alias("flagged"),
-                F.max_by(F.struct(*LAST_COLUMNS), order_key()).alias("r")))
-    return agg.select(PID, "class_name", "flagged", *[F.col("r")[c].alias(c) for c in LAST_COLUMNS])
-
+    """Per name, in one aggregation: flagged by any row, and scores and arrays of the last row.
 
-def with_arrays(last: DataFrame, classes: DataFrame) -> DataFrame:
-    """Methods and annotations of the given last rows, looked up in the class table by row key.
-
-    Spark sends only these names' arrays: the side of the names is small, so it is broadcast when it
-    measures small, or else filters the class table by a Bloom filter where that pays.
+    The rows are already dealt by name for the score joins, so this is no further shuffle. Scores and arrays
+    are two aggregates: Spark drops the second, and the arrays from the shuffle, where no text is asked for.
     """
-    c = classes.select(*[F.col(x).alias("_" + x) for x in (PID, "class_name", "relative_path", "class_pos")],
-                       "methods", "annotations")
-    same = ((F.col(PID) == F.col("_" + PID)) & (F.col("class_name") == F.col("_class_name"))
-            & F.col("relative_path").eqNullSafe(F.col("_relative_path")) & F.col("class_pos").eqNullSafe(F.col("_class_pos")))
-    return last.join(c, same).select(*last.columns, "methods", "annotations").dropDuplicates([PID, "class_name"])
+    agg = (scored.groupBy(PID, "class_name")
+           .agg(F.max(flag_expr()).alias("flagged"),
+                *[F.max_by(F.struct(*cols), order_key()).alias(at) for at, cols in (("s", LAST_SCORES), ("a", LAST_ARRAYS))]))
+    return agg.select(PID, "class_name", "flagged", *[F.col(at)[c].alias(c) for at, cols in (("s", LAST_SCORES), ("a", LAST_ARRAYS)) for c in cols])
 
 
 def _matching_methods(methods: Column, ord_col: Column, scanned: int) -> Column:
@@ -125,9 +116,9 @@ def evidence(name: Column, methods: Column, annotations: Column, s: Column, o: C
     return F.when(joined != "", joined).otherwise(F.lit(C.EVIDENCE_FALLBACK))
 
 
-def suggestions(scored: DataFrame, classes: DataFrame) -> DataFrame:
+def suggestions(scored: DataFrame) -> DataFrame:
     """One suggestion per misplaced name, from the last row of that name."""
-    last = with_arrays(name_summary(scored).where(F.col("flagged")), classes)
+    last = name_summary(scored).where(F.col("flagged"))
     s, o = F.col("rule_type"), F.col("rule_ord")
     return last.select(
         PID, "class_name",

@@ -44,7 +44,7 @@ def keyword_part(lname: Column, rules: dict, start: Column | None = None) -> Col
     """+0.2 per keyword contained in the lower-cased name."""
     score = D(0.0) if start is None else start
     for k in rules["keywords"]:
-        score = score + F.when(F.instr(lname, F.lit(k)) > 0, D(C.KEYWORD_WEIGHT)).otherwise(D(0.0))
+        score = score + F.when(F.contains(lname, F.lit(k)), D(C.KEYWORD_WEIGHT)).otherwise(D(0.0))
     return score
 
 
@@ -105,7 +105,7 @@ def package_type(package: Column) -> Column:
     lp = F.lower(package)
     expr = F.lit(C.UNKNOWN_TYPE)
     for t in reversed(C.TYPE_NAMES):
-        expr = F.when(F.instr(lp, F.lit(t)) > 0, F.lit(t)).otherwise(expr)
+        expr = F.when(F.contains(lp, F.lit(t)), F.lit(t)).otherwise(expr)
     return expr
 
 

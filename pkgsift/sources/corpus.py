@@ -126,9 +126,9 @@ def class_vector_ids(classes: DataFrame, embeddings: DataFrame) -> DataFrame:
 
     The vector id of a row is its file's order key modulo the number of vectors in the table.
     """
-    last = (classes.groupBy("project_id", "class_name")
-            .agg(F.max_by(file_key(F.col("relative_path")),
-                          F.struct("relative_path", "class_pos")).alias("k")))
+    # the last row in (relative_path, class_pos) order has the largest path
+    last = (classes.groupBy("project_id", "class_name").agg(F.max("relative_path").alias("last_path"))
+            .select("project_id", "class_name", file_key(F.col("last_path")).alias("k")))
     count = max(1, embeddings.count())
     return last.select("project_id", "class_name", (F.col("k") % count).alias("vec_id"))
 

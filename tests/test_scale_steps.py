@@ -5,8 +5,11 @@ import os
 import zipfile
 from contextlib import redirect_stdout
 
+from pkgsift.operators import graph as G
 from pkgsift.operators import neighbours
+from pkgsift.operators import placement as PL
 from pkgsift.operators import vectors as V
+from pkgsift.plans import recommend as RC
 from pkgsift.session import ship_package
 from pkgsift.sources import files as FS
 from pkgsift.streaming.ingest import start_class_ingest
@@ -95,3 +98,27 @@ def test_pairs_take_their_vectors_last(spark):
     pairs = spark.createDataFrame([("p", "C1", "C2"), ("p", "C3", "C3"), ("q", "X", "none")], "project_id string, src string, dst string")
     want, got = (sorted(map(tuple, x.collect())) for x in (V.pair_similarity(pairs, df), V.pair_similarity_by_id(pairs, ids, by_id)))
     assert got == want and len(got) == 2
+
+
+def class_rows(spark):
+    rows = [("p", 0, n, pkg, path, imports, methods, ["Entity"], ext, []) for n, pkg, path, imports, methods, ext in
+            [("UserDao", "a.model", "A.java", ["x.Order", "y.Far", "Order."], ["findUser"], ""), ("UserDao", "a.model", "B.java", ["x.Order"], ["saveUser", "countUser"], "Order"),
+             ("Order", "a.model", "C.java", [], [], "UserDao")]]
+    return spark.createDataFrame(rows, "project_id string, class_pos int, class_name string, package string, relative_path string, imports array<string>, "
+                                       "methods array<string>, annotations array<string>, extends string, implements array<string>")
+
+
+def test_suggestions_need_no_look_up_of_arrays(spark):
+    out = RC.analyze(class_rows(spark), store=False).suggestions
+    shown, bare = plan(out), plan(out.select("class_name", "confidence"))
+    # the two joins find edges and their scores
+    assert (shown.count("Join"), bare.count("Join")) == (2, 2)
+    assert "max_by(struct(methods" in shown and "max_by(struct(methods" not in bare
+    assert [r.evidence for r in out.collect()] == ["Name matches repository pattern; Methods: saveUser, countUser"]
+
+
+def test_edge_targets_are_looked_up_before_edges_are_made_distinct(spark):
+    rows = class_rows(spark)
+    edges = G.edges(rows)
+    assert sorted((r.src, r.dst) for r in edges.collect()) == [("Order", "UserDao"), ("UserDao", "Order")]
+    assert plan(PL.dependency_scores(edges)).count("Aggregate(") == 4
